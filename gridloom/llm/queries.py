@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup
+from gridloom.llm import exact_dedup, mixing, quality, sharding
+from gridloom.llm.common import text_of, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +35,50 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 """)
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS most FROM s),
+r AS (SELECT *, most / w AS ratio, row_number() OVER (ORDER BY most / w, source NULLS LAST) AS k FROM w),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size::DOUBLE) OVER () - coalesce(sum(most) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT source, source_size, CASE WHEN ratio > level THEN w * (SELECT arg_min(level, k) FROM l WHERE ratio > level) ELSE most END AS target FROM l),
+p AS (SELECT d.*, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS budget, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('7:' || doc_id || ':' || size), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size + greatest(0, least(size, budget % source_size - pos)) END::BIGINT AS taken FROM p
+""")
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    slim = written(docs.select("doc_id", "source", word_count(text_of()).alias("n")), "sizes")  # the texts are read once
+    mixed = mixing.mix(slim, size_col="n", weights=(3, 1, 2), share=1.5, cap=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"), shards=8)
+    return rows.select("doc_id", "size", F.crc32(text_of()).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+m AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM m)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+f AS (SELECT m.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  len(regexp_extract_all(x, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM m LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT
+  + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT)::BIGINT AS failures FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failures = 0 AS kept, n_lines, failures FROM b
+""")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = ~quality.verdict("base")
+    return led.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.verdict("v1").alias("kept"), "n_lines", "failures"
+    )
