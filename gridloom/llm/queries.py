@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, mixing, quality, sharding
+from gridloom.llm import exact_dedup, mixing, quality, sharding, simhash
 from gridloom.llm.common import text_of, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.verdict("v1").alias("kept"), "n_lines", "failures"
     )
+
+
+@query()
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.mark_similar(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=3)
