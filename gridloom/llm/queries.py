@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, mixing, quality, sharding, simhash
-from gridloom.llm.common import text_of, word_count, written
+from gridloom.llm import exact_dedup, mixing, packing, quality, sharding, simhash, token_store, tokens
+from gridloom.llm.common import shared_dir, text_of, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +88,23 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.mark_similar(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=3)
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return tokens.read_tokenizer(public_tokenizers.path(name))
+
+
+@query()
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}-store"
+    token_store.write_store(_table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end_id=0)
+    index = token_store.read_index(spark.read.schema(token_store.STORE).parquet(path))
+    return index.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
