@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, mixing, packing, quality, sharding, simhash, token_store, tokens
+from gridloom.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, token_store, tokens, toxicity, url_filter
 from gridloom.llm.common import shared_dir, text_of, word_count, written
+from gridloom.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,7 @@ def query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -108,3 +110,30 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+#: Fixed values of the query: verdict and host/path of the rules that go before the mined ones.
+HOST_RULES = tuple(
+    url_filter.HostRule.parse(v, t)
+    for v, t in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+)
+
+
+@query()
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
+    known = pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.judge_urls(pages, url_filter.mine_rules(known), HOST_RULES).drop("url")
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    grade = toxicity.grades_from_labels(F.col("quality"), F.col("toxic")).alias("grade")
+    model = toxicity.fit(docs.join(labels, "doc_id").select("text", grade))
+    return toxicity.score(docs, model).drop("text")
+
+
+@query()
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
