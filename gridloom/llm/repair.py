@@ -22,25 +22,35 @@ class Grammar:
     seq: np.ndarray
 
 
+def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and the array in terms of their places."""
+    if not len(ids) or ids.max() >= 1 << 20:
+        base, seq = np.unique(ids, return_inverse=True)
+        return base, seq.ravel().astype(np.uint32)
+    there = np.zeros(int(ids.max()) + 1, bool)
+    there[ids] = True
+    return np.flatnonzero(there), (np.cumsum(there, dtype=np.uint32) - np.uint32(1))[ids]
+
+
 def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
     """Replace frequent pairs by nonterminals until no pair occurs ``least`` times.
 
-    A round counts all adjacent pairs and replaces, left to right, every pair at least half as frequent as the most
-    frequent one, so about log2(top / least) rounds do what one pair at a time would; where chosen pairs overlap the
-    left one wins. Rules refer to earlier codes only.
+    A round counts all adjacent pairs and replaces, left to right, every pair at least a quarter as frequent as the
+    most frequent one (later rounds go on from there), so a score of rounds does what one pair at a time would; where
+    chosen pairs overlap the left one wins. Rules refer to earlier codes only.
     """
-    base, seq = np.unique(ids, return_inverse=True)
-    seq, rules, n_codes = seq.ravel().astype(np.uint32), [], len(base)
+    base, seq = _dense(ids)
+    rules, n_codes = [], len(base)
     bar = None
     while len(seq) > 1:
         wide = n_codes > 1 << 16
         t = np.uint64 if wide else np.uint32
         pair = (seq[:-1].astype(t) << t(32 if wide else 16)) | seq[1:].astype(t)
         s = np.sort(pair)
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        counts = np.diff(np.r_[first, len(s)])
-        bar = max(least, (counts.max() + 1) // 2) if bar is None or bar > least else least
-        chosen = s[first[counts >= bar]]
+        first = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1, len(s)]
+        counts = np.diff(first)
+        bar = max(least, (counts.max() + 3) // 4) if bar is None or bar > least else least
+        chosen = s[first[:-1][counts >= bar]]
         if not len(chosen):
             if counts.max() < least:
                 break
@@ -69,7 +79,9 @@ def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
         kept = chosen[used]
         rules.append(np.stack([kept >> shift, kept & t((1 << int(shift)) - 1)], axis=1).astype(np.uint32))
         seq[at] = code[k]
-        seq = np.delete(seq, at + 1)
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        seq = seq[stay]
         n_codes += int(used.sum())
     rules = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     return Grammar(base.astype(np.uint32), rules, _lengths(len(base), rules), seq)
@@ -89,9 +101,20 @@ def _lengths(n_base: int, rules: np.ndarray) -> np.ndarray:
 
 
 def expand(g: Grammar, codes: np.ndarray | None = None) -> np.ndarray:
-    """The ids of some codes (default: all)."""
-    seq, nb = (g.seq if codes is None else codes), len(g.base)
-    while len(seq) and (deep := seq >= nb).any():
+    """The ids of some codes (default: all). Every code's expansion is laid out once, then copied by offset."""
+    seq = g.seq if codes is None else codes
+    if not len(seq):
+        return np.empty(0, np.uint32)
+    flat, starts = _layout(g)
+    n = g.lengths[seq]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[seq] - (ends - n), n) + np.arange(ends[-1])]
+
+
+def _layout(g: Grammar) -> tuple[np.ndarray, np.ndarray]:
+    """Expansions of all codes end to end, and where each starts."""
+    seq, nb = np.arange(len(g.lengths), dtype=np.uint32), len(g.base)
+    while (deep := seq >= nb).any():
         at = np.cumsum(deep) + np.arange(len(seq))
         out = np.empty(len(seq) + int(deep.sum()), np.uint32)
         pair = g.rules[seq[deep] - nb]
@@ -99,7 +122,7 @@ def expand(g: Grammar, codes: np.ndarray | None = None) -> np.ndarray:
         out[at[deep] - 1] = pair[:, 0]
         out[at[deep]] = pair[:, 1]
         seq = out
-    return g.base[seq]
+    return g.base[seq], np.cumsum(g.lengths) - g.lengths
 
 
 def slice_of(g: Grammar, start: int, stop: int) -> np.ndarray:

@@ -13,6 +13,7 @@ import regex
 #: How the two vocabularies cut text before merging (their own pre-tokenizers do the same).
 BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+MARKS = frozenset(".,;:!?")
 #: Distinct units remembered by a Python worker; it starts afresh beyond that.
 MEMORY = 600_000
 
@@ -38,6 +39,22 @@ def _packed(ids: Iterable[int]) -> bytes:
     return a.tobytes()
 
 
+class _Odd(Exception):
+    """A unit that must be seen with its neighbours."""
+
+
+class _Units(dict):
+    """Unit -> ids; a new one is computed when it is first asked for."""
+
+    def __init__(self, compute: Callable[[str], bytes]):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, unit: str) -> bytes:
+        got = self[unit] = self.compute(unit)
+        return got
+
+
 class Encoder:
     """Texts -> arrays of ids, equal to ``encode(text, add_special_tokens=False)`` of the library.
 
@@ -50,33 +67,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(spec)
-        self.model = self.whole.model
+        self.tokenize = self.whole.model.tokenize
         self.normalize = self.whole.normalizer.normalize_str if self.whole.normalizer else None
         self.spaced = self.normalize is None  # a unit after the first begins with its space
         self.pieces = regex.compile(BYTE_PIECES if self.spaced else WORD_PIECES).findall
         self.odd = re.compile(r" \s|<\|" if self.spaced else r"<\||[\x00-\x08\x0b\x0c\x0e-\x1f\x85  ]").search
         self.alphabet = _byte_alphabet()
-        self.units: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
+        self.firsts = _Units(self._first)
+        self.units = _Units(self._later) if self.spaced else self.firsts
         self.parts: dict[str, bytes] = {}
 
+    def _merge(self, piece: str) -> bytes:
+        mapped = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return _packed([t.id for t in self.tokenize(mapped)])
+
     def _part(self, piece: str) -> bytes:
         got = self.parts.get(piece)
         if got is None:
-            mapped = piece.encode().decode("latin-1").translate(self.alphabet)
-            got = _packed(t.id for t in self.model.tokenize(mapped))
-            self.parts[piece] = got
+            got = self.parts[piece] = self._merge(piece)
         return got
 
-    def _unit(self, unit: str) -> bytes:
+    def _first(self, unit: str) -> bytes:
+        """The first unit of a text has no space before it, and may begin with white space of another kind."""
+        if "<|" in unit or not self.spaced and self.odd(unit):
+            raise _Odd
+        return self._unit(unit)
+
+    def _later(self, unit: str) -> bytes:
+        if self.odd(unit):
+            raise _Odd
+        return self._unit(unit, " ")
+
+    def _unit(self, unit: str, lead: str = "") -> bytes:
+        """``lead`` is the space before the unit where the vocabulary keeps it. Letters, then one mark, is the common
+        case: its letters are a unit of their own."""
         if self.normalize:
             unit = unit.lower() if unit.isascii() else self.normalize(unit)
-        body = unit[1:] if self.spaced and unit[:1] == " " else unit
-        if body.isalpha():
-            return self._part(unit)
-        if len(body) > 1 and body[-1] in ".,;:!?" and body[:-1].isalpha():
-            return self._part(unit[:-1]) + self._part(body[-1])
-        return b"".join(map(self._part, self.pieces(unit)))
+        if unit.isalpha():
+            return self._merge(lead + unit)
+        if unit[-1:] in MARKS and unit[:-1].isalpha():
+            body, known = unit[:-1], self.units if lead or not self.spaced else self.firsts
+            got = known.get(body)
+            if got is None:
+                got = known[body] = self._merge(lead + body)
+            return got + self._part(unit[-1])
+        return b"".join(map(self._part, self.pieces(lead + unit)))
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.whole.encode(text, add_special_tokens=False).ids)
@@ -85,22 +120,16 @@ class Encoder:
         """Little-endian unsigned 32-bit ids; null and empty texts have none."""
         if not text:
             return b""
-        if self.odd(text):
-            return self._whole(text)
         if len(self.units) > MEMORY:
             self.units.clear()
             self.firsts.clear()
         if len(self.parts) > MEMORY:
             self.parts.clear()
         units = (text if self.spaced else text.replace("\n", " ")).split(" ")
-        known = self.units
-        first = self.firsts.get(units[0])
-        if first is None:
-            first = self.firsts[units[0]] = self._unit(units[0])
-        rest = units[1:]
-        for u in set(rest).difference(known):
-            known[u] = self._unit(" " + u if self.spaced else u)
-        return first + b"".join(map(known.__getitem__, rest))
+        try:
+            return self.firsts[units[0]] + b"".join(map(self.units.__getitem__, units[1:]))
+        except _Odd:
+            return self._whole(text)
 
     def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
         return [self.encode(t) for t in texts]
