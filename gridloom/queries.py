@@ -348,23 +348,23 @@ def warmup_window(spark, d):
     return _s(spark, d).where(timeseries.warm_up("timestamp", TS("2024-01-15"), TS("2024-01-20"), 8, 4)).select("event_id")
 
 
-_YEARLY = "y AS (SELECT o_custkey AS location, year(o_orderdate) AS year, round_even(avg(o_totalprice), 4) AS mean FROM orders GROUP BY ALL)"
+_YEARLY = "y AS (SELECT o_custkey AS location, year(o_orderdate) AS year, avg(o_totalprice) AS mean FROM orders GROUP BY ALL)"
 _GROWN = "g AS (SELECT *, CASE WHEN lag(year) OVER w = year - 1 THEN lag(mean) OVER w END AS p FROM y WINDOW w AS (PARTITION BY location ORDER BY year)), r AS (SELECT location, year::INT AS year, CASE WHEN p > 0 AND mean <> 0 THEN mean - p END AS growth_mw, CASE WHEN p > 0 AND mean <> 0 THEN (mean - p) / p * 100 END AS growth_pct FROM g)"
 
 
 def _yearly(spark, d):
     o = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("location"), F.year("o_orderdate").alias("year"))
-    return timeseries.growth(o.agg(F.bround(F.avg("o_totalprice"), 4).alias("mean")), digits=None)
+    return timeseries.growth(o.agg(F.avg("o_totalprice").alias("mean")), digits=None)
 
 
-@query(f"WITH {_YEARLY}, {_GROWN} SELECT location, year, round(growth_mw, 2) AS growth_mw, round(growth_pct, 1) AS growth_pct FROM r")
+@query(f"WITH {_YEARLY}, {_GROWN} SELECT location, year, round(growth_mw, 6) AS growth_mw, round(growth_pct, 4) AS growth_pct FROM r")
 def yoy_growth(spark, d):
-    return _yearly(spark, d).select("location", "year", _r("growth_mw", 2), _r("growth_pct", 1))
+    return _yearly(spark, d).select("location", "year", _r("growth_mw"), _r("growth_pct", 4))
 
 
-@query(f"WITH {_YEARLY}, {_GROWN} SELECT location, year, round(growth_mw, 2) AS growth_mw FROM r WHERE growth_mw IS NOT NULL ORDER BY growth_mw DESC, location LIMIT 10")
+@query(f"WITH {_YEARLY}, {_GROWN} SELECT location, year, round(growth_mw, 6) AS growth_mw FROM r WHERE growth_mw IS NOT NULL ORDER BY growth_mw DESC, location LIMIT 10")
 def top_growth(spark, d):
-    return _yearly(spark, d).where("growth_mw IS NOT NULL").orderBy(F.desc("growth_mw"), "location").limit(10).select("location", "year", _r("growth_mw", 2))
+    return _yearly(spark, d).where("growth_mw IS NOT NULL").orderBy(F.desc("growth_mw"), "location").limit(10).select("location", "year", _r("growth_mw"))
 
 
 @query(f"WITH {_YEARLY}, {_GROWN} SELECT year, count(*) AS n_sites, round(avg(growth_mw), 1) AS mean_mw, round(median(growth_pct), 1) AS median_pct, count(*) FILTER (growth_mw > 0) AS n_positive FROM r WHERE growth_mw IS NOT NULL GROUP BY year")
