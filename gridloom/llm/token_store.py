@@ -66,7 +66,7 @@ def write_store(
     rows = rows.withColumn("h", F.xxhash64("text"))
     ordered = rows.repartitionByRange(F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
     blocks = ordered.select("id", "text").mapInArrow(_write(spec, end_id, shard_tokens), STORE)
-    blocks.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    blocks.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +100,7 @@ def block_starts(store: DataFrame) -> DataFrame:
 
 def read_index(store: DataFrame) -> DataFrame:
     """Decode every block -> one row per document: id, start (tokens before it in the corpus), n_tokens, ids_crc32."""
-    # Blocks are spread evenly again: a file may hold a few large ones.
-    docs = store.select("part", "block", "body").repartition(F.xxhash64("part", "block")).mapInArrow(_read, "part int, block int, id long, at long, n_tokens long, ids_crc32 long")
+    docs = store.select("part", "block", "body").mapInArrow(_read, "part int, block int, id long, at long, n_tokens long, ids_crc32 long")
     return docs.join(block_starts(store), ["part", "block"]).select("id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -15,7 +15,7 @@ BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 MARKS = frozenset(".,;:!?")
 #: Distinct units remembered by a Python worker; it starts afresh beyond that.
-MEMORY = 600_000
+MEMORY = 1_000_000
 
 
 def read_tokenizer(path: str) -> str:
