@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import stats, text
 from gridloom.models import LinearScorer, fit_boosting
 from gridloom.operators import aggregate, clean, joins, sampling, scenario, sets, timeseries
-from gridloom.plans import capacity, forecast, ingest
+from gridloom.plans import capacity, forecast, ingest, reports
 from gridloom.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -506,6 +506,16 @@ def sample_sites(spark, d):
     return sampling.sample_keys(s, "location", k).withColumn("any", F.lit(True))
 
 
+@query()
+def plot_lines(spark, d):
+    return reports.plot_lines(_s(spark, d), "kva", sites=10, start=TS("2024-01-08"), days=7, every=3)
+
+
+@query(f"WITH {S} SELECT count(*) AS n_rows, count(DISTINCT location) AS n_keys, min(timestamp) AS first_ts, max(timestamp) AS last_ts, count(*) FILTER (gap IS NULL) AS n_null, avg((gap IS NOT NULL)::INT::DOUBLE) AS fraction_present FROM s")
+def sanity_report(spark, d):
+    return reports.sanity(_s(spark, d), "location", "timestamp", "gap")
+
+
 # Scenarios and estimators
 
 
