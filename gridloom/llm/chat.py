@@ -148,21 +148,21 @@ def _chunks(costs: Costs):
     return run
 
 
-def _entries(chunks: DataFrame) -> DataFrame:
+def _entries(chunks: DataFrame, costs: Costs) -> DataFrame:
     """(conv_id, idx, m, entry, exit per group ``g``) solved within groups of FAN; see ``chunk_states``."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         ms = [np.array(m).reshape(4, 4) for m in pdf["m"]]
         entry, exit_ = int(pdf["g_entry"].iloc[0]), int(pdf["g_exit"].iloc[0])
-        states = chain([*ms, _inserts(Costs())[0]], entry, FINAL)[:-1] if exit_ < 0 else chain(ms, entry, exit_)
+        states = chain([*ms, _inserts(costs)[0]], entry, FINAL)[:-1] if exit_ < 0 else chain(ms, entry, exit_)
         last = [*states[1:-1], -1 if exit_ < 0 else states[-1]]
         return pd.DataFrame({"gid": pdf["gid"], "idx": pdf["idx"], "entry": states[:-1], "exit": last})
 
     return chunks.groupBy("gid", "g").applyInPandas(solve, "gid long, idx long, entry int, exit int")
 
 
-def chunk_states(chunks: DataFrame) -> DataFrame:
+def chunk_states(chunks: DataFrame, costs: Costs) -> DataFrame:
     """(gid, idx, m) of conversations with several chunks -> (gid, idx, entry, exit); exit -1 marks the last chunk.
 
     At most FAN matrices meet in a task: runs of FAN chunks are multiplied into one, the shorter table is solved first
@@ -170,7 +170,7 @@ def chunk_states(chunks: DataFrame) -> DataFrame:
     """
     top = chunks.agg(F.max("idx").alias("x")).first()["x"]
     if top is None or top < FAN:
-        return _entries(chunks.select("gid", "idx", "m", F.lit(0).cast("long").alias("g"), F.lit(0).alias("g_entry"), F.lit(-1).alias("g_exit")))
+        return _entries(chunks.select("gid", "idx", "m", F.lit(0).cast("long").alias("g"), F.lit(0).alias("g_entry"), F.lit(-1).alias("g_exit")), costs)
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         out = None
@@ -180,9 +180,9 @@ def chunk_states(chunks: DataFrame) -> DataFrame:
         return pd.DataFrame({"gid": [pdf["gid"].iloc[0]], "idx": [pdf["idx"].iloc[0] // FAN], "m": [out.ravel().tolist()]})
 
     runs = chunks.withColumn("g", F.floor(F.col("idx") / FAN).cast("long"))
-    upper = chunk_states(written(runs.groupBy("gid", "g").applyInPandas(product, "gid long, idx long, m array<long>"), "runs"))
+    upper = chunk_states(written(runs.groupBy("gid", "g").applyInPandas(product, "gid long, idx long, m array<long>"), "runs"), costs)
     bounds = upper.select("gid", F.col("idx").alias("g"), F.col("entry").alias("g_entry"), F.col("exit").alias("g_exit"))
-    return _entries(runs.join(bounds, ["gid", "g"]))
+    return _entries(runs.join(bounds, ["gid", "g"]), costs)
 
 
 def _decode(costs: Costs, template: Template):
@@ -242,7 +242,7 @@ def format_chats(turns: DataFrame, *, costs: Costs = Costs(), template: Template
     place = W.partitionBy("gid").orderBy("part", "chunk")
     many = heads.join(several, "gid")
     many = written(many.withColumn("idx", (F.row_number().over(place) - 1).cast("long")), "many")
-    states = chunk_states(many.select("gid", "idx", "m")).join(many.drop("m"), ["gid", "idx"]).select("part", "chunk", "entry", "exit")
+    states = chunk_states(many.select("gid", "idx", "m"), costs).join(many.drop("m"), ["gid", "idx"]).select("part", "chunk", "entry", "exit")
     known = chunks.join(states, ["part", "chunk"], "left").withColumns({"entry": F.coalesce("entry", F.lit(0)), "exit": F.coalesce("exit", F.lit(-1))})
     said = written(known.drop("m").mapInArrow(_decode(costs, template), OUT), "said")
 
