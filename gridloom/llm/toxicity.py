@@ -69,7 +69,7 @@ def choose_vocabulary(labelled: DataFrame, *, size: int = 2000, min_docs: int =
     return {r["w"]: k for k, r in enumerate(sorted(top.collect(), key=lambda r: r["w"]))}
 
 
-def fit_ordinal(x: list[list[int]], grade: np.ndarray, vocabulary: dict[str, int], *, grades: int = 3, ridge: float = 1.0, steps: int = 400) -> OrdinalModel:
+def fit_ordinal(x: list[list[int]], grade: np.ndarray, vocabulary: dict[str, int], *, grades: int = 3, ridge: float = 0.3, steps: int = 400) -> OrdinalModel:
     """Maximum likelihood with a ridge on the weights, by adaptive gradient steps; deterministic.
 
     A row of grade g says yes at thresholds below g and no at the others. With the weights shared, every threshold's
