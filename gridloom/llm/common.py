@@ -8,7 +8,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel  # noqa: F401  (re-exported for callers that persist slim tables)
 
 #: The one definition of a word boundary for all operators: ASCII space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -66,6 +65,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def forget(spark: SparkSession, path: str) -> None:
     """Delete one written table (any Hadoop file system)."""
+    known = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    if path in known:
+        known.remove(path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -73,8 +75,7 @@ def forget(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
     """Delete the tables that this session's operators have written; results read from them are void after."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    for p in paths:
+    for p in written_so_far(spark):
         if p not in set(keep):
             forget(spark, p)
 
@@ -84,6 +85,16 @@ def path_of(df: DataFrame) -> str:
     return _WRITTEN[df.sparkSession.sparkContext.applicationId][-1]
 
 
+def written_so_far(spark: SparkSession) -> list[str]:
+    """Paths of the tables written and not released yet, oldest first."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A broadcast hint for a table of narrow rows, if a count shows ``rows`` at most; beyond, a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def attach(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left join ``rows`` to one class row per key, safe for a key that holds a third of all rows.
 

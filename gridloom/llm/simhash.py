@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import golay
-from gridloom.llm.common import attach, text_of, without, written
+from gridloom.llm.common import attach, small, text_of, without, written
 from gridloom.llm.components import components
 
 OUT = ("fingerprint", "component_id", "kept")
@@ -58,6 +58,11 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows]), pa.array(part[rows])], ["key", "node", "fp"])
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one or more 64-bit words (rows, words)."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def _forest(node: np.ndarray, fp: np.ndarray, bits: int) -> tuple[list, list]:
     """Links that span the components of a group: breadth first, each step against all that is not yet reached."""
     left, a, b = np.arange(len(node)), [], []
@@ -65,7 +70,7 @@ def _forest(node: np.ndarray, fp: np.ndarray, bits: int) -> tuple[list, list]:
         front, left = [left[0]], left[1:]
         while front and len(left):
             at = front.pop()
-            hit = np.bitwise_count(fp[left] ^ fp[at]) <= bits
+            hit = _distance(fp[left], fp[at]) <= bits
             new = left[hit]
             a.append(np.full(len(new), node[at]))
             b.append(node[new])
@@ -74,7 +79,7 @@ def _forest(node: np.ndarray, fp: np.ndarray, bits: int) -> tuple[list, list]:
     return a, b
 
 
-def _scan(bits: int, limit: int):
+def _scan(bits: int, limit: int, words: tuple[str, ...]):
     """Rows sorted by key -> links (a, b) spanning every key's groups, and rows of keys over ``limit`` (with key)."""
 
     def links(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +91,7 @@ def _scan(bits: int, limit: int):
         for d in (1, 2, 3):  # small groups, all at once
             i = few[few + d < len(key)]
             i = i[key[i] == key[i + d]]
-            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= bits]
+            i = i[_distance(fp[i], fp[i + d]) <= bits]
             a.append(node[i])
             b.append(node[i + d])
         for s, n in zip(starts[sizes > 4].tolist(), sizes[sizes > 4].tolist(), strict=True):
@@ -95,56 +100,64 @@ def _scan(bits: int, limit: int):
             b += y
         return np.concatenate(a), np.concatenate(b)
 
-    def out(a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
-        k = pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)
-        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), k], ["a", "b", "key"])
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none = [pa.nulls(len(a), pa.int64())] * (1 + len(words))
+        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), *none], ["a", "b", "key", *words])
+
+    def back(rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, node, *fp = (pa.array(x) for x in rows)
+        return pa.RecordBatch.from_arrays([node, pa.nulls(len(node), pa.int64()), key, *fp], ["a", "b", "key", *words])
+
+    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+        return out(*links(rows[0], rows[1], np.stack(rows[2:], axis=1).view(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, over = [np.empty(0, np.int64)] * 3, None
+        held, over = [np.empty(0, np.int64)] * (2 + len(words)), None
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "fp")]
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", *words)]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             if over is not None:  # the rest of a key that is already known to be too large
                 n = int(np.searchsorted(held[0], over, "right"))
-                yield out(held[1][:n], held[2][:n], held[0][:n])
+                yield back([x[:n] for x in held])
                 held = [x[n:] for x in held]
                 over = over if not len(held[0]) else None
             if not len(held[0]):
                 continue
             last = int(np.searchsorted(held[0], held[0][-1], "left"))
             if last:
-                yield out(*links(*(x[:last] for x in (held[0], held[1], held[2].view(np.uint64)))))
+                yield found([x[:last] for x in held])
                 held = [x[last:] for x in held]
             if len(held[0]) > limit:
                 over = held[0][0]
-                yield out(held[1], held[2], held[0])
+                yield back(held)
                 held = [x[:0] for x in held]
         if len(held[0]):
-            yield out(*links(held[0], held[1], held[2].view(np.uint64)))
+            yield found(held)
 
     return run
 
 
 def link_candidates(keys: DataFrame, bits: int, limit: int = GROUP_LIMIT) -> DataFrame:
-    """(key, node, fp) -> distinct links between nodes that share a key and differ in ``bits`` bits at most.
+    """(key, node, fp and perhaps fp2) -> distinct links between nodes that share a key and differ in ``bits`` bits at most.
 
     Links span the components of each key's rows rather than naming all pairs. A key with over ``limit`` rows is not
     compared in one task: its rows come back and meet in blocks, every two blocks in a task of their own.
     """
+    words = tuple(c for c in ("fp", "fp2") if c in keys.columns)
 
     def scan(rows: DataFrame, most: int) -> DataFrame:
-        dealt = rows.select("key", "node", "fp").repartition("key").sortWithinPartitions("key", "node")
-        return dealt.mapInArrow(_scan(bits, most), "a long, b long, key long")
+        dealt = rows.select("key", "node", *words).repartition("key").sortWithinPartitions("key", "node")
+        return dealt.mapInArrow(_scan(bits, most, words), ", ".join(f"{c} long" for c in ("a", "b", "key", *words)))
 
     first = written(scan(keys, limit), "scan")
-    found, over = first.where("key IS NULL").select("a", "b"), first.where("key IS NOT NULL").select("key", F.col("a").alias("node"), F.col("b").alias("fp"))
+    links, over = first.where("key IS NULL").select("a", "b"), first.where("key IS NOT NULL").select("key", F.col("a").alias("node"), *words)
     if not over.isEmpty():
         blocks = over.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (limit // 4)).alias("n"))
         cut = over.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")))
         cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        met = cut.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "node", "fp")
-        found = found.unionByName(scan(met, 1 << 40).select("a", "b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        met = cut.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "node", *words)
+        links = links.unionByName(scan(met, 1 << 40).select("a", "b"))
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def mark_similar(
@@ -191,14 +204,14 @@ def _near_batches(words: int, near: int):
             rows, texts = b.column("_gl_row").to_numpy(), b.column("_gl_text")
             for at in range(0, len(rows), 512):
                 ids = rows[at : at + 512]
-                sums, fps = np.zeros((len(ids), 115), np.float32), np.zeros(len(ids), np.int64)
+                sums, fps = np.zeros((len(ids), 115), np.float32), np.zeros((len(ids), 2), np.int64)
                 for k in range(len(ids)):
                     s = set(shingles(texts[at + k].as_py(), words)) or {b""}
                     h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, s)), np.uint8).reshape(-1, 16)
                     c = sum(np.unpackbits(h[i : i + 65536], axis=1).sum(0, dtype=np.int64) for i in range(0, len(s), 65536)) * 2 - len(s)
-                    sums[k], fps[k] = c[:115] / np.sqrt(len(s)), np.packbits(c[:64] > 0).view(">i8")[0]
+                    sums[k], fps[k] = c[:115] / np.sqrt(len(s)), np.packbits(c > 0).view(">i8")
                 r, keys = golay.soft_keys(sums, near)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[r]), pa.array(fps[r])], ["key", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[r]), pa.array(fps[r, 0]), pa.array(fps[r, 1])], ["key", "node", "fp", "fp2"])
 
     return run
 
@@ -239,30 +252,31 @@ def _verify(words: int, similarity: float):
 
 
 def drop_similar(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 22, near: int = 3
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 32, near: int = 3
 ) -> DataFrame:
     """One row of each group of near-duplicates (least id, then first row), with the columns of ``docs``.
 
     Two texts are near-duplicates when the Jaccard similarity of their sets of ``words``-word shingles (A-Z
     lower-cased) is ``similarity`` or more; groups are the components of that relation. Candidates come from a wide
     SimHash whose five Golay segments are decoded softly (``golay.soft_keys``): at a similarity of 0.8 two texts share
-    a key with a chance of 0.98, at 0.85 of 0.997. They must agree in all but ``bits`` of 64 bits (at 0.8 about 10
-    differ). Candidate clusters are then verified exactly on the texts' shingle sets, in blocks of CLUSTER_BLOCK
+    a key with a chance of 0.98, at 0.85 of 0.997. They must agree in all but ``bits`` of 128 bits (at 0.8 some
+    19 differ, with a deviation of 4; of unrelated texts 64). Candidate clusters are then verified exactly on the texts' shingle sets, in blocks of CLUSTER_BLOCK
     documents, so a cluster of any size is spread over tasks. Texts without a word are alike. Null ids lose to any
     other. An empty table gives an empty one.
     """
     columns = docs.columns
-    staged = written(docs.select(F.monotonically_increasing_id().alias("_gl_row"), text_of(text_col).alias("_gl_text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_gl_doc")), "staged")
-    keys = staged.select("_gl_row", "_gl_text").mapInArrow(_near_batches(words, near), "key long, node long, fp long")
+    staged = written(docs.select(F.monotonically_increasing_id().alias("_gl_row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_gl_doc")), "staged")
+    texts = staged.select("_gl_row", F.coalesce(F.col("_gl_doc").getField(text_col).cast("string"), F.lit("")).alias("_gl_text"))
+    keys = texts.mapInArrow(_near_batches(words, near), "key long, node long, fp long, fp2 long")
     clusters = written(components(link_candidates(keys, bits)), "clusters")
     sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).alias("n"))
     member = clusters.join(sizes, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")))
     member = member.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    member = member.select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node")
-    texts = staged.select(F.col("_gl_row").alias("node"), F.col("_gl_text").alias("text")).join(member, "node")
-    links = texts.groupBy("root", "i", "j").applyInPandas(_verify(words, similarity), "a long, b long")
-    groups = components(links)
-    ids = staged.select(F.col("_gl_row").alias("node"), F.col("_gl_doc").getField(id_col).alias("id")).join(groups, "node")
+    member = written(member.select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node"), "members")
+    clustered = texts.select(F.col("_gl_row").alias("node"), F.col("_gl_text").alias("text")).join(small(member), "node")
+    links = clustered.groupBy("root", "i", "j").applyInPandas(_verify(words, similarity), "a long, b long")
+    groups = written(components(links), "groups")
+    ids = staged.select(F.col("_gl_row").alias("node"), F.col("_gl_doc").getField(id_col).alias("id")).join(small(groups), "node")
     best = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("node").alias("node")))["node"].alias("node"))
-    gone = groups.select("node").join(best, "node", "left_anti").withColumnRenamed("node", "_gl_row")
-    return staged.join(gone, "_gl_row", "left_anti").select("_gl_doc.*")
+    gone = written(groups.select("node").join(best, "node", "left_anti").withColumnRenamed("node", "_gl_row"), "gone")
+    return staged.join(small(gone), "_gl_row", "left_anti").select("_gl_doc.*")
