@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import text_of, without, written
 
+#: Partitions of the scatter at most, and buckets whose starts (a few numbers each) are broadcast.
+MOST_PARTITIONS, SMALL_BUCKETS = 1 << 15, 100_000
 OUT = ("size", "law", "shard", "slot", "grown_shard")
 
 
@@ -57,11 +59,12 @@ def shuffle_into_shards(
     row = row.withColumn("_gl_rank", F.xxhash64(F.lit(seed + 1), key, F.col(f"`{text_col}`")))
     row = row.withColumn("_gl_bucket", F.pmod(F.col("_gl_rank"), F.lit(parts)).cast("int"))
 
-    # Pass one: the scatter. The partition count is explicit so that reruns see the same partitions.
-    width = max(1, min(shards * parts, 1 << 15))
-    scattered = row.repartition(width, "shard", "_gl_bucket")
+    # Pass one: the scatter, a partition for each bucket (several beyond MOST_PARTITIONS). The count is explicit, so
+    # reruns see the same partitions.
+    width = max(1, min(shards * parts, MOST_PARTITIONS))
+    scattered = row.withColumn("_gl_part", ((F.col("shard") * parts + F.col("_gl_bucket")) % width).cast("int")).repartitionById(width, "_gl_part")
     fields = ["_gl_rank", id_col, "size", "grown_shard", text_col, *carry]
-    gathered = scattered.groupBy("shard", "_gl_bucket").agg(F.sort_array(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in fields[:5]], F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")]).alias("_gl_more")))).alias("_gl_rows"))
+    gathered = scattered.groupBy("_gl_part", "shard", "_gl_bucket").agg(F.sort_array(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in fields[:5]], F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")]).alias("_gl_more")))).alias("_gl_rows"))
     # Pass two: Fisher-Yates within the bucket.
     shuffled = gathered.sortWithinPartitions("shard", "_gl_bucket").withColumn("_gl_rows", F.shuffle("_gl_rows", F.lit(seed)))
     flat = shuffled.select("shard", "_gl_bucket", F.posexplode("_gl_rows").alias("_gl_pos", "_gl_row"))
@@ -73,6 +76,8 @@ def shuffle_into_shards(
     starts = shards_table.groupBy("shard", "_gl_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("_gl_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = starts.select("shard", "_gl_bucket", before.alias("_gl_start"))
+    if shards * parts <= SMALL_BUCKETS:  # their number is known, and the texts need not move again
+        starts = F.broadcast(starts)
     return shards_table.join(starts, ["shard", "_gl_bucket"]).select(
         F.col(f"`{id_col}`"), "size", F.lit("key").alias("law"), F.col("shard").cast("int"), (F.col("_gl_start") + F.col("_gl_pos")).cast("long").alias("slot"),
         F.col("grown_shard").cast("int"), F.col(f"`{text_col}`"), *[F.col(f"`{c}`") for c in carry],
