@@ -278,6 +278,12 @@ def head_overlap(spark, d):
     return aggregate.head_overlap(v, "label", "embedding", "vec_id").where("overlap IS NOT NULL").select("label", _r("overlap", 5))
 
 
+@query()
+def head_overlap_all(spark, d):
+    """All embeddings; ``head_overlap`` is the sample that its SQL states (a self-join of all pairs is dear there)."""
+    return aggregate.head_overlap(_t(spark, d, "embeddings"), "label", "embedding", "vec_id").where("overlap IS NOT NULL").select("label", _r("overlap", 5))
+
+
 # Time series
 
 

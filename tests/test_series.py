@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import queries
 from gridloom.functions import stats, text
 from gridloom.models import GroupScorer, LinearScorer, fit_boosting, importances
 from gridloom.operators import aggregate, clean, joins, sampling, scenario, sets, timeseries
@@ -202,6 +203,17 @@ def test_overlap(spark):
     assert {r["g"]: r["overlap"] for r in aggregate.head_overlap(df, "g", "v", "i").collect()} == {"same": 1.0, "orth": 0.0, "one": None}
 
 
+def test_overlap_of_all_vectors(spark, tmp_path):
+    rows = [(i, [float(i % 7), 1.0 + i % 3, -float(i % 5)], f"l{i % 4}") for i in range(120)] + [(120, [1.0, 2.0, 3.0], "single")]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {}
+    for label in {r[2] for r in rows} - {"single"}:
+        v = [r[1] for r in rows if r[2] == label]
+        want[label] = sum(sum(x * y for x, y in zip(a, b, strict=True)) for i, a in enumerate(v) for b in v[:i]) / (len(v) * (len(v) - 1) / 2)
+    got = {r["label"]: r["overlap"] for r in queries.QUERIES["head_overlap_all"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+
+
 def test_sampling(spark):
     df = series(spark, 50, tuple("abcdef"))
     k = [r["location"] for r in sampling.sample_keys(df, "location", 3).collect()]
