@@ -43,10 +43,11 @@ def best_match(left: DataFrame, right: DataFrame, threshold: float, name: str =
 
     A pair with score above 0 shares a token, so both sides are exploded to tokens and joined on them; the overlap is a
     count per pair. ``right`` has ``pos`` (its row order). Scores of 0 never match. Very common tokens are what makes
-    such a join grow: a pair is met once per shared token, and counts are pre-aggregated.
+    such a join grow: a pair is met once per shared token, and counts are pre-aggregated. Right rows of one name tie, so
+    only the first of each distinct name is compared.
     """
     names = left.select(name).distinct().withColumn("_t", text.tokens(F.col(name)))
-    rows = right.withColumn("_u", text.tokens(F.col(geo)))
+    rows = right.groupBy(geo).agg(F.min("pos").alias("pos")).withColumn("_u", text.tokens(F.col(geo)))
     a = names.select(name, F.size("_t").alias("_n"), F.explode("_t").alias("_k"))
     b = rows.select("pos", F.size("_u").alias("_m"), F.explode("_u").alias("_k"))
     pairs = a.join(b, "_k").groupBy(name, "pos", "_n", "_m").agg(F.count(F.lit(1)).alias("_o"))

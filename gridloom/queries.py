@@ -419,10 +419,10 @@ m AS (SELECT location_name, arg_max(pos, (score, -pos)) AS pos, max(score) AS sc
 r AS (SELECT location_name, geo_name AS matched_geo_name, round(score, 9) AS score, longitude, latitude FROM m JOIN g USING (pos) WHERE m.score >= 0.45)"""
 
 
-def _best(spark, d):
+def _best(spark, d, names="p_partkey % 2 = 0", candidates="p_partkey % 7 = 1"):
     p = _t(spark, d, "part")
-    left = p.where("p_partkey % 2 = 0").select(F.col("p_name").alias("location_name"))
-    right = p.where("p_partkey % 7 = 1").select(F.col("p_partkey").alias("pos"), F.concat_ws(" ", "p_name", "p_type").alias("geo_name"), F.col("p_size").cast("double").alias("longitude"), F.col("p_retailprice").alias("latitude"))
+    left = p.where(names).select(F.col("p_name").alias("location_name"))
+    right = p.where(candidates).select(F.col("p_partkey").alias("pos"), F.concat_ws(" ", "p_name", "p_type").alias("geo_name"), F.col("p_size").cast("double").alias("longitude"), F.col("p_retailprice").alias("latitude"))
     return joins.best_match(left, right, 0.45)
 
 
@@ -436,6 +436,17 @@ def fuzzy_unmatched(spark, d):
     return joins.unmatched(_best(spark, d))
 
 
+@query()
+def fuzzy_match_all(spark, d):
+    """All names against all rows; ``fuzzy_match`` is the sample that its SQL states (a product of both sides there)."""
+    return joins.matched(_best(spark, d, "true", "true")).select("location_name", "matched_geo_name", _r("score", 9), "longitude", "latitude")
+
+
+@query()
+def fuzzy_unmatched_all(spark, d):
+    return joins.unmatched(_best(spark, d, "true", "true"))
+
+
 @query(f"WITH {S} SELECT event_id FROM s WHERE location IN (SELECT location FROM s WHERE event_type = 'error')")
 def semi_trained(spark, d):
     s = _s(spark, d)

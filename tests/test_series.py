@@ -172,6 +172,24 @@ def test_match(spark):
     assert none.count() == 0 and joins.attach_coordinates(left, none).count() == 4
 
 
+def test_match_of_all_parts(spark, tmp_path):
+    words = ["red", "blue", "bolt", "ring", "nut", "cap"]
+    rows = [(i, f"{words[i % 5]} {words[i * 5 % 6]}", "LARGE" if i % 3 else f"{words[i % 6]} SMALL steel", i % 50, i / 2) for i in range(60)] + [(61, "lone", "a b c", 1, 1.0)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    tok = lambda t: set(t.lower().split())
+    want, missed = {}, set()
+    for name in {r[1] for r in rows}:
+        score = {r: len(tok(name) & tok(f"{r[1]} {r[2]}")) / len(tok(name) | tok(f"{r[1]} {r[2]}")) for r in rows}
+        top = max(rows, key=lambda r: (score[r], -r[0]))
+        if score[top] >= 0.45:
+            want[name] = (f"{top[1]} {top[2]}", round(score[top], 9), float(top[3]), top[4])
+        else:
+            missed.add(name)
+    got = {r[0]: tuple(r)[1:] for r in queries.QUERIES["fuzzy_match_all"](spark, str(tmp_path)).collect()}
+    assert got == want and "lone" in missed
+    assert {r[0] for r in queries.QUERIES["fuzzy_unmatched_all"](spark, str(tmp_path)).collect()} == missed
+
+
 def test_grid_join(spark):
     w = spark.createDataFrame([(51.1, 0.25, 1.0), (52.0, 0.25, 2.0)], "era5_lat double, era5_lon double, weather_t double").withColumn("era5_lat", F.col("era5_lat").cast("float"))
     m = spark.createDataFrame([("a", 51.1, 0.25), ("b", 51.1, 0.25)], "location string, era5_lat double, era5_lon double")
