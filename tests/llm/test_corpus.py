@@ -129,6 +129,20 @@ def test_ordinal_held_out(spark):
     assert toxicity.score(df.limit(0), none).count() == 0 and not any(x["toxic"] for x in rows_of(toxicity.score(df.limit(5), none)))
 
 
+def test_few_insults_in_ordinary_text(spark):
+    """Labelled toxic texts have many insults and chance words differ; texts with two insults are still found."""
+    r = random.Random(4)
+    words, bad = [f"c{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)], ["idiotic", "scummy", "trashpile", "moronic"]
+    text = lambda n: " ".join(r.sample([r.choice(words) for _ in range(100)] + [r.choice(bad) for _ in range(n)], 100 + n))
+    rows = [(i, text(6 if i % 9 == 0 else 0), int(i % 9 == 0)) for i in range(900)]
+    m = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, grade int"))
+    new = spark.createDataFrame([(i, text(2 if i % 2 else 0)) for i in range(400)], "doc_id long, text string")
+    got = rows_of(toxicity.score(new, m))
+    assert np.mean([x["toxic"] for x in got if x["doc_id"] % 2]) > 0.95 and np.mean([x["toxic"] for x in got if x["doc_id"] % 2 == 0]) < 0.05
+    assert all(w.rstrip("*#2")[:5] in {b[:5] for b in bad} for w in m.vocabulary if m.weights[m.vocabulary[w]] > 1)
+    assert m.recall > 0.9 and m.precision > 0.8 and not rows_of(toxicity.score(new.limit(1).withColumn("text", F.lit("")), m))[0]["toxic"]
+
+
 # 3: token store
 
 
