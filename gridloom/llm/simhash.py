@@ -1,7 +1,9 @@
-"""SimHash near-duplicates: Golay-code fuzzy hashing of fingerprints, join on shared keys, verification, components."""
+"""SimHash near-duplicates: Golay-code fuzzy hashing of fingerprints or prefixes of shingle sets, join on shared keys,
+verification, components."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import repeat
 
@@ -198,24 +200,58 @@ def mark_similar(
     )
 
 
-def _near_batches(words: int, near: int):
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """128 bits (16 bytes a row) of each distinct shingle."""
+    s = set(shingles(text, words)) or {b""}
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, s)), np.uint8).reshape(-1, 16)
+
+
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first shingles (64 bits) of a set in the order of hashes, sorted ``common`` ones last.
+
+    Two sets with a Jaccard similarity of ``similarity`` or more share at least ceil(similarity * n) of the n shingles of
+    either, so the first n - ceil(similarity * n) + 1 of both, in any order that is the same for all, have one in common.
+    """
+    u = np.unique(h[:, :8].copy().view(np.int64).ravel())
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, u), len(common) - 1)] == u
+        u = np.concatenate([u[~late], u[late]])
+    return u[: len(u) - math.ceil(similarity * len(u) - 1e-9) + 1]
+
+
+def _near_batches(words: int, similarity: float, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, texts = b.column("_gl_row").to_numpy(), b.column("_gl_text")
             for at in range(0, len(rows), 512):
                 ids = rows[at : at + 512]
-                sums, fps = np.zeros((len(ids), 115), np.float32), np.zeros((len(ids), 2), np.int64)
+                keys, fps = [], np.zeros((len(ids), 2), np.int64)
                 for k in range(len(ids)):
-                    s = set(shingles(texts[at + k].as_py(), words)) or {b""}
-                    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, s)), np.uint8).reshape(-1, 16)
-                    c = sum(np.unpackbits(h[i : i + 65536], axis=1).sum(0, dtype=np.int64) for i in range(0, len(s), 65536)) * 2 - len(s)
-                    sums[k], fps[k] = c[:115] / np.sqrt(len(s)), np.packbits(c > 0).view(">i8")
-                r, keys = golay.soft_keys(sums, near)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[r]), pa.array(fps[r, 0]), pa.array(fps[r, 1])], ["key", "node", "fp", "fp2"])
+                    h = _hashes(texts[at + k].as_py(), words)
+                    c = sum(np.unpackbits(h[i : i + 65536], axis=1).sum(0, dtype=np.int64) for i in range(0, len(h), 65536)) * 2 - len(h)
+                    fps[k] = np.packbits(c > 0).view(">i8")
+                    keys.append(prefix(h, similarity, common))
+                r = np.repeat(np.arange(len(ids)), [len(x) for x in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids[r]), pa.array(fps[r, 0]), pa.array(fps[r, 1])], ["key", "node", "fp", "fp2"])
 
     return run
 
 
+def common_shingles(texts: DataFrame, words: int, *, rows: int = 20_000, bar: int = 20, most: int = 100_000) -> np.ndarray:
+    """Sorted hashes of shingles in ``bar`` or more of about ``rows`` sampled texts. They only order the prefixes (rare
+    shingles first keeps groups small), so what a sample misses costs time and no result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("_gl_text"):
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(t.as_py(), words)[:, :8].copy().view(np.int64).ravel())], ["key"])
+
+    total = texts.count()
+    some = texts.where(F.pmod(F.xxhash64("_gl_row"), F.lit(1 << 40)) < int((1 << 40) * min(1, rows / max(total, 1))))
+    n = some.select("_gl_text").mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= bar)
+    return np.sort(np.array([r["key"] for r in n.orderBy(F.desc("n"), "key").limit(most).collect()], dtype=np.int64))
+
+
 def _verify(words: int, similarity: float):
     """Documents of a cluster (or of two of its blocks) -> links that span the components at the exact similarity."""
 
@@ -252,22 +288,22 @@ def _verify(words: int, similarity: float):
 
 
 def drop_similar(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 32, near: int = 3
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 44
 ) -> DataFrame:
     """One row of each group of near-duplicates (least id, then first row), with the columns of ``docs``.
 
     Two texts are near-duplicates when the Jaccard similarity of their sets of ``words``-word shingles (A-Z
-    lower-cased) is ``similarity`` or more; groups are the components of that relation. Candidates come from a wide
-    SimHash whose five Golay segments are decoded softly (``golay.soft_keys``): at a similarity of 0.8 two texts share
-    a key with a chance of 0.98, at 0.85 of 0.997. They must agree in all but ``bits`` of 128 bits (at 0.8 some
-    19 differ, with a deviation of 4; of unrelated texts 64). Candidate clusters are then verified exactly on the texts' shingle sets, in blocks of CLUSTER_BLOCK
+    lower-cased) is ``similarity`` or more; groups are the components of that relation. Candidates share a shingle of
+    their prefixes (``prefix``), which no such pair misses. They must agree in all but ``bits`` of 128 SimHash bits,
+    which keeps texts apart that share a passage only: at 0.8 some 19 differ, with a deviation of 4, so some 2e-8 of
+    such pairs are lost there (binomial; 1e-5 for sets of 4 and 5 shingles); of unrelated texts 64. Candidate clusters are then verified exactly on the texts' shingle sets, in blocks of CLUSTER_BLOCK
     documents, so a cluster of any size is spread over tasks. Texts without a word are alike. Null ids lose to any
     other. An empty table gives an empty one.
     """
     columns = docs.columns
     staged = written(docs.select(F.monotonically_increasing_id().alias("_gl_row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_gl_doc")), "staged")
     texts = staged.select("_gl_row", F.coalesce(F.col("_gl_doc").getField(text_col).cast("string"), F.lit("")).alias("_gl_text"))
-    keys = texts.mapInArrow(_near_batches(words, near), "key long, node long, fp long, fp2 long")
+    keys = texts.mapInArrow(_near_batches(words, similarity, common_shingles(texts, words)), "key long, node long, fp long, fp2 long")
     clusters = written(components(link_candidates(keys, bits)), "clusters")
     sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).alias("n"))
     member = clusters.join(sizes, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")))

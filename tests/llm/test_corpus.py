@@ -564,6 +564,18 @@ def test_near_duplicates(spark, odd, empty):
     assert sum(x["text"] is None or not x["text"].strip() for x in left) == 1 and sum((x["text"] or "").startswith("w0 w1") for x in left) == 1
 
 
+def test_pairs_close_to_the_bound(spark):
+    """Pairs that stand alone at a similarity of exactly 0.8 lose a document, pairs just below keep both."""
+    r, rows, gone = random.Random(12), [], set()
+    for i in range(500):
+        t = [f"v{r.randrange(10**6)}" for _ in range(400)]
+        cut = 45 if i % 10 == 0 else 44  # of 396 shingles so many differ
+        rows += [(2 * i, " ".join(t), "s"), (2 * i + 1, " ".join(t[:-cut] + [f"x{r.randrange(10**6)}" for _ in range(cut)]), "s")]
+        gone |= {2 * i + 1} if cut == 44 else set()
+    kept = {x["doc_id"] for x in rows_of(simhash.drop_similar(table(spark, rows)))}
+    assert kept == set(range(1000)) - gone
+
+
 # The rest
 
 
