@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 #: The one definition of a word boundary for all operators: ASCII space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: A key is hot when it holds at least 1/HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys.
-HOT_SHARE = 1000
+#: A key is hot when it holds at least 1/HOT_SHARE of the rows, or HOT_ROWS of them: HOT_SHARE keys at most, or one for
+#: every HOT_ROWS rows of the table (100,000 in 10**11 rows).
+HOT_SHARE, HOT_ROWS = 1000, 1_000_000
 
 
 def text_of(name: str = "text") -> Column:
@@ -51,16 +52,27 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, known to ``release``."""
+    path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}-{label}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``written``, and where the copy lies."""
+    spark = df.sparkSession
+    path = place(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     The copy outlives lost executors. ``release`` removes what a session has written.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}-{label}"
-    df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written_at(df, label)[0]
 
 
 def forget(spark: SparkSession, path: str) -> None:
@@ -80,28 +92,23 @@ def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
             forget(spark, p)
 
 
-def path_of(df: DataFrame) -> str:
-    """Path of a table from ``written``."""
-    return _WRITTEN[df.sparkSession.sparkContext.applicationId][-1]
-
-
 def written_so_far(spark: SparkSession) -> list[str]:
     """Paths of the tables written and not released yet, oldest first."""
     return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
 
 
-def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A broadcast hint for a table of narrow rows, if a count shows ``rows`` at most; beyond, a shuffle join."""
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A broadcast hint for a written table of numbers, if a count shows ``rows`` at most (a few MB); else a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def attach(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left join ``rows`` to one class row per key, safe for a key that holds a third of all rows.
 
-    Classes of at least total / HOT_SHARE rows number HOT_SHARE at most, whatever the data, and are broadcast;
-    all other keys have few rows each and are joined by an ordinary shuffle.
+    Hot classes (see HOT_SHARE) are few whatever the data, and are broadcast; all other keys have HOT_ROWS rows at
+    most and are joined by an ordinary shuffle.
     """
-    bar = max(total // HOT_SHARE, 1)
+    bar = max(min(total // HOT_SHARE, HOT_ROWS), 1)
     extra = [c for c in classes.columns if c != key]
     hot = classes.where(F.col(size) >= bar).where(F.col(size) > 1)
     cold = classes.where((F.col(size) < bar) | (F.col(size) <= 1))

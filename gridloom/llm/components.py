@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import forget, path_of, written
+from gridloom.llm.common import forget, written_at
 
 
 #: Links that one task contracts in memory before the rounds.
@@ -52,12 +52,11 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder between rounds and dropped as they are replaced. An empty table gives an empty one.
     """
     spark = edges.sparkSession
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    old = path_of(now)
+    now, old = written_at(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     if n := now.count():
-        now = written(now.repartition(math.ceil(n / CHUNK)).mapInArrow(_contract, "a long, b long").distinct(), "links")
+        now, path = written_at(now.repartition(math.ceil(n / CHUNK)).mapInArrow(_contract, "a long, b long").distinct(), "links")
         forget(spark, old)
-        old = path_of(now)
+        old = path
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -67,8 +66,8 @@ def components(edges: DataFrame) -> DataFrame:
         first = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(first, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(first.select("a", F.col("m").alias("b"))).distinct()
-        new = written(small, "links")
-        path, was = path_of(new), state
+        new, path = written_at(small, "links")
+        was = state
         state = _state(new)
         forget(spark, old)
         now, old = new, path

@@ -80,24 +80,3 @@ def hard_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows.append(np.nonzero(used[j])[0])
         keys.append(pair[used[j]])
     return np.concatenate(rows), np.concatenate(keys)
-
-
-@cache
-def _signs() -> np.ndarray:
-    return (((codewords()[:, None] >> np.arange(N)) & 1) * 2 - 1).astype(np.float32)
-
-
-def soft_keys(sums: np.ndarray, near: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Bit sums (n, 115: five segments of 23) -> (row, key) by soft decoding.
-
-    Each segment keeps the ``near`` codewords that agree best with the sums, so that weak bits may flip; a key is a
-    pair of segments with a codeword of each (24 bits and the choice of pair). 10 * near**2 keys a row.
-    """
-    n, m = len(sums), sums.shape[1] // N
-    top = np.empty((n, m, near), np.int64)
-    for i in range(m):
-        score = sums[:, i * N : (i + 1) * N].astype(np.float32) @ _signs().T
-        top[:, i] = np.argpartition(-score, near - 1, axis=1)[:, :near]
-    keys = [((tag << 40) | (top[:, i, :, None] << K) | top[:, j, None, :]).reshape(n, -1) for tag, (i, j) in enumerate(combinations(range(m), 2))]
-    keys = np.concatenate(keys, axis=1)
-    return np.repeat(np.arange(n), keys.shape[1]), keys.ravel()

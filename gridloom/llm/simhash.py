@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: Golay-code fuzzy hashing of fingerprints or prefixes of shingle sets, join on shared keys,
+"""SimHash near-duplicates: Golay-code fuzzy hashing of fingerprints, prefixes of shingle sets, join on shared keys,
 verification, components."""
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm import golay
@@ -21,8 +22,10 @@ from gridloom.llm.components import components
 OUT = ("fingerprint", "component_id", "kept")
 #: Rows of one key that a task compares at once; larger groups are compared in blocks of half as many.
 GROUP_LIMIT = 1 << 15
-#: Documents compared at once when a cluster's texts are verified.
-CLUSTER_BLOCK = 256
+#: Documents, and bytes, compared at once when a cluster's texts are verified; documents that visit all its blocks.
+CLUSTER_BLOCK, CLUSTER_BYTES, HUBS = 256, 16 << 20, 8
+#: Shingles that a document offers as candidate keys at least (or all); words in a shingle of the 128-bit SimHash.
+LEAST_KEYS, SKETCH_WORDS = 32, 2
 
 
 def shingles(text: str | None, n: int) -> list[bytes]:
@@ -200,23 +203,30 @@ def mark_similar(
     )
 
 
-def _hashes(text: str | None, words: int) -> np.ndarray:
-    """128 bits (16 bytes a row) of each distinct shingle."""
+def _digests(text: str | None, words: int) -> np.ndarray:
+    """64 bits (signed) of each distinct shingle, ascending."""
     s = set(shingles(text, words)) or {b""}
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, s)), np.uint8).reshape(-1, 16)
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, s)), np.int64))
 
 
-def prefix(h: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
-    """The first shingles (64 bits) of a set in the order of hashes, sorted ``common`` ones last.
+def sketch(text: str | None, words: int) -> np.ndarray:
+    """128-bit SimHash of the distinct shingles, as two signed words."""
+    s = set(shingles(text, words)) or {b""}
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, s)), np.uint8).reshape(-1, 16)
+    counts = sum(np.unpackbits(h[i : i + 65536], axis=1).sum(0, dtype=np.int64) for i in range(0, len(h), 65536))
+    return np.packbits(2 * counts > len(h)).view(">i8").astype(np.int64)
+
+
+def prefix(u: np.ndarray, similarity: float, common: np.ndarray, least: int = 0) -> np.ndarray:
+    """The first of a set's shingles in the order of hashes, sorted ``common`` ones last; ``least`` of them at least.
 
     Two sets with a Jaccard similarity of ``similarity`` or more share at least ceil(similarity * n) of the n shingles of
     either, so the first n - ceil(similarity * n) + 1 of both, in any order that is the same for all, have one in common.
     """
-    u = np.unique(h[:, :8].copy().view(np.int64).ravel())
     if len(common):
         late = common[np.minimum(np.searchsorted(common, u), len(common) - 1)] == u
         u = np.concatenate([u[~late], u[late]])
-    return u[: len(u) - math.ceil(similarity * len(u) - 1e-9) + 1]
+    return u[: max(len(u) - math.ceil(similarity * len(u) - 1e-9) + 1, least)]
 
 
 def _near_batches(words: int, similarity: float, common: np.ndarray):
@@ -227,10 +237,9 @@ def _near_batches(words: int, similarity: float, common: np.ndarray):
                 ids = rows[at : at + 512]
                 keys, fps = [], np.zeros((len(ids), 2), np.int64)
                 for k in range(len(ids)):
-                    h = _hashes(texts[at + k].as_py(), words)
-                    c = sum(np.unpackbits(h[i : i + 65536], axis=1).sum(0, dtype=np.int64) for i in range(0, len(h), 65536)) * 2 - len(h)
-                    fps[k] = np.packbits(c > 0).view(">i8")
-                    keys.append(prefix(h, similarity, common))
+                    t = texts[at + k].as_py()
+                    fps[k] = sketch(t, SKETCH_WORDS)
+                    keys.append(prefix(_digests(t, words), similarity, common, LEAST_KEYS))
                 r = np.repeat(np.arange(len(ids)), [len(x) for x in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids[r]), pa.array(fps[r, 0]), pa.array(fps[r, 1])], ["key", "node", "fp", "fp2"])
 
@@ -244,7 +253,7 @@ def common_shingles(texts: DataFrame, words: int, *, rows: int = 20_000, bar: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column("_gl_text"):
-                yield pa.RecordBatch.from_arrays([pa.array(_hashes(t.as_py(), words)[:, :8].copy().view(np.int64).ravel())], ["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(t.as_py(), words))], ["key"])
 
     total = texts.count()
     some = texts.where(F.pmod(F.xxhash64("_gl_row"), F.lit(1 << 40)) < int((1 << 40) * min(1, rows / max(total, 1))))
@@ -252,39 +261,118 @@ def common_shingles(texts: DataFrame, words: int, *, rows: int = 20_000, bar: in
     return np.sort(np.array([r["key"] for r in n.orderBy(F.desc("n"), "key").limit(most).collect()], dtype=np.int64))
 
 
-def _verify(words: int, similarity: float):
-    """Documents of a cluster (or of two of its blocks) -> links that span the components at the exact similarity."""
+class _Block:
+    """Texts that a task compares: their shingles as codes, end to end, each text followed by words - 1 empty places.
+
+    Place p of a text stands for its word p, and a shingle covers ``words`` places from its own.
+    """
+
+    def __init__(self, texts: Sequence[str], words: int):
+        known: dict[bytes, int] = {}
+        self.words = words
+        self.codes = [np.array([known.setdefault(s, len(known)) for s in shingles(t, words) or [b""]], np.int64) for t in texts]
+        self.flat, n = np.concatenate(self.codes), np.array([len(c) for c in self.codes])
+        self.length = n + words - 1
+        self.starts = np.r_[0, np.cumsum(self.length)[:-1]]
+        self.at = np.arange(len(self.flat)) + np.repeat(np.arange(len(n)) * (words - 1), n)
+        self.begin = np.r_[0, np.cumsum(n)[:-1]]
+        pair = np.repeat(np.arange(len(n)), n) * len(known) + self.flat
+        self.first = np.zeros(len(pair), bool)
+        self.first[np.unique(pair, return_index=True)[1]] = True
+        self.distinct = np.add.reduceat(self.first.astype(np.int64), self.begin)
+        self.seen = np.zeros(len(known), bool)
+
+    def _covered(self, hit: np.ndarray, at: np.ndarray, starts: np.ndarray, total: int) -> np.ndarray:
+        found = np.zeros(total + self.words, np.int32)
+        found[at + self.words] = hit
+        c = np.cumsum(found)
+        return np.add.reduceat((c[self.words :] > c[: -self.words]).astype(np.int64), starts)
+
+    def alike(self, k: int, left: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of the texts in ``left`` are near-duplicates of text k."""
+        own = self.codes[k]
+        self.seen[own] = True
+        hit = self.seen[self.flat]
+        self.seen[own] = False
+        met = np.add.reduceat((hit & self.first).astype(np.int64), self.begin)
+        sure = met >= similarity * (self.distinct + self.distinct[k] - met) - 1e-9
+        there = self._covered(hit, self.at, self.starts, int(self.length.sum())) >= similarity * self.length - 1e-9
+        for x in np.flatnonzero(left & there & ~sure):  # and the other way round
+            self.seen[self.codes[x]] = True
+            back = self._covered(self.seen[own], np.arange(len(own)), np.array([0]), len(own) + self.words - 1)[0]
+            self.seen[self.codes[x]] = False
+            sure[x] = back >= similarity * self.length[k] - 1e-9
+        return np.flatnonzero(left & sure)
+
+
+def near_duplicates(texts: Sequence[str], words: int = 5, similarity: float = 0.8) -> list[tuple[int, int]]:
+    """Places of texts that are linked: spanning the components of ``drop_similar``'s relation, breadth first."""
+    block, links, left = _Block(texts, words), [], np.ones(len(texts), bool)
+    for seed in range(len(texts)):
+        if not left[seed]:
+            continue
+        left[seed], front = False, [seed]
+        while front and left.any():
+            at = front.pop()
+            hit = block.alike(at, left, similarity)
+            left[hit] = False
+            links += [(at, x) for x in hit.tolist()]
+            front += hit.tolist()
+    return links
+
+
+def _verified(texts: DataFrame, members: DataFrame, by: Sequence[str], words: int, similarity: float) -> DataFrame:
+    """Links between the texts of each group of ``members`` (``by`` and node)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node")
-        node, sets = pdf["node"].to_numpy(), []
-        for t in pdf["text"]:
-            s = set(shingles(t, words)) or {b""}
-            sets.append(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, s)), "V16"))
-        size = np.array([len(s) for s in sets])
-        _, code = np.unique(np.concatenate(sets).view("u8").reshape(-1, 2), axis=0, return_inverse=True)
-        code = code.ravel()
-        owner = np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(code, kind="stable")
-        lists, starts = owner[order], np.r_[0, np.cumsum(np.bincount(code))]
-        ends = np.r_[0, np.cumsum(size)]
-        a, b, left = [], [], np.ones(len(sets), bool)
-        for seed in range(len(sets)):
-            if not left[seed]:
-                continue
-            left[seed], front = False, [seed]
-            while front and left.any():
-                at = front.pop()
-                own = code[ends[at] : ends[at + 1]]
-                met = np.bincount(np.concatenate([lists[starts[c] : starts[c + 1]] for c in own.tolist()]), minlength=len(sets))
-                hit = np.flatnonzero(left & (met >= similarity * (size + size[at] - met) - 1e-9))
-                left[hit] = False
-                a += [node[at]] * len(hit)
-                b += node[hit].tolist()
-                front += hit.tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        node = pdf["node"].to_numpy()
+        pairs = np.array(near_duplicates(list(pdf["text"]), words, similarity), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
-    return run
+    met = texts.select(F.col("_gl_row").alias("node"), F.col("_gl_text").alias("text")).join(small(members), "node")
+    return met.groupBy(*by).applyInPandas(run, "a long, b long")
+
+
+def verified_links(texts: DataFrame, clusters: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Candidate clusters (node, root) -> links (a, b) that span the near-duplicates within each of them.
+
+    A cluster is dealt into blocks of CLUSTER_BLOCK documents and CLUSTER_BYTES at most. First, every block is compared
+    in itself and with HUBS documents of the cluster that visit all its blocks; in a group of copies this joins (nearly)
+    all. Then only documents outside the cluster's largest group so far, the stragglers, meet all its blocks. So the
+    pairs between blocks of documents that are known to be linked are never made, and none that could add a link is left out.
+    """
+    sized = texts.select(F.col("_gl_row").alias("node"), F.octet_length("_gl_text").cast("long").alias("size")).join(small(clusters), "node")
+    sized = written(sized.select("root", "node", "size"), "sizes")
+    blocks = lambda n, size: F.greatest(F.ceil(n / CLUSTER_BLOCK), F.ceil(size / CLUSTER_BYTES)).cast("long")
+    count = F.count(F.lit(1))
+    of = written(sized.groupBy("root").agg(count.alias("m"), blocks(count, F.sum("size")).alias("n")), "blocks")
+    total = sized.count()
+    member = attach(sized, of, "root", "m", total).withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")))
+    member = written(member, "members")
+
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    rank = F.row_number().over(W.partitionBy("root").orderBy(F.xxhash64(F.lit(1), "node"), "node"))
+    hubs = member.where("n > 1").select("root", "node", "n", rank.alias("k")).where(F.col("k") <= HUBS)
+    visits = written(member.select("root", "i", "node").unionByName(hubs.select("root", each(F.col("n")).alias("i"), "node")), "visits")
+    links = written(_verified(texts, visits, ["root", "i"], words, similarity), "verified")
+
+    large = written(member.where("n > 1").select("root", "node", "size", "n", "i"), "large")
+    if large.isEmpty():
+        return links
+    groups = components(links).withColumnRenamed("root", "_gl_top")
+    large = large.join(small(groups), "node", "left").withColumn("top", F.coalesce("_gl_top", "node")).drop("_gl_top")
+    large = written(large, "large")
+    tops = large.groupBy("root", "top").agg(count.alias("m"), F.sum("size").alias("size"))
+    main = tops.groupBy("root").agg(F.max_by("top", F.struct("m", "top")).alias("main"), F.sum("m").alias("all"))
+    rest = tops.join(main, "root").where("top <> main").groupBy("root").agg(F.max("main").alias("main"), F.max("all").alias("m"), blocks(2 * F.sum("m"), F.sum("size")).alias("s"))
+    rest = written(rest, "stragglers")  # one row per cluster that has any
+    if rest.isEmpty():
+        return links
+    open_ = attach(large, rest, "root", "m", total).where("s IS NOT NULL")
+    strays = open_.where("top <> main").withColumn("j", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("s")))
+    again = strays.select("root", "j", each(F.col("n")).alias("i"), "node").unionByName(open_.select("root", each(F.col("s")).alias("j"), "i", "node"))
+    return links.unionByName(_verified(texts, written(again, "again"), ["root", "j", "i"], words, similarity))
 
 
 def drop_similar(
@@ -292,26 +380,26 @@ def drop_similar(
 ) -> DataFrame:
     """One row of each group of near-duplicates (least id, then first row), with the columns of ``docs``.
 
-    Two texts are near-duplicates when the Jaccard similarity of their sets of ``words``-word shingles (A-Z
-    lower-cased) is ``similarity`` or more; groups are the components of that relation. Candidates share a shingle of
-    their prefixes (``prefix``), which no such pair misses. They must agree in all but ``bits`` of 128 SimHash bits,
-    which keeps texts apart that share a passage only: at 0.8 some 19 differ, with a deviation of 4, so some 2e-8 of
-    such pairs are lost there (binomial; 1e-5 for sets of 4 and 5 shingles); of unrelated texts 64. Candidate clusters are then verified exactly on the texts' shingle sets, in blocks of CLUSTER_BLOCK
-    documents, so a cluster of any size is spread over tasks. Texts without a word are alike. Null ids lose to any
-    other. An empty table gives an empty one.
+    Two texts (A-Z lower-cased) are near-duplicates when their common ``words``-word shingles cover a share of
+    ``similarity`` or more of the words of both, or when the Jaccard similarity of their sets of shingles is that
+    high; groups are the components of that relation. The first finds copies with scattered edits, each of which spoils
+    ``words`` shingles and one word.
+
+    Candidates share a shingle of their prefixes (``prefix``). No pair with that Jaccard similarity is missed; of other
+    pairs with shares s of their shingles in common, about exp(-s * LEAST_KEYS) are. They must agree in all but ``bits``
+    of 128 SimHash bits over pairs of words, which keeps texts apart that share a passage only (of such near-duplicates
+    some 25 differ, of unrelated texts 64). Candidate clusters are then verified on the texts (``verified_links``), so a
+    cluster of any size is spread over tasks.
+
+    Null and empty texts, and all without a word, are alike. Null ids lose to any other; of rows that repeat an id and text one
+    stays. Texts of any length are read whole. Columns of ``docs`` may have any name. An empty table gives an empty one.
     """
     columns = docs.columns
     staged = written(docs.select(F.monotonically_increasing_id().alias("_gl_row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_gl_doc")), "staged")
     texts = staged.select("_gl_row", F.coalesce(F.col("_gl_doc").getField(text_col).cast("string"), F.lit("")).alias("_gl_text"))
     keys = texts.mapInArrow(_near_batches(words, similarity, common_shingles(texts, words)), "key long, node long, fp long, fp2 long")
     clusters = written(components(link_candidates(keys, bits)), "clusters")
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).alias("n"))
-    member = clusters.join(sizes, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")))
-    member = member.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    member = written(member.select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node"), "members")
-    clustered = texts.select(F.col("_gl_row").alias("node"), F.col("_gl_text").alias("text")).join(small(member), "node")
-    links = clustered.groupBy("root", "i", "j").applyInPandas(_verify(words, similarity), "a long, b long")
-    groups = written(components(links), "groups")
+    groups = written(components(verified_links(texts, clusters, words, similarity)), "groups")
     ids = staged.select(F.col("_gl_row").alias("node"), F.col("_gl_doc").getField(id_col).alias("id")).join(small(groups), "node")
     best = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("node").alias("node")))["node"].alias("node"))
     gone = written(groups.select("node").join(best, "node", "left_anti").withColumnRenamed("node", "_gl_row"), "gone")
