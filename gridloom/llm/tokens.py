@@ -8,14 +8,16 @@ from array import array
 from collections.abc import Callable, Iterable
 from itertools import chain
 
-import regex
-
-#: How the two vocabularies cut text before merging (their own pre-tokenizers do the same).
-BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: How the two vocabularies cut text before merging (their own pre-tokenizers do the same), written out for
+#: the characters of PLAIN. L stands for their letters.
+BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[0-9]+| ?[^\sL0-9]+|\s+(?!\S)|\s+"
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[L]+|[0-9]|[^\sL0-9]+"
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PLAIN = rf"[\x00-\x7f{LETTERS}]*"
 MARKS = frozenset(".,;:!?")
-#: Distinct units remembered by a Python worker; it starts afresh beyond that.
-MEMORY = 1_000_000
+#: Bytes of units and their ids that a Python worker remembers (with ENTRY for each). Units over LONG characters are not
+#: remembered.
+MEMORY, ENTRY, LONG = 160 << 20, 200, 64
 
 
 def read_tokenizer(path: str) -> str:
@@ -44,14 +46,23 @@ class _Odd(Exception):
 
 
 class _Units(dict):
-    """Unit -> ids; a new one is computed when it is first asked for."""
+    """Unit -> ids; a new one is computed when it is first asked for. Once half of the memory is full, what it holds
+    becomes the old half, of which only the units asked for again stay."""
 
     def __init__(self, compute: Callable[[str], bytes]):
         super().__init__()
-        self.compute = compute
+        self.compute, self.held, self.old = compute, 0, {}
 
     def __missing__(self, unit: str) -> bytes:
-        got = self[unit] = self.compute(unit)
+        got = self.old.pop(unit, None)
+        if got is None:
+            got = self.compute(unit)
+        if len(unit) <= LONG:
+            self.held += len(unit) + len(got) + ENTRY
+            if self.held > MEMORY // 2:
+                self.old, self.held = self.copy(), 0
+                self.clear()
+            self[unit] = got
         return got
 
 
@@ -59,8 +70,9 @@ class Encoder:
     """Texts -> arrays of ids, equal to ``encode(text, add_special_tokens=False)`` of the library.
 
     A text is cut at single spaces, where both vocabularies cut too, into units; each unit is looked up, and a new one
-    is cut into pieces by the vocabulary's pattern and merged by the library's model. A text in which a space stands
-    before white space, or which may hold a special token, is encoded by the library as a whole.
+    is cut into pieces by the vocabulary's pattern and merged by the library's model. The classes of characters beyond
+    PLAIN are the library's own affair: a unit with such characters is encoded by it, and a text that may hold a special
+    token as a whole.
     """
 
     def __init__(self, spec: str):
@@ -68,50 +80,39 @@ class Encoder:
 
         self.whole = Tokenizer.from_str(spec)
         self.tokenize = self.whole.model.tokenize
-        self.normalize = self.whole.normalizer.normalize_str if self.whole.normalizer else None
-        self.spaced = self.normalize is None  # a unit after the first begins with its space
-        self.pieces = regex.compile(BYTE_PIECES if self.spaced else WORD_PIECES).findall
-        self.odd = re.compile(r" \s|<\|" if self.spaced else r"<\||[\x00-\x08\x0b\x0c\x0e-\x1f\x85  ]").search
+        self.spaced = self.whole.normalizer is None  # a unit after the first begins with its space
+        self.pieces = re.compile((BYTE_PIECES if self.spaced else WORD_PIECES).replace("L", LETTERS), re.ASCII).findall
+        self.odd = re.compile(r"<\|" if self.spaced else r"<\||[\x00-\x08\x0b\x0c\x0e-\x1f\x85\u2028\u2029]").search
+        self.letters, self.plain = re.compile(f"[{LETTERS}]+").fullmatch, re.compile(PLAIN).fullmatch
         self.alphabet = _byte_alphabet()
         self.firsts = _Units(self._first)
         self.units = _Units(self._later) if self.spaced else self.firsts
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Units(self._merge)
 
     def _merge(self, piece: str) -> bytes:
-        mapped = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
-        return _packed([t.id for t in self.tokenize(mapped)])
-
-    def _part(self, piece: str) -> bytes:
-        got = self.parts.get(piece)
-        if got is None:
-            got = self.parts[piece] = self._merge(piece)
-        return got
+        if piece.isascii() and piece.isprintable():
+            return _packed([t.id for t in self.tokenize(piece.replace(" ", "\u0120"))])
+        return _packed([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))])
 
     def _first(self, unit: str) -> bytes:
-        """The first unit of a text has no space before it, and may begin with white space of another kind."""
-        if "<|" in unit or not self.spaced and self.odd(unit):
-            raise _Odd
-        return self._unit(unit)
+        """The first unit of a text has no space before it."""
+        return self._unit(unit, "")
 
     def _later(self, unit: str) -> bytes:
-        if self.odd(unit):
-            raise _Odd
         return self._unit(unit, " ")
 
-    def _unit(self, unit: str, lead: str = "") -> bytes:
+    def _unit(self, unit: str, lead: str) -> bytes:
         """``lead`` is the space before the unit where the vocabulary keeps it. Letters, then one mark, is the common
         case: its letters are a unit of their own."""
-        if self.normalize:
-            unit = unit.lower() if unit.isascii() else self.normalize(unit)
-        if unit.isalpha():
-            return self._merge(lead + unit)
-        if unit[-1:] in MARKS and unit[:-1].isalpha():
-            body, known = unit[:-1], self.units if lead or not self.spaced else self.firsts
-            got = known.get(body)
-            if got is None:
-                got = known[body] = self._merge(lead + body)
-            return got + self._part(unit[-1])
-        return b"".join(map(self._part, self.pieces(lead + unit)))
+        if self.letters(unit):
+            return self._merge(lead + (unit if self.spaced else unit.lower()))
+        if unit[-1:] in MARKS and self.letters(unit[:-1]):
+            return (self.units if lead else self.firsts)[unit[:-1]] + self.parts[unit[-1]]
+        if self.odd(unit):
+            raise _Odd
+        if not self.plain(unit):
+            return self._whole(lead + unit)
+        return b"".join(map(self.parts.__getitem__, self.pieces(lead + (unit if self.spaced else unit.lower()))))
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.whole.encode(text, add_special_tokens=False).ids)
@@ -120,11 +121,6 @@ class Encoder:
         """Little-endian unsigned 32-bit ids; null and empty texts have none."""
         if not text:
             return b""
-        if len(self.units) > MEMORY:
-            self.units.clear()
-            self.firsts.clear()
-        if len(self.parts) > MEMORY:
-            self.parts.clear()
         units = (text if self.spaced else text.replace("\n", " ")).split(" ")
         try:
             return self.firsts[units[0]] + b"".join(map(self.units.__getitem__, units[1:]))

@@ -47,22 +47,37 @@ def rows_of(df):
 # Tokens
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+VOCABULARIES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
+
+
+def same_ids(enc, texts):
+    for t, want in zip(texts, enc.whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == want.ids, ascii(t)
+
+
+@pytest.mark.parametrize("name", VOCABULARIES)
 def test_encoder_equals_library(name):
     enc = tokens.Encoder(tokens.read_tokenizer(public_tokenizers.path(name)))
     r = random.Random(4)
-    bits = ["a", "Bc", " ", "  ", "\n", "'s", "'", "é", "é", "1", "!", ".", "\t", "<|endoftext|>", "\x1c", " ", "𝔘", "ß", "İ", "日本"]
-    texts = ["", " ", LONG[:5000], "it's we'LL\n\n x ", *("".join(r.choice(bits) for _ in range(r.randrange(16))) for _ in range(1500))]
-    for t in texts:
-        assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.whole.encode(t, add_special_tokens=False).ids, repr(t)
+    bits = ["a", "Bc", " ", "  ", "     ", "\n", "\r\n", "'s", "'S", "'", "é", "e\u0301", "1", "!", ".", "\t", "\x0b", "<|endoftext|>", "\x1c", "\x85", "\xa0", "\u2028", "𝔘", "ß", "İ", "Σ", "日本"]
+    same_ids(enc, ["", " ", LONG[:5000], "it's we'LL\n\n x ", *("".join(r.choice(bits) for _ in range(r.randrange(16))) for _ in range(5000))])
     assert enc.encode(None) == b""
 
 
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_every_code_point(name):
+    enc = tokens.Encoder(tokens.read_tokenizer(public_tokenizers.path(name)))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 64 == 0 or 0xE0000 <= c < 0xE0200)]
+    for at in range(0, len(points), 10_000):
+        same_ids(enc, [f"a{x}b {x}x 1{x} {x}\n{x}" for x in map(chr, points[at : at + 10_000])])
+
+
 def test_encoder_forgets(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMORY", 3)
+    monkeypatch.setattr(tokens, "MEMORY", 2000)
     enc = tokens.Encoder(tokens.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
-    for t in ("a b c d e f", "g h i, j", "a b"):
-        assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.whole.encode(t, add_special_tokens=False).ids
+    same_ids(enc, ["a b c d e f", "g h i, j", "a b", *(f"first{i} then{i} last{i}." for i in range(200)), "日本語" * 50, "x" * 500])
+    for u in (enc.firsts, enc.units, enc.parts):
+        assert len(u) + len(u.old) <= 2000 // tokens.ENTRY and all(len(k) <= tokens.LONG for k in [*u, *u.old])
 
 
 # 1: URL filters
