@@ -8,8 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC = b"GLR1"
-#: A pair is replaced while it occurs this often; a rule costs about as much as three symbols.
-LEAST = 4
+#: A pair is replaced while it occurs this often; a rule costs about as much as three symbols. Rounds of such rare pairs end
+#: with the first that shortens the sequence by less than 1/ENOUGH.
+LEAST, ENOUGH = 4, 500
 
 
 @dataclass
@@ -33,10 +34,10 @@ def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
-    """Replace frequent pairs by nonterminals until no pair occurs ``least`` times.
+    """Replace frequent pairs by nonterminals until (nearly) no pair occurs ``least`` times.
 
-    A round counts all adjacent pairs and replaces, left to right, every pair at least a quarter as frequent as the
-    most frequent one (later rounds go on from there), so a score of rounds does what one pair at a time would; where
+    A round counts all adjacent pairs and replaces, left to right, every pair at least an eighth as frequent as the
+    most frequent one (later rounds go on from there), so a dozen rounds do what one pair at a time would; where
     chosen pairs overlap the left one wins. Rules refer to earlier codes only.
     """
     base, seq = _dense(ids)
@@ -49,7 +50,7 @@ def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
         s = np.sort(pair)
         first = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1, len(s)]
         counts = np.diff(first)
-        bar = max(least, (counts.max() + 3) // 4) if bar is None or bar > least else least
+        bar = max(least, (counts.max() + 7) // 8) if bar is None or bar > least else least
         chosen = s[first[:-1][counts >= bar]]
         if not len(chosen):
             if counts.max() < least:
@@ -81,8 +82,11 @@ def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
         seq[at] = code[k]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
+        enough = len(at) * ENOUGH < len(seq)
         seq = seq[stay]
         n_codes += int(used.sum())
+        if bar <= least and enough:
+            break
     rules = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     return Grammar(base.astype(np.uint32), rules, _lengths(len(base), rules), seq)
 

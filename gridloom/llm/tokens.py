@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import struct
 import sys
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from itertools import chain
 
 #: How the two vocabularies cut text before merging (their own pre-tokenizers do the same), written out for
@@ -15,6 +16,7 @@ WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[L]+|[0-9]|[^\sL0-9]+"
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 PLAIN = rf"[\x00-\x7f{LETTERS}]*"
 MARKS = frozenset(".,;:!?")
+BIG_ENDIAN = sys.byteorder == "big"
 #: Bytes of units and their ids that a Python worker remembers (with ENTRY for each). Units over LONG characters are not
 #: remembered.
 MEMORY, ENTRY, LONG = 160 << 20, 200, 64
@@ -33,12 +35,11 @@ def _byte_alphabet() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
 
 
-def _packed(ids: Iterable[int]) -> bytes:
+def _packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
-    a = array("I", ids)
-    if sys.byteorder == "big":
-        a.byteswap()
-    return a.tobytes()
+    if BIG_ENDIAN:
+        return struct.pack(f"<{len(ids)}I", *ids)
+    return array("I", ids).tobytes()
 
 
 class _Odd(Exception):
@@ -104,13 +105,20 @@ class Encoder:
     def _unit(self, unit: str, lead: str) -> bytes:
         """``lead`` is the space before the unit where the vocabulary keeps it. Letters, then one mark, is the common
         case: its letters are a unit of their own."""
-        if self.letters(unit):
+        if unit.isascii():
+            if unit.isalpha():
+                word = unit if self.spaced else unit.lower()
+                return _packed([t.id for t in self.tokenize("\u0120" + word if lead else word)])
+            plain = True
+        elif self.letters(unit):
             return self._merge(lead + (unit if self.spaced else unit.lower()))
+        else:
+            plain = self.plain(unit)
         if unit[-1:] in MARKS and self.letters(unit[:-1]):
             return (self.units if lead else self.firsts)[unit[:-1]] + self.parts[unit[-1]]
         if self.odd(unit):
             raise _Odd
-        if not self.plain(unit):
+        if not plain:
             return self._whole(lead + unit)
         return b"".join(map(self.parts.__getitem__, self.pieces(lead + (unit if self.spaced else unit.lower()))))
 
@@ -127,9 +135,6 @@ class Encoder:
         except _Odd:
             return self._whole(text)
 
-    def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
-        return [self.encode(t) for t in texts]
-
 
 _ENCODERS: dict[int, Encoder] = {}
 
@@ -142,5 +147,3 @@ def encoder(spec: str) -> Encoder:
         _ENCODERS[k] = Encoder(spec)
     return _ENCODERS[k]
 
-
-Encode = Callable[[str | None], bytes]
