@@ -98,8 +98,9 @@ def written_so_far(spark: SparkSession) -> list[str]:
 
 
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A broadcast hint for a written table of numbers, if a count shows ``rows`` at most (a few MB); else a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Hints for a join with a written table of numbers and short keys: broadcast if a count shows ``rows`` at most (some
+    MB), else sort-merge, whose partitions adaptive execution may split."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
 def attach(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:

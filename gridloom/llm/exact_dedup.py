@@ -7,11 +7,41 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import attach, text_of, without, written
+from gridloom.llm.common import attach, small, text_of, without, written
 
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
+def _staged(docs: DataFrame, text: Column, digest: Callable[[Column], Column], extra: Sequence[Column]) -> DataFrame:
+    """Written rows: _gl_row, _gl_key (equal for equal texts only) and ``extra``.
+
+    Texts are hashed where they lie. Only those whose digest occurs twice or more are looked at again: an aggregation
+    keyed by digest and text compares their bytes, and a digest of several texts is told apart by the text itself.
+    """
+    row = F.monotonically_increasing_id().alias("_gl_row")
+    staged = written(docs.select(row, digest(text).alias("_gl_key"), *extra), "staged")
+    count = F.count(F.lit(1)).alias("n")
+    again = written(staged.groupBy("_gl_key").agg(count).where("n > 1").select("_gl_key"), "repeated")
+    keyed = docs.select(digest(text).alias("_gl_key"), text.alias("_gl_text"))
+    texts = keyed.join(small(again), "_gl_key", "left_semi").groupBy("_gl_key", "_gl_text").agg(count)
+    clash = written(texts.groupBy("_gl_key").agg(count).where("n > 1").select("_gl_key"), "clash")
+    if clash.isEmpty():
+        return staged
+    known = docs.withColumn("_gl_key", digest(text)).join(small(clash.withColumn("_gl_c", F.lit(True))), "_gl_key", "left")
+    key = F.when(F.col("_gl_c"), F.concat("_gl_key", F.lit(":"), text)).otherwise(F.col("_gl_key"))
+    return written(known.select(row, key.alias("_gl_key"), *extra), "staged")
+
+
+def _best(staged: DataFrame, keep: str) -> DataFrame:
+    """(_gl_key, _gl_n, _gl_keep, _gl_keep_row) of the groups with two rows or more; pre-aggregated before the shuffle."""
+    if keep not in ("smallest", "largest"):
+        raise ValueError("keep must be 'smallest' or 'largest'")
+    best = F.max if keep == "largest" else F.min
+    missing = F.col("_gl_id").isNull() if keep == "smallest" else F.col("_gl_id").isNotNull()
+    groups = staged.groupBy("_gl_key").agg(F.count(F.lit(1)).alias("_gl_n"), best(F.struct(missing.alias("m"), "_gl_id", "_gl_row")).alias("b"))
+    return written(groups.where("_gl_n > 1").select("_gl_key", "_gl_n", F.col("b._gl_id").alias("_gl_keep"), F.col("b._gl_row").alias("_gl_keep_row")), "classes")
+
+
 def mark_duplicates(
     docs: DataFrame,
     *,
@@ -23,45 +53,20 @@ def mark_duplicates(
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256 and the columns named in ``carry``.
 
-    Texts are equal when their UTF-8 bytes are. ``digest`` (128 bits) groups them; an aggregation keyed by digest and
-    text then compares the bytes, and digests shared by different texts are regrouped by the text itself. Copies are
-    pre-aggregated before every shuffle, so a group of any size costs one row per task; rows get their group by a join
-    in which the (boundedly many) hot groups are broadcast.
+    Texts are equal when their UTF-8 bytes are. ``digest`` (128 bits) groups them, and the bytes are compared in every
+    group (``_staged``); texts that occur once never move. Rows get their group by a join in which the (few) hot groups
+    are broadcast.
 
     A null text counts as empty, so all of them are one group. Rows that repeat an id and its text are one group in
     which exactly one row is kept. A null id is never preferred to another; a group with null ids only keeps one row
-    and has a null keep_id. Input columns named like an output column are replaced. An empty table gives an empty one.
+    and has a null keep_id. Texts of any length are read whole. Input columns named like an output column are replaced.
+    An empty table gives an empty one.
     """
-    if keep not in ("smallest", "largest"):
-        raise ValueError("keep must be 'smallest' or 'largest'")
-    text = text_of(text_col)
     docs = without(docs, *[c for c in OUT if c.lower() not in (id_col.lower(), text_col.lower())])
     carry = [c for c in carry if c in docs.columns and c != id_col]
-    keyed = docs.select(F.col(f"`{id_col}`").alias("_gl_id"), text.alias("_gl_text"), *[F.col(f"`{c}`") for c in carry])
-    keyed = keyed.withColumn("_gl_h", digest(F.col("_gl_text")))
-
-    # Bytes: one row per digest and text; a digest with two rows is a collision.
-    texts = keyed.groupBy("_gl_h", "_gl_text").agg(F.count(F.lit(1)).alias("n"))
-    clashing = written(texts.groupBy("_gl_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_gl_h"), "clash")
-    if clashing.isEmpty():
-        keyed = keyed.withColumn("_gl_key", F.col("_gl_h"))
-    else:
-        clash = keyed.join(clashing.withColumn("_gl_c", F.lit(True)), "_gl_h", "left")
-        keyed = clash.withColumn("_gl_key", F.when(F.col("_gl_c"), F.concat("_gl_h", F.lit(":"), "_gl_text")).otherwise(F.col("_gl_h")))
-
-    staged = written(
-        keyed.select(
-            F.monotonically_increasing_id().alias("_gl_row"), "_gl_id", "_gl_key", F.sha2("_gl_text", 256).alias("text_sha256"), *[F.col(f"`{c}`") for c in carry]
-        ),
-        "staged",
-    )
-    best = F.max if keep == "largest" else F.min
-    missing = F.col("_gl_id").isNull() if keep == "smallest" else F.col("_gl_id").isNotNull()
-    groups = staged.groupBy("_gl_key").agg(
-        F.count(F.lit(1)).alias("_gl_n"), best(F.struct(missing.alias("m"), "_gl_id", "_gl_row")).alias("_gl_best")
-    )
-    classes = written(groups.where("_gl_n > 1").select("_gl_key", "_gl_n", F.col("_gl_best._gl_id").alias("_gl_keep"), F.col("_gl_best._gl_row").alias("_gl_keep_row")), "classes")
-    joined = attach(staged, classes, "_gl_key", "_gl_n", staged.count())
+    text = text_of(text_col)
+    staged = _staged(docs, text, digest, [F.col(f"`{id_col}`").alias("_gl_id"), F.sha2(text, 256).alias("text_sha256"), *[F.col(f"`{c}`") for c in carry]])
+    joined = attach(staged, _best(staged, keep), "_gl_key", "_gl_n", staged.count())
     alone = F.col("_gl_n").isNull()
     return joined.select(
         F.col("_gl_id").alias(id_col),
@@ -73,8 +78,15 @@ def mark_duplicates(
     )
 
 
-def drop_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows that stay, with the columns of ``docs``."""
-    id_col = how.get("id_col", "doc_id")
-    kept = mark_duplicates(docs, carry=[c for c in docs.columns if c != id_col], **how).where("kept")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest: Callable[[Column], Column] = F.md5
+) -> DataFrame:
+    """The rows that stay (see ``mark_duplicates``, whose edge cases hold), with the columns of ``docs``, whatever their names.
+
+    Groups are found on digests and row numbers; the rows themselves meet only the list of those that go.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_gl_doc")
+    staged = _staged(docs, text_of(text_col), digest, [F.col(f"`{id_col}`").alias("_gl_id"), whole])
+    slim = staged.select("_gl_row", "_gl_key", "_gl_id")
+    gone = attach(slim, _best(slim, keep), "_gl_key", "_gl_n", slim.count()).where(F.col("_gl_row") != F.col("_gl_keep_row"))
+    return staged.join(small(written(gone.select("_gl_row"), "gone")), "_gl_row", "left_anti").select("_gl_doc.*")

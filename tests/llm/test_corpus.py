@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -102,25 +103,52 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), mined, RULES).count() == 0
 
 
-def test_mined_rules(spark):
+def rules_by_force(rows, need, confidence, most, noise):
+    """Every set of tokens that qualifies, by trying all; ``rows`` are (tokens, bad)."""
+    base = sum(b for _, b in rows) / len(rows)
+    tokens_, found = sorted({t for x, _ in rows for t in x}), {}
+    same = {t: frozenset(k for k, (x, _) in enumerate(rows) if t in x) for t in tokens_}
+    for n in range(1, most + 1):
+        for c in itertools.combinations(tokens_, n):
+            hit = [b for x, b in rows if set(c) <= x]
+            if len({same[t] for t in c}) == n and sum(hit) >= need:
+                found[c] = sum(hit), len(hit)
+    tests = len({frozenset(same[t] for t in c) for c in found})
+    ok = {c: h / n for c, (h, n) in found.items() if h >= confidence * n and sum(math.comb(n, k) * base**k * (1 - base) ** (n - k) for k in range(h, n + 1)) <= noise / tests}
+    return {c for c, q in ok.items() if not any(set(d) < set(c) and ok[d] >= q for d in ok)}
+
+
+@pytest.mark.parametrize("width", [12, 1])
+def test_mined_rules(spark, width):
     r = random.Random(1)
     rows = []
     for i in range(400):
         bad = i % 4 == 0
         host = "casino-win" if bad and i % 8 else r.choice(["blog", "www", "shop"])
-        rows.append((f"http://{host}.site{i % 7}.com/en/{i}?ref={i}", bad if i % 9 else None))
-    rows.append((None, True))
+        pair = "/red/blue" if bad and i % 3 else r.choice(["/red", "/blue", ""])
+        rows.append((f"http://{host}.site{i % 7}.com/en{pair}/{i}?ref={i}", bad if i % 9 else None))
+    rows += [(None, True), ("http://long.com/" + "x" * 100_000, True), ("", False)]
     df = spark.createDataFrame(rows, "url string, bad boolean")
-    rules = url_filter.mine_rules(df)
-    assert any(x.tokens == ("h:casino",) for x in rules) and all(x.confidence >= 0.6 for x in rules)
-    assert not any(set(a.tokens) < set(b.tokens) and a.confidence >= b.confidence for a in rules for b in rules)
+    rules = url_filter.mine_rules(df, width=width)
     known = [(set(x), b) for x, b in ((t["t"], t["bad"]) for t in df.where("bad IS NOT NULL AND url IS NOT NULL").select(url_filter.url_tokens(F.col("url")).alias("t"), "bad").collect())]
-    for x in rules:  # brute force
+    assert {x.tokens for x in rules} == rules_by_force(known, 5, 0.6, 3, 0.05)
+    assert any(x.tokens == ("h:casino",) for x in rules) and any(x.tokens == ("p:blue", "p:red") for x in rules)
+    for x in rules:
         hit = [b for t, b in known if set(x.tokens) <= t]
         assert abs(sum(hit) / len(hit) - x.confidence) < 1e-9 and abs(sum(hit) / len(known) - x.support) < 1e-9
     assert url_filter.mine_rules(df.limit(0)) == [] and url_filter.mine_rules(df.where("NOT bad")) == []
 
 
+def test_shared_parameters(spark):
+    """A template of 30 parameters, and one of 25 that come and go, are mined in seconds; chance gives no rule."""
+    r = random.Random(2)
+    rows = [("http://a.com/?" + "&".join(f"k{j}=1" for j in range(30)), i % 2 == 0 or i < 80) for i in range(100)]
+    rows += [("http://b.com/?" + "&".join(f"m{j}=1" for j in range(25) if r.random() < 0.9), r.random() < 0.3) for i in range(150)]
+    rows += [(f"http://c.com/{r.choice('abcdef')}/{r.choice('xyz')}", r.random() < 0.3) for i in range(300)]
+    rules = url_filter.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert {x.tokens for x in rules} == {(f"q:k{j}",) for j in range(30)} | {("h:a",)}
+
+
 # 2: toxicity
 
 
@@ -240,10 +268,17 @@ def test_mix(spark, odd, empty):
     assert sorted(map(key, got)) == sorted(map(key, again))
     out = mixing.render(mixing.mix(odd), odd.columns)
     assert out.columns == odd.columns
-    words = Counter()
+    words, whole, texts = Counter(), Counter(), {r["text"] for r in got}
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
     for r in rows_of(out):
-        words[r["source"]] += len((r["text"] or "").split())
-    assert sum(words.values()) > 0 and mixing.render(mixing.mix(empty), empty.columns).count() == 0
+        words[r["source"]] += len(split(r["text"]))
+        whole[r["source"]] += r["text"] not in texts
+        assert any(r["doc_id"] == x["doc_id"] and split(x["text"])[: len(split(r["text"]))] == split(r["text"]) for x in got)
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert +words == +taken and max(whole.values()) <= 1  # one cut row a source
+    assert mixing.render(mixing.mix(empty), empty.columns).count() == 0
     many = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 7).alias("source"), (F.col("id") % 90).alias("n"))
     t = {r["source"]: r for r in rows_of(mixing.mix(many, size_col="n", weights=(9, 1)).groupBy("source").agg(F.sum("taken").alias("k"), F.first("target").alias("t")))}
     assert all(abs(r["k"] - r["t"]) <= 1 for r in t.values())
@@ -303,8 +338,11 @@ def test_repair_is_cheapest():
 
 def test_chats(spark):
     turns = [(1, 0, "user", "hi", "m"), (1, 1, "assistant", "yo", "m"), (2, 0, "user", None, "m"), (2, 0, "user", None, "m"), (3, 5, None, "x", "m"), (None, None, "bot", "", "m"), (4, 2, "assistant", "b", "m"), (4, 1, "system", "a", "m")]
+    turns += [(-(1 << 62), 0, "user", "edge", "m"), (9, 0, "user", LONG, "m"), (9, 1, "assistant", LONG[::-1], "m"), (9, 0, "user", LONG, "m")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, position string")
     got = rows_of(chat.format_chats(df).orderBy("conv_id", "position"))
+    assert [(r["conv_id"], r["turn"], r["text"]) for r in got if r["action"] != "insert" and r["conv_id"] in (None, -(1 << 62))] == [(None, None, ""), (-(1 << 62), 0, "edge")]
+    assert [r["text"] for r in got if r["conv_id"] == 9] == [LONG, LONG, LONG[::-1]] and all(r["text"] in r["rendered"] for r in got)
     one = [r for r in got if r["conv_id"] == 1]
     assert "".join(r["rendered"] for r in one) == "<|user|>\nhi<|end|>\n<|assistant|>\nyo<|end|>\n"
     assert [r["action"] for r in got if r["conv_id"] == 2] == ["keep", "relabel"]
