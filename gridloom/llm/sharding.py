@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import text_of, without, written
+from gridloom.llm.common import small, text_of, without, written
 
 #: Partitions of the scatter at most, and buckets whose starts (a few numbers each) are broadcast.
 MOST_PARTITIONS, SMALL_BUCKETS = 1 << 15, 100_000
@@ -38,26 +38,34 @@ def shuffle_into_shards(
 
     The law is ``key``: shard and grown_shard (with one shard more) follow from the id and the number of shards alone.
     Pass one scatters rows by seeded hashes of id and text into buckets of about ``bucket_bytes`` within each shard, so
-    copies of one text under different ids spread evenly; the number of buckets comes from the measured total. Pass
-    two gathers each bucket (bounded by design), puts it into a fixed order and applies Fisher-Yates (Spark's
-    ``shuffle``, one seed per partition over buckets in order), so a rerun with the same partition count repeats it.
+    copies of one text under different ids spread evenly; the number of buckets comes from the measured total. Rows that
+    repeat id and text are measured too: where they are more than a bucket together, they are salted over all buckets of
+    their shard. Pass two gathers each bucket (bounded by design), puts it into a fixed order and applies Fisher-Yates
+    (Spark's ``shuffle``, one seed per partition over buckets in order), so a rerun with the same splits and partition
+    count repeats it.
     Slots run from 0 without a gap in each shard, bucket after bucket.
 
-    size is the UTF-8 bytes of the text plus 1 (a null text has none and stays null). Null ids form one key. Rows that
-    repeat id and text fall into one bucket. Input columns named like an output column are replaced. An empty table
-    gives an empty one.
+    size is the UTF-8 bytes of the text plus 1 (a null text has none and stays null); a text of any length is one row.
+    Null ids form one key. Input columns named like an output column are replaced. An empty table gives an empty one.
     """
     docs = without(docs, *[c for c in OUT if c.lower() not in (id_col.lower(), text_col.lower())])
     carry = [c for c in (carry or []) if c in docs.columns and c not in (id_col, text_col)]
     row = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), *[F.col(f"`{c}`") for c in carry])
     row = row.withColumn("size", (F.octet_length(text_of(text_col)) + 1).cast("long"))
-    total = row.agg(F.sum("size").alias("b")).first()["b"] or 0
+    key = F.col(f"`{id_col}`")
+    row = row.withColumn("_gl_rank", F.xxhash64(F.lit(seed + 1), key, F.col(f"`{text_col}`")))
+    alike = row.groupBy("_gl_rank").agg(F.sum("size").alias("b"))
+    total, most = alike.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.max("b"), F.lit(0))).first()
     parts = max(1, math.ceil(total / shards / bucket_bytes))
 
-    key = F.col(f"`{id_col}`")
     row = row.withColumns({"shard": shard_of(key, shards, seed), "grown_shard": shard_of(key, shards + 1, seed)})
-    row = row.withColumn("_gl_rank", F.xxhash64(F.lit(seed + 1), key, F.col(f"`{text_col}`")))
-    row = row.withColumn("_gl_bucket", F.pmod(F.col("_gl_rank"), F.lit(parts)).cast("int"))
+    place = F.col("_gl_rank")
+    if most > bucket_bytes:  # fewer such ranks than buckets
+        row = row.withColumn("_gl_salt", F.monotonically_increasing_id())
+        heavy = written(alike.where(F.col("b") > bucket_bytes).select("_gl_rank", F.lit(True).alias("_gl_heavy")), "heavy")
+        row = row.join(small(heavy), "_gl_rank", "left")
+        place = F.when(F.col("_gl_heavy"), F.xxhash64("_gl_rank", "_gl_salt")).otherwise(place)
+    row = row.withColumn("_gl_bucket", F.pmod(place, F.lit(parts)).cast("int"))
 
     # Pass one: the scatter, a partition for each bucket (several beyond MOST_PARTITIONS). The count is explicit, so
     # reruns see the same partitions.
