@@ -22,6 +22,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-def stable_bucket(key: Column, n: int) -> Column:
-    """0..n-1 from a string, the same on every run and machine."""
-    return F.pmod(F.crc32(key.cast("string")), F.lit(n)).cast("int")
+def stable_number(key: Column) -> Column:
+    """A number below 2**32 from a string (eight hex digits of its MD5), the same on every run and in every engine."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")

@@ -6,11 +6,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -75,6 +76,50 @@ class GroupScorer:
         return df.drop(out).groupBy(self.group).applyInPandas(run, schema)
 
 
+class SequenceModel(Protocol):
+    """Adds an array of ``horizon`` predictions (or of arrays of quantiles) to rows with an array ``encoder``."""
+
+    def score(self, df: DataFrame, horizon: int, out: str = "y_hat") -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class DampedTrend:
+    """Level and damped slope of the encoder: last + slope * (damp + damp**2 + ...). Stays in generated code.
+
+    With ``spread``, three quantiles per step: the forecast less, as it is, and more that many of the encoder's ranges.
+    """
+
+    damp: float = 0.5
+    spread: float | None = None
+
+    def score(self, df: DataFrame, horizon: int, out: str = "y_hat") -> DataFrame:
+        e, n = F.col("encoder"), F.size("encoder")
+        last, slope = F.element_at(e, -1), (F.element_at(e, -1) - F.element_at(e, 1)) / F.greatest(n - 1, F.lit(1))
+        gains = [sum(self.damp**k for k in range(1, h + 1)) for h in range(1, horizon + 1)]
+        steps = [last + slope * F.lit(float(g)) for g in gains]
+        if self.spread is not None:
+            wide = (F.array_max(e) - F.array_min(e)) * F.lit(float(self.spread))
+            steps = [F.array(y - wide, y, y + wide) for y in steps]
+        return df.withColumn(out, F.array(*steps))
+
+
+@dataclass(frozen=True)
+class ArrayModel:
+    """Any Python model over a batch of encoders: (rows, encoder) -> (rows, horizon), or (rows, horizon, quantiles)."""
+
+    predict: Callable[[np.ndarray, int], np.ndarray]
+    quantiles: bool = False
+
+    def score(self, df: DataFrame, horizon: int, out: str = "y_hat") -> DataFrame:
+        predict = self.predict
+
+        @F.pandas_udf("array<array<double>>" if self.quantiles else "array<double>")
+        def run(encoder: pd.Series) -> pd.Series:
+            return pd.Series(list(np.asarray(predict(np.stack(encoder.to_list()), horizon), float).tolist()) if len(encoder) else [])
+
+        return df.withColumn(out, run("encoder"))
+
+
 def fit_boosting(
     df: DataFrame, features: Sequence[str], target: str, *, validation: str | None = None, trees: int = 1000, depth: int = 6, rate: float = 0.05, seed: int = 42
 ) -> PipelineScorer:
@@ -90,3 +135,8 @@ def importances(scorer: PipelineScorer, top: int = 20) -> list[tuple[str, float]
     """Features by importance, descending."""
     got = zip(scorer.used, scorer.model.stages[-1].featureImportances.toArray().tolist(), strict=True)
     return sorted(got, key=lambda x: (-x[1], x[0]))[:top]
+
+
+def importance_table(spark: SparkSession, scorer: PipelineScorer, top: int = 20) -> DataFrame:
+    """The same as a table: feature, importance."""
+    return spark.createDataFrame(importances(scorer, top), "feature string, importance double").orderBy(F.desc("importance"), "feature")

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from gridloom.functions import text
 
 #: Sides of up to so many rows are broadcast after a count; beyond, Spark's own choice stands.
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 200_000
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """A broadcast hint for a side whose size is checked first."""
+    """A broadcast hint for a side of narrow rows whose number is checked first."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -41,21 +41,29 @@ def attach_coordinates(agg: DataFrame, matches: DataFrame, key: str = "location_
 def best_match(left: DataFrame, right: DataFrame, threshold: float, name: str = "location_name", geo: str = "geo_name") -> DataFrame:
     """Best token-Jaccard match of each distinct name; first right row (by ``pos``) wins ties; null where none passes.
 
-    A pair with score above 0 shares a token, so both sides are exploded to tokens and joined on them; the overlap is a
-    count per pair. ``right`` has ``pos`` (its row order). Scores of 0 never match. Very common tokens are what makes
-    such a join grow: a pair is met once per shared token, and counts are pre-aggregated. Right rows of one name tie, so
-    only the first of each distinct name is compared.
+    Of n tokens a match shares ceil(threshold * n) at least, so in any common order of tokens the first
+    n - ceil(threshold * n) + 1 of both sides have one in common. With rare tokens first, words that every name has do
+    not bring all pairs together. Pairs that share such a token are compared on their whole token sets. ``right`` has
+    ``pos`` (its row order). Scores of 0 never match. Right rows of one name tie, so only the first of each distinct name
+    is compared.
     """
-    names = left.select(name).distinct().withColumn("_t", text.tokens(F.col(name)))
-    rows = right.groupBy(geo).agg(F.min("pos").alias("pos")).withColumn("_u", text.tokens(F.col(geo)))
-    a = names.select(name, F.size("_t").alias("_n"), F.explode("_t").alias("_k"))
-    b = rows.select("pos", F.size("_u").alias("_m"), F.explode("_u").alias("_k"))
-    pairs = a.join(b, "_k").groupBy(name, "pos", "_n", "_m").agg(F.count(F.lit(1)).alias("_o"))
-    pairs = pairs.withColumn("score", F.col("_o") / (F.col("_n") + F.col("_m") - F.col("_o")))
-    best = pairs.groupBy(name).agg(F.max(F.struct("score", (-F.col("pos")).alias("neg"))).alias("_b"))
-    best = best.select(name, F.col("_b.score").alias("score"), (-F.col("_b.neg")).alias("pos")).where(F.col("score") >= threshold)
+    names = left.select(F.col(name).alias("_l")).distinct().withColumn("_t", text.tokens(F.col("_l")))
+    rows = right.groupBy(F.col(geo).alias("_r")).agg(F.min("pos").alias("pos")).withColumn("_u", text.tokens(F.col("_r")))
+    counts = names.select(F.explode("_t").alias("_k")).unionAll(rows.select(F.explode("_u").alias("_k"))).groupBy("_k").agg(F.count(F.lit(1)).alias("_c"))
+
+    def prefix(d: DataFrame, key: str, tokens: str) -> DataFrame:
+        ranked = d.select(key, F.size(tokens).alias("_n"), F.explode(tokens).alias("_k")).join(counts, "_k")
+        place = F.row_number().over(W.partitionBy(key).orderBy("_c", "_k"))
+        return ranked.withColumn("_p", place).where(F.col("_p") <= F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n") - 1e-9) + 1).select(key, "_k")
+
+    met = prefix(names, "_l", "_t").join(prefix(rows, "pos", "_u"), "_k").select("_l", "pos").distinct()
+    pairs = met.join(names, "_l").join(rows.select("pos", "_u"), "pos")
+    overlap = F.size(F.array_intersect("_t", "_u"))
+    pairs = pairs.select("_l", "pos", (overlap / (F.size("_t") + F.size("_u") - overlap)).alias("score"))
+    best = pairs.groupBy("_l").agg(F.max(F.struct("score", (-F.col("pos")).alias("neg"))).alias("_b"))
+    best = best.select("_l", F.col("_b.score").alias("score"), (-F.col("_b.neg")).alias("pos")).where(F.col("score") >= threshold)
     hit = best.join(right, "pos").drop("pos").withColumnRenamed(geo, "matched_geo_name")
-    return names.select(name).join(hit, name, "left")
+    return names.select("_l").join(hit, "_l", "left").withColumnRenamed("_l", name)
 
 
 def matched(best: DataFrame) -> DataFrame:
@@ -118,7 +126,7 @@ def proxy_unseen(df: DataFrame, trained: DataFrame, key: str = "location", out:
     sites = trained.select(F.col(key).cast("string").alias("_s")).where("_s IS NOT NULL").distinct()
     numbered = sites.withColumn("_i", (F.row_number().over(W.orderBy("_s")) - 1).cast("int"))
     n = sites.agg(F.count(F.lit(1)).alias("_n"))
-    d = df.crossJoin(F.broadcast(n)).withColumn("_i", F.when(F.col("_n") > 0, F.pmod(F.crc32(F.col(key).cast("string")), F.greatest("_n", F.lit(1)))).cast("int"))
+    d = df.crossJoin(F.broadcast(n)).withColumn("_i", F.when(F.col("_n") > 0, F.pmod(text.stable_number(F.col(key)), F.greatest("_n", F.lit(1)))).cast("int"))
     own = numbered.select(F.col("_s").alias("_own"))
     d = d.join(small(own), F.col(key).cast("string") == F.col("_own"), "left").join(small(numbered), "_i", "left")
     return d.withColumn(out, F.coalesce("_own", "_s")).drop("_i", "_n", "_own", "_s")

@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def hash_order(seed: int, *columns: str) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
+    """MD5 of seed and values: any engine can repeat the choice."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+
+
+def hash_number(seed: int, *columns: str | Column) -> Column:
+    """A number below 2**32 from the first eight hex digits of that hash."""
+    values = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *values)), 1, 8), 16, 10).cast("long")
 
 
 def sample_keys(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
@@ -26,16 +34,13 @@ def draw_from_pool(keys: DataFrame, pool: DataFrame, draws: int, key: str, value
     """``draws`` values per key with replacement from the key's pool: (key, draw, value)."""
     pools = pool.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("_p"))
     d = keys.join(pools, key).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    at = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("draw")), F.size("_p")).cast("int")
+    at = F.pmod(hash_number(seed, key, "draw"), F.size("_p")).cast("int")
     return d.withColumn(out, F.get("_p", at)[value]).drop("_p")
 
 
 def candidates(df: DataFrame, keys: Sequence[str], k: int, order: Sequence[str], seed: int = 42) -> DataFrame:
     """Empirical conditional sampler: k historical rows at most per key combination, by hash. Rows are real, so each
-    stays within what was observed. Partial top-k lists are merged, so no group is gathered whole."""
-    row = F.struct(*[F.col(c) for c in df.columns])
-    top = F.struct(hash_order(seed, *order).alias("_h"), row.alias("_r"))
-    d = df.withColumn("_salt", F.pmod(F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in order]), F.lit(64)))
-    part = d.groupBy(*keys, "_salt").agg(F.slice(F.sort_array(F.collect_list(top)), 1, k).alias("_l"))
-    whole = part.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("_l"))), 1, k).alias("_l"))
-    return whole.select(F.posexplode("_l").alias("candidate", "_e")).select("candidate", "_e._r.*")
+    stays within what was observed. A rank with a limit, which Spark applies in every task before the shuffle, so a group
+    of any size costs k rows per task."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(hash_order(seed, *order), *order))
+    return df.withColumn("candidate", place - 1).where(F.col("candidate") < k).select("candidate", *df.columns)

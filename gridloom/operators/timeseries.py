@@ -13,6 +13,21 @@ def ordered(group: str = "location", ts: str = "timestamp", *ties: str) -> W:
     return W.partitionBy(group).orderBy(F.col(ts).asc_nulls_last(), *ties)
 
 
+def in_order(df: DataFrame, group: str = "location", ts: str = "timestamp", *ties: str) -> DataFrame:
+    """The whole table by (site, time): a range shuffle and sorted files, for outputs that are read in order."""
+    return df.orderBy(group, ts, *ties)
+
+
+def in_order_by_part(df: DataFrame, group: str = "location", ts: str = "timestamp") -> DataFrame:
+    """Order within each partition only: no shuffle, and no order between partitions."""
+    return df.sortWithinPartitions(group, ts)
+
+
+def index_between(df: DataFrame, first: int, end: int, index: str = "time_idx") -> DataFrame:
+    """Rows first .. end - 1 of every site's index: a slice by number."""
+    return df.where((F.col(index) >= first) & (F.col(index) < end))
+
+
 def half_hour(ts: Column) -> Column:
     """Start of the half hour."""
     return F.date_trunc("HOUR", ts).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.floor(F.minute(ts) / 30) * 30).cast("int"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import stats
 from gridloom.models import Scorer
-from gridloom.operators import aggregate, clean, joins, sampling, scenario, timeseries
+from gridloom.operators import aggregate, clean, sampling, scenario, timeseries
 
 
 def brute_force(df: DataFrame, scorer: Scorer, features: Sequence[str], *, ts: str = "timestamp", group: str = "location", daylight: tuple[int, int] = (6, 19), **mods) -> DataFrame:
@@ -48,33 +48,51 @@ def analogue_years(years: Sequence[int], fallback: Sequence[int]) -> list[tuple[
     return [(y, a) for k, y in enumerate(years) for a in (fallback if k == 0 else (y - 2, y - 1))]
 
 
-def historical_analogue(df: DataFrame, scorer: Scorer, features: Sequence[str], years: Sequence[int], cfg: AnalogueConfig = AnalogueConfig(), *, ts: str = "timestamp", group: str = "location") -> DataFrame:  # noqa: B008
+def historical_analogue(
+    df: DataFrame, scorer: Scorer, features: Sequence[str], years: Sequence[int], cfg: AnalogueConfig = AnalogueConfig(), *,  # noqa: B008
+    ts: str = "timestamp", group: str = "location", pick: Column | None = None,
+) -> DataFrame:
     """(location, year, mean, p90, n_samples, growth): windows of a year under weather of extreme analogue hours.
 
-    Each year has one low and one high library row per hour (24 rows a year and side), joined by broadcast.
+    All years go through together: each has one low and one high library row per hour (least ``pick``, by default a hash)
+    and one of each for hours without any, 25 rows a year, joined by broadcast. Both scenarios ride on one row, so
+    windows are made once and predictions are never joined.
     """
-    parts = []
     use = clean.present(df.columns, features)
-    pairs = analogue_years(years, cfg.fallback_years)
-    for y in years:
-        lib = df.where(F.year(ts).isin([a for k, a in pairs if k == y]))
-        low, high = clean.extreme_rows(lib, cfg.irradiance, cfg.low, cfg.high)
-        own = df.where(F.year(ts) == y)
-        enough = own.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= cfg.min_samples).select(group)
-        own = own.join(enough, group, "left_semi")
-        w = timeseries.sliding_windows(own, cfg.window, cfg.step, (group,), ts)
-        y_high = scorer.score(joins.hour_analogue(w, high, use, ts), "y_high").select(group, ts, "window_start", "place", "y_high")
-        y_low = scorer.score(joins.hour_analogue(w, low, use, ts), "y_low").select(group, ts, "window_start", "place", "y_low")
-        both = y_high.join(y_low, [group, ts, "window_start", "place"]).where(F.col("place") >= cfg.encoder)
-        cap = aggregate.peak_difference(both, "y_low", "y_high", ts, [group, "window_start"], cfg.peak).withColumn("year", F.lit(y))
-        parts.append(aggregate.site_year(cap, keys=(group, "year"), min_windows=cfg.min_windows))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    pairs = df.sparkSession.createDataFrame(analogue_years(years, cfg.fallback_years), "year int, _a int")
+    pick = pick if pick is not None else F.xxhash64(F.lit(42), *use)
+    lib = df.withColumns({"_a": F.year(ts), "_k": pick}).join(F.broadcast(pairs), "_a")
+    bounds = lib.groupBy("year").agg(F.percentile(cfg.irradiance, F.array(F.lit(cfg.low), F.lit(cfg.high))).alias("_q"))
+    lib = lib.join(F.broadcast(bounds), "year")  # a row per year
+    sides = {"low": F.col(cfg.irradiance) <= F.col("_q")[0], "high": F.col(cfg.irradiance) >= F.col("_q")[1]}
+    chosen = [F.min_by(F.struct(*use), F.when(on, F.col("_k"))).alias(s) for s, on in sides.items()]
+    by_hour = lib.groupBy("year", F.hour(ts).alias("_h")).agg(*chosen)
+    others = lib.groupBy("year").agg(*chosen).withColumnsRenamed({s: f"any_{s}" for s in sides})
+
+    own = df.withColumn("year", F.year(ts)).where(F.col("year").isin(list(years)))
+    enough = own.groupBy(group, "year").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= cfg.min_samples)
+    own = own.join(enough.drop("_n"), [group, "year"], "left_semi")
+    w = timeseries.sliding_windows(own, cfg.window, cfg.step, (group, "year"), ts).where(F.col("place") >= cfg.encoder)
+    w = w.withColumn("_h", F.hour(ts)).join(F.broadcast(by_hour), ["year", "_h"], "left").join(F.broadcast(others), "year", "left")
+    for side in sides:
+        best = F.coalesce(side, f"any_{side}")
+        w = scorer.score(w.withColumns({c: best[c] for c in use}), f"y_{side}")
+    cap = aggregate.peak_difference(w, "y_low", "y_high", ts, [group, "year", "window_start"], cfg.peak)
+    out = aggregate.site_year(cap, keys=(group, "year"), min_windows=cfg.min_windows)
     out = out.withColumns({"mean": F.bround("mean", 4), "p90": F.bround("p90", 4)})
     return timeseries.growth(out, "mean", group, "year")
 
 
+def calibration(df: DataFrame, y: str, x: str, group: str = "location", min_rows: int = 10) -> DataFrame:
+    """Trimmed calibration per site: finite pairs, y within its own 1st to 99th percentile, identity as the fallback."""
+    d = df.where(stats.finite(F.col(x)) & stats.finite(F.col(y)))
+    q = d.groupBy(group).agg(F.percentile(y, F.array(F.lit(0.01), F.lit(0.99))).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    a, b = stats.slope_intercept(F.col(y), F.col(x))
+    c = d.join(q, group).where(F.col(y).between(F.col("_q")[0], F.col("_q")[1])).groupBy(group).agg(F.first("_n").alias("_n"), a.alias("_a"), b.alias("_b"))
+    ok = (F.col("_n") >= min_rows) & stats.finite(F.col("_a"))
+    return c.select(group, F.when(ok, F.col("_a")).otherwise(F.lit(1.0)).alias("slope"), F.when(ok, F.col("_b")).otherwise(F.lit(0.0)).alias("intercept"))
+
+
 def widen(result: DataFrame, years: Sequence[int], group: str = "location") -> DataFrame:
     """One row per site: capacity_<y>_mean, capacity_<y>_p90, n_samples_<y>, growth_<a>_<b>_mw and _pct."""
     aggs = []
@@ -99,15 +117,15 @@ def on_manifold(
     use = [c for c in weights if c in df.columns]
     if not use:
         raise ValueError("none of the weighted features is present")
-    sites = aggregate.median_month(df, ts, group)
-    noon = df.join(sites, group).where((F.month(ts) == F.col("median_month")) & (F.hour(ts) == 12)).select(group, ts, *use)
+    summer_noon = F.month(ts).between(5, 9) & F.hour(ts).between(11, 14)
+    orient = stats.orientation_negative(*(F.when(summer_noon, F.col(c)) for c in (primary, target)))
+    sites = df.groupBy(group).agg(F.percentile(F.month(ts), F.lit(0.5)).cast("int").alias("median_month"), orient.alias("orientation"))
+    noon = df.where(F.hour(ts) == 12).join(sites.select(group, "median_month"), group).where(F.month(ts) == F.col("median_month")).select(group, ts, *use)
     cand = aggregate.score_pools(aggregate.solar_score(sampling.candidates(noon, [group], k, [group, ts], seed), weights), keys=(group,), low=low, high=high)
     vec = cand.withColumn("v", F.struct(*use))
-    keys = df.select(group).distinct()
-    d_low = sampling.draw_from_pool(keys, vec.where("in_low"), draws, group, "v", "candidate", seed, "v_low")
-    d_high = sampling.draw_from_pool(keys, vec.where("in_high"), draws, group, "v", "candidate", seed + 1, "v_high")
-    orient = df.groupBy(group).agg(stats.orientation_negative(*(F.when(F.month(ts).between(5, 9) & F.hour(ts).between(11, 14), F.col(c)) for c in (primary, target))).alias("orientation"))
-    j = df.join(d_low.join(d_high, [group, "draw"]), group).join(orient, group)
+    d_low = sampling.draw_from_pool(sites.select(group), vec.where("in_low"), draws, group, "v", "candidate", seed, "v_low")
+    d_high = sampling.draw_from_pool(sites.select(group), vec.where("in_high"), draws, group, "v", "candidate", seed + 1, "v_high")
+    j = df.join(d_low.join(d_high, [group, "draw"]).join(sites.select(group, "orientation"), group), group)
     for side in ("low", "high"):
         mods = scenario.with_siblings(df.columns, {c: F.col(f"v_{side}")[c] for c in use})
         saved = {f"_own_{c}": F.col(c) for c in mods}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.models import Scorer
+from gridloom.models import Scorer, SequenceModel
 from gridloom.operators import clean, timeseries
 
 
@@ -39,6 +39,29 @@ def predict(df: DataFrame, scorer: Scorer, ts: str = "timestamp", group: str = "
     return y.select(group, ts, F.lit(horizon).alias("horizon_step"), "y_hat")
 
 
+def predict_windows(
+    df: DataFrame, model: SequenceModel, encoder: int, horizon: int, *, target: str, index: str = "time_idx", ts: str = "timestamp", group: str = "location", step: int = 1
+) -> DataFrame:
+    """Forecasts of a model over sequences, as rows by (site, time, step): location, timestamp, horizon_step, y_hat.
+
+    Every full window (``encoder`` values before, ``horizon`` known rows from) is scored at its first decoder step, every
+    ``step``-th of a site. A model may give quantiles per step, of which the middle one counts. Steps without a timestamp
+    are dropped.
+    """
+    table = df if index in df.columns else timeseries.index_by_count(df, group, ts, index)
+    w = timeseries.sequences(table, target, encoder, horizon, group, ts).join(table.select(group, ts, index), [group, ts])
+    w = w.where(F.pmod(F.col(index) - encoder, F.lit(step)) == 0)
+    scored = model.score(w.select(group, index, "encoder"), horizon, "y_hat")
+    if dict(scored.dtypes)["y_hat"].startswith("array<array"):
+        scored = scored.withColumn("y_hat", F.transform("y_hat", middle))
+    return timeseries.in_order(expand(scored.select(group, index, "y_hat"), table, ts, group, index), group, ts, "horizon_step")
+
+
+def middle(quantiles: Column) -> Column:
+    """The middle one of a step's quantiles (of an even number the upper one of the two); null for none."""
+    return F.get(quantiles, F.floor(F.size(quantiles) / 2).cast("int"))
+
+
 def expand(predictions: DataFrame, table: DataFrame, ts: str = "timestamp", group: str = "location", index: str = "time_idx") -> DataFrame:
     """Arrays of predictions per (site, first index) to rows with timestamps; steps without one are dropped."""
     rows = timeseries.explode_horizon(predictions).withColumn(index, F.col(index) + F.col("horizon_step") - 1)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import stats, text
-from gridloom.models import LinearScorer, fit_boosting
+from gridloom.models import DampedTrend, LinearScorer, fit_boosting
 from gridloom.operators import aggregate, clean, joins, sampling, scenario, sets, timeseries
 from gridloom.plans import capacity, forecast, ingest, reports
 from gridloom.session import ship
@@ -29,6 +29,12 @@ S = """s AS (SELECT event_id, cast(user_id AS VARCHAR) AS location, ts AS timest
   value * 0.05::DOUBLE + (event_id % 11)::DOUBLE AS active_power_mw_clean FROM events)"""
 
 
+#: A series of several years from ``orders``: ten sites, a reading each at a time of its own.
+O = """o AS (SELECT o_orderkey, cast(o_custkey % 10 AS VARCHAR) AS location, o_orderdate + to_seconds((o_orderkey * 7919) % 86400) AS timestamp, o_totalprice / 1000.0::DOUBLE AS ssrd_w_m2,
+  (o_orderkey % 97)::DOUBLE / 97 AS tcc, ((o_orderkey * 7) % 90)::DOUBLE AS solar_zenith_angle, ((o_orderkey * 13) % 31)::DOUBLE AS t2m_c, o_totalprice / 2000.0::DOUBLE AS ssrd_w_m2_lag_2h,
+  o_totalprice * 0.0001::DOUBLE + (o_orderkey % 11)::DOUBLE AS active_power_mw_clean FROM orders)"""  # noqa: E741
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -53,6 +59,16 @@ def _s(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _o(spark: SparkSession, d: str) -> DataFrame:
+    k, v = F.col("o_orderkey"), F.col("o_totalprice")
+    seconds = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k * 7919) % 86400)
+    return _t(spark, d, "orders").select(
+        "o_orderkey", (F.col("o_custkey") % 10).cast("string").alias("location"), (F.col("o_orderdate") + seconds).alias("timestamp"), (v / 1000.0).alias("ssrd_w_m2"),
+        ((k % 97).cast("double") / 97).alias("tcc"), ((k * 7) % 90).cast("double").alias("solar_zenith_angle"), ((k * 13) % 31).cast("double").alias("t2m_c"),
+        (v / 2000.0).alias("ssrd_w_m2_lag_2h"), (v * 0.0001 + (k % 11).cast("double")).alias("active_power_mw_clean"),
+    )
+
+
 def _r(c: str, n: int = 6):
     return F.round(c, n).alias(c)
 
@@ -134,9 +150,9 @@ def in_sites(spark, d):
     return _s(spark, d).where(F.col("location").isin("1", "5", "7")).select("event_id")
 
 
-@query(f"WITH {S} SELECT event_id FROM s WHERE hour(timestamp) BETWEEN 6 AND 19 AND month(timestamp) BETWEEN 1 AND 3 AND year(timestamp) = 2024")
+@query(f"WITH {O} SELECT o_orderkey FROM o WHERE hour(timestamp) BETWEEN 6 AND 19 AND month(timestamp) BETWEEN 5 AND 9 AND year(timestamp) = 1998")
 def daylight_filter(spark, d):
-    return _s(spark, d).where(clean.hours("timestamp", 6, 19) & clean.months("timestamp", 1, 3) & (F.year("timestamp") == 2024)).select("event_id")
+    return _o(spark, d).where(clean.hours("timestamp", 6, 19) & clean.months("timestamp", 5, 9) & (F.year("timestamp") == 1998)).select("o_orderkey")
 
 
 @query(f"WITH {S}, q AS (SELECT quantile_cont(ssrd_w_m2, 0.05) AS lo, quantile_cont(ssrd_w_m2, 0.95) AS hi FROM s) SELECT event_id, 'low' AS pool FROM s, q WHERE ssrd_w_m2 <= lo UNION ALL SELECT event_id, 'high' FROM s, q WHERE ssrd_w_m2 >= hi")
@@ -193,9 +209,9 @@ def site_quantiles(spark, d):
     return q.select("location", *[_r(f"{c}_{k}") for c in WEATHER for k in ("lo", "hi", "min", "max")])
 
 
-@query(f"WITH {S} SELECT location, cast(floor(quantile_cont(month(timestamp), 0.5)) AS INT) AS median_month FROM s GROUP BY location")
+@query(f"WITH {O} SELECT location, cast(floor(quantile_cont(month(timestamp), 0.5)) AS INT) AS median_month FROM o GROUP BY location")
 def median_month(spark, d):
-    return aggregate.median_month(_s(spark, d))
+    return aggregate.median_month(_o(spark, d))
 
 
 _SC = " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END, 6) AS std, round(min({c}), 6) AS min, round(max({c}), 6) AS max FROM s" for c in WEATHER)
@@ -249,17 +265,7 @@ def calibration_plain(spark, d):
 
 @query(f"WITH {S}, g AS (SELECT *, count(*) OVER (PARTITION BY location) AS n, quantile_cont(active_power_mw_clean, 0.01) OVER (PARTITION BY location) AS lo, quantile_cont(active_power_mw_clean, 0.99) OVER (PARTITION BY location) AS hi FROM s WHERE gap IS NOT NULL), c AS (SELECT location, any_value(n) AS n, regr_slope(active_power_mw_clean, gap) AS a, regr_intercept(active_power_mw_clean, gap) AS b FROM g WHERE active_power_mw_clean BETWEEN lo AND hi GROUP BY location) SELECT location, round(CASE WHEN n < 10 OR a IS NULL OR isnan(a) THEN 1 ELSE a END, 6) AS slope, round(CASE WHEN n < 10 OR a IS NULL OR isnan(a) THEN 0 ELSE b END, 6) AS intercept FROM c")
 def calibration_trimmed(spark, d):
-    return capacity_calibration(_s(spark, d), "active_power_mw_clean", "gap").select("location", _r("slope"), _r("intercept"))
-
-
-def capacity_calibration(df: DataFrame, y: str, x: str, group: str = "location", min_rows: int = 10) -> DataFrame:
-    """Trimmed calibration per site: finite pairs, y within its own 1st to 99th percentile, identity as the fallback."""
-    d = df.where(stats.finite(F.col(x)) & stats.finite(F.col(y)))
-    q = d.groupBy(group).agg(F.percentile(y, F.array(F.lit(0.01), F.lit(0.99))).alias("_q"), F.count(F.lit(1)).alias("_n"))
-    a, b = stats.slope_intercept(F.col(y), F.col(x))
-    c = d.join(q, group).where(F.col(y).between(F.col("_q")[0], F.col("_q")[1])).groupBy(group).agg(F.first("_n").alias("_n"), a.alias("_a"), b.alias("_b"))
-    ok = (F.col("_n") >= min_rows) & stats.finite(F.col("_a"))
-    return c.select(group, F.when(ok, F.col("_a")).otherwise(F.lit(1.0)).alias("slope"), F.when(ok, F.col("_b")).otherwise(F.lit(0.0)).alias("intercept"))
+    return capacity.calibration(_s(spark, d), "active_power_mw_clean", "gap").select("location", _r("slope"), _r("intercept"))
 
 
 @query(f"WITH {S} SELECT event_id, round(coalesce(gap * 1.0::DOUBLE, 0) + tcc * (-1.0)::DOUBLE, 6) AS score FROM s")
@@ -272,16 +278,18 @@ def score_pools(spark, d):
     return aggregate.score_pools(_s(spark, d), "gap", ["location"]).select("event_id", "in_low", "in_high")
 
 
-@query("WITH v AS (SELECT label, vec_id, embedding FROM embeddings WHERE vec_id % 50 < 6) SELECT a.label, round(avg(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS overlap FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label")
+_OVERLAP = "SELECT a.label, round(avg(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS overlap FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label"
+
+
+@query(_OVERLAP)
 def head_overlap(spark, d):
-    v = _t(spark, d, "embeddings").where(F.col("vec_id") % 50 < 6)
-    return aggregate.head_overlap(v, "label", "embedding", "vec_id").where("overlap IS NOT NULL").select("label", _r("overlap", 5))
+    return aggregate.head_overlap(_t(spark, d, "embeddings"), "label", "embedding", "vec_id").where("overlap IS NOT NULL").select("label", _r("overlap", 5))
 
 
-@query()
+@query(_OVERLAP)
 def head_overlap_all(spark, d):
-    """All embeddings; ``head_overlap`` is the sample that its SQL states (a self-join of all pairs is dear there)."""
-    return aggregate.head_overlap(_t(spark, d, "embeddings"), "label", "embedding", "vec_id").where("overlap IS NOT NULL").select("label", _r("overlap", 5))
+    """Another name of ``head_overlap``."""
+    return head_overlap(spark, d)
 
 
 # Time series
@@ -373,9 +381,9 @@ def top_growth(spark, d):
     return _yearly(spark, d).where("growth_mw IS NOT NULL").orderBy(F.desc("growth_mw"), "location").limit(10).select("location", "year", _r("growth_mw"))
 
 
-@query(f"WITH {_YEARLY}, {_GROWN} SELECT year, count(*) AS n_sites, round(avg(growth_mw), 1) AS mean_mw, round(median(growth_pct), 1) AS median_pct, count(*) FILTER (growth_mw > 0) AS n_positive FROM r WHERE growth_mw IS NOT NULL GROUP BY year")
+@query(f"WITH {_YEARLY}, {_GROWN} SELECT year, count(*) AS n_sites, round(avg(growth_mw), 1) AS mean_mw, round(avg(growth_pct), 1) AS mean_pct, round(median(growth_pct), 1) AS median_pct, count(*) FILTER (growth_mw > 0) AS n_positive FROM r WHERE growth_mw IS NOT NULL GROUP BY year")
 def fleet_summary(spark, d):
-    return aggregate.fleet_summary(_yearly(spark, d)).select("year", "n_sites", _r("mean_mw", 1), _r("median_pct", 1), "n_positive")
+    return aggregate.fleet_summary(_yearly(spark, d)).select("year", "n_sites", _r("mean_mw", 1), _r("mean_pct", 1), _r("median_pct", 1), "n_positive")
 
 
 @query("SELECT location, year::INT AS year, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.9), 6) AS p90, count(*) AS n_samples FROM (SELECT o_custkey AS location, year(o_orderdate) AS year, o_totalprice AS v FROM orders) GROUP BY ALL HAVING count(*) >= 3")
@@ -384,9 +392,10 @@ def site_year_gate(spark, d):
     return aggregate.site_year(o, min_windows=3).select("location", "year", _r("mean"), _r("p90"), "n_samples")
 
 
-@query("SELECT * FROM (VALUES (2022, 2021), (2022, 2022), (2023, 2021), (2023, 2022), (2024, 2022), (2024, 2023)) t(year, analogue_year)")
+@query("WITH y AS (SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders) SELECT year, unnest(CASE WHEN year = (SELECT min(year) FROM y) THEN [1990, 1991] ELSE [year - 2, year - 1] END)::INT AS analogue_year FROM y")
 def analogue_year_choice(spark, d):
-    return spark.createDataFrame(capacity.analogue_years([2022, 2023, 2024], (2021, 2022)), "year int, analogue_year int")
+    years = [r["y"] for r in _t(spark, d, "orders").select(F.year("o_orderdate").alias("y")).distinct().orderBy("y").collect()]
+    return spark.createDataFrame(capacity.analogue_years(years, (1990, 1991)), "year int, analogue_year int")
 
 
 # Joins, sets, text
@@ -399,10 +408,10 @@ def grid_map_join(spark, d):
     return joins.weather_to_sites(w, n).select("s_suppkey", "n_name", "weather_t2m")
 
 
-@query(f"WITH {S}, p AS (SELECT location, timestamp, kva FROM s WHERE event_id % 3 <> 0), w AS (SELECT location, timestamp, t2m_c AS weather_t2m FROM s WHERE event_id % 2 = 0) SELECT * FROM p JOIN w USING (location, timestamp)")
+@query(f"WITH {S} SELECT a.location, a.timestamp, a.kva, b.t2m_c AS weather_t2m FROM s a JOIN s b ON a.location = b.location AND a.timestamp = b.timestamp")
 def power_weather_join(spark, d):
     s = _s(spark, d)
-    return joins.power_to_weather(s.where("event_id % 3 <> 0").select("location", "timestamp", "kva"), s.where("event_id % 2 = 0").select("location", "timestamp", F.col("t2m_c").alias("weather_t2m")))
+    return joins.power_to_weather(s.select("location", "timestamp", "kva"), s.select("location", "timestamp", F.col("t2m_c").alias("weather_t2m")))
 
 
 @query("SELECT c_custkey, c_nationkey, n_regionkey::DOUBLE AS longitude, n_nationkey::DOUBLE AS latitude FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey")
@@ -412,39 +421,48 @@ def attach_left(spark, d):
 
 
 _TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({x}), '\\s+', ' ', 'g')), ' '), lambda t: t <> ''))"
-_MATCH = f"""WITH l AS (SELECT DISTINCT p_name AS location_name FROM part WHERE p_partkey % 2 = 0), g AS (SELECT p_partkey AS pos, p_name || ' ' || p_type AS geo_name, p_size::DOUBLE AS longitude, p_retailprice AS latitude FROM part WHERE p_partkey % 7 = 1),
+_MATCH = f"""WITH l AS (SELECT p_name AS location_name FROM part UNION SELECT n_name FROM nation), g AS (SELECT p_partkey AS pos, p_name || ' ' || p_type AS geo_name, p_size::DOUBLE AS longitude, p_retailprice AS latitude FROM part),
 lt AS (SELECT location_name, {_TOK.format(x='location_name')} AS a FROM l), gt AS (SELECT *, {_TOK.format(x='geo_name')} AS b FROM g),
-p AS (SELECT location_name, pos, len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) AS score FROM lt, gt),
-m AS (SELECT location_name, arg_max(pos, (score, -pos)) AS pos, max(score) AS score FROM p WHERE score > 0 GROUP BY location_name),
+p AS (SELECT location_name, pos, count(*)::DOUBLE / (any_value(n) + any_value(m) - count(*)) AS score FROM (SELECT location_name, len(a) AS n, unnest(a) AS t FROM lt) JOIN (SELECT pos, len(b) AS m, unnest(b) AS t FROM gt) USING (t) GROUP BY ALL),
+m AS (SELECT location_name, arg_max(pos, (score, -pos)) AS pos, max(score) AS score FROM p GROUP BY location_name),
 r AS (SELECT location_name, geo_name AS matched_geo_name, round(score, 9) AS score, longitude, latitude FROM m JOIN g USING (pos) WHERE m.score >= 0.45)"""
+_MATCHED, _UNMATCHED = f"{_MATCH} SELECT * FROM r", f"{_MATCH} SELECT location_name FROM l WHERE location_name NOT IN (SELECT location_name FROM r)"
 
 
-def _best(spark, d, names="p_partkey % 2 = 0", candidates="p_partkey % 7 = 1"):
+def _names(spark, d):
     p = _t(spark, d, "part")
-    left = p.where(names).select(F.col("p_name").alias("location_name"))
-    right = p.where(candidates).select(F.col("p_partkey").alias("pos"), F.concat_ws(" ", "p_name", "p_type").alias("geo_name"), F.col("p_size").cast("double").alias("longitude"), F.col("p_retailprice").alias("latitude"))
-    return joins.best_match(left, right, 0.45)
+    right = p.select(F.col("p_partkey").alias("pos"), F.concat_ws(" ", "p_name", "p_type").alias("geo_name"), F.col("p_size").cast("double").alias("longitude"), F.col("p_retailprice").alias("latitude"))
+    return p.select(F.col("p_name").alias("location_name")).unionAll(_t(spark, d, "nation").select("n_name")), right
 
 
-@query(f"{_MATCH} SELECT * FROM r")
+@query(_MATCHED)
 def fuzzy_match(spark, d):
-    return joins.matched(_best(spark, d)).select("location_name", "matched_geo_name", _r("score", 9), "longitude", "latitude")
+    return joins.matched(joins.best_match(*_names(spark, d), 0.45)).select("location_name", "matched_geo_name", _r("score", 9), "longitude", "latitude")
 
 
-@query(f"{_MATCH} SELECT location_name FROM l WHERE location_name NOT IN (SELECT location_name FROM r)")
+@query(_UNMATCHED)
 def fuzzy_unmatched(spark, d):
-    return joins.unmatched(_best(spark, d))
+    return joins.unmatched(joins.best_match(*_names(spark, d), 0.45))
 
 
-@query()
+@query(_MATCHED)
 def fuzzy_match_all(spark, d):
-    """All names against all rows; ``fuzzy_match`` is the sample that its SQL states (a product of both sides there)."""
-    return joins.matched(_best(spark, d, "true", "true")).select("location_name", "matched_geo_name", _r("score", 9), "longitude", "latitude")
+    """Another name of ``fuzzy_match``."""
+    return fuzzy_match(spark, d)
 
 
-@query()
+@query(_UNMATCHED)
 def fuzzy_unmatched_all(spark, d):
-    return joins.unmatched(_best(spark, d, "true", "true"))
+    return fuzzy_unmatched(spark, d)
+
+
+@query(f"""{_MATCH}, a AS (SELECT p_name AS location_name, p_size % 5 AS hh, sum(p_retailprice) AS kw FROM part GROUP BY ALL)
+SELECT a.location_name, hh::INT AS hh, round(kw, 6) AS active_power_kw, longitude, latitude FROM a LEFT JOIN r USING (location_name)""")
+def located_power(spark, d):
+    names, geo = _names(spark, d)
+    agg = _t(spark, d, "part").groupBy(F.col("p_name").alias("tx_id"), (F.col("p_size") % 5).alias("hh")).agg(F.sum("p_retailprice").alias("active_power_kw"))
+    located, _, _ = ingest.locate(agg, geo, 0.45)
+    return located.select("location_name", F.col("hh").cast("int"), _r("active_power_kw"), "longitude", "latitude")
 
 
 @query(f"WITH {S} SELECT event_id FROM s WHERE location IN (SELECT location FROM s WHERE event_type = 'error')")
@@ -458,7 +476,7 @@ def anti_unseen(spark, d):
     return joins.unseen_only(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels"), "doc_id")
 
 
-@query()
+@query(f"WITH {S}, l AS (SELECT DISTINCT location FROM s), t AS (SELECT location AS model_location, row_number() OVER (ORDER BY location) - 1 AS i, count(*) OVER () AS n FROM l WHERE location::INT % 3 <> 0) SELECT location, coalesce(own.model_location, p.model_location) AS model_location FROM l LEFT JOIN t own ON location = own.model_location JOIN t p ON p.i = ('0x' || substr(md5(location), 1, 8))::BIGINT % p.n")
 def proxy_unseen(spark, d):
     s = _s(spark, d).select("location").distinct()
     return joins.proxy_unseen(s, s.where(F.col("location").cast("int") % 3 != 0))
@@ -516,14 +534,20 @@ def string_cleanup(spark, d):
     return _t(spark, d, "part").select("p_partkey", text.clean(F.concat(F.lit("  "), "p_name", F.lit("   "), "p_brand", F.lit(" "))).alias("cleaned"))
 
 
-@query(f"WITH {S} SELECT location, (SELECT count(*) FROM s) > 0 AS any FROM s GROUP BY location")
+_SOME = "k AS (SELECT location FROM (SELECT DISTINCT location FROM s) ORDER BY md5('42:' || location), location LIMIT {n})"
+
+
+@query(f"WITH {S}, {_SOME.format(n=7)} SELECT location FROM k")
 def sample_sites(spark, d):
-    s = _s(spark, d)
-    k = s.select("location").distinct().count()
-    return sampling.sample_keys(s, "location", k).withColumn("any", F.lit(True))
+    return sampling.sample_keys(_s(spark, d), "location", 7)
 
 
-@query()
+@query(f"WITH {S} SELECT event_id FROM s ORDER BY md5('42:' || event_id), event_id LIMIT 100")
+def sample_rows(spark, d):
+    return sampling.sample_rows(_s(spark, d), 100, ["event_id"]).select("event_id")
+
+
+@query(f"WITH {S}, {_SOME.format(n=10)}, n AS (SELECT location, timestamp, kva, row_number() OVER (PARTITION BY location ORDER BY timestamp) - 1 AS i FROM s JOIN k USING (location) WHERE timestamp >= TIMESTAMP '2024-01-08' AND timestamp < TIMESTAMP '2024-01-15') SELECT location, timestamp, kva FROM n WHERE i % 3 = 0")
 def plot_lines(spark, d):
     return reports.plot_lines(_s(spark, d), "kva", sites=10, start=TS("2024-01-08"), days=7, every=3)
 
@@ -570,31 +594,79 @@ def sibling_overwrite(spark, d):
     return scenario.apply_constants(_s(spark, d), {"ssrd_w_m2": 700.0, "no_such": 1.0}, siblings=True).select("event_id", "ssrd_w_m2", "ssrd_w_m2_lag_2h", "tcc")
 
 
-@query(f"WITH {S}, p AS (SELECT location, timestamp, 1::INT AS horizon_step, {Y} AS y FROM s) SELECT location, timestamp, horizon_step, round(y, 6) AS y_hat_max, round(y * 0.5::DOUBLE, 6) AS y_hat_min FROM p")
+_SIDES = "h AS (SELECT event_id, {Y} AS y FROM (SELECT event_id, ssrd_w_m2_lag_2h, {high} FROM j)), l AS (SELECT event_id, {Y} AS y FROM (SELECT event_id, ssrd_w_m2_lag_2h, {low} FROM j))".format(Y=Y, high=_day("high"), low=_day("low"))
+
+
+@query(f"WITH {S}, {_mods_sql()}, j AS (SELECT * FROM s JOIN m USING (location)), {_SIDES} SELECT location, timestamp, 1::INT AS horizon_step, round(h.y, 6) AS y_hat_max, round(l.y, 6) AS y_hat_min FROM s JOIN h USING (event_id) JOIN l USING (event_id)")
 def high_low_join(spark, d):
-    p = forecast.predict(_s(spark, d), MODEL)
-    return joins.high_low(p, p.withColumn("y_hat", F.col("y_hat") * 0.5)).select("location", "timestamp", "horizon_step", _r("y_hat_max"), _r("y_hat_min"))
+    s = _s(spark, d)
+    low, high = scenario.scenario_pair(s, scenario.coherent_mods(s, WEATHER), WEATHER)
+    p = joins.high_low(forecast.predict(high, MODEL), forecast.predict(low, MODEL))
+    return p.select("location", "timestamp", "horizon_step", _r("y_hat_max"), _r("y_hat_min"))
 
 
-@query(f"""WITH {S}, {_mods_sql()}, j AS (SELECT * FROM s JOIN m USING (location)),
-h AS (SELECT event_id, {Y} AS y FROM (SELECT event_id, ssrd_w_m2_lag_2h, {_day('high')} FROM j)), l AS (SELECT event_id, {Y} AS y FROM (SELECT event_id, ssrd_w_m2_lag_2h, {_day('low')} FROM j)),
+@query(f"""WITH {S}, {_mods_sql()}, j AS (SELECT * FROM s JOIN m USING (location)), {_SIDES},
 x AS (SELECT location, greatest(h.y - l.y, 0) AS delta FROM s JOIN h USING (event_id) JOIN l USING (event_id))
 SELECT location, round(avg(delta), 6) AS mean_impact_mw, round(quantile_cont(delta, 0.95), 6) AS p95_impact_mw FROM x GROUP BY location""")
 def brute_capacity(spark, d):
     return capacity.brute_force(_s(spark, d), MODEL, WEATHER).select("location", _r("mean_impact_mw"), _r("p95_impact_mw"))
 
 
-@query()
-def manifold_capacity(spark, d):
-    s = _s(spark, d)
-    w = {"ssrd_w_m2": 1.0, "tcc": -1.0}
-    return capacity.on_manifold(s, MODEL, w, target="active_power_mw_clean", primary="ssrd_w_m2", k=16, draws=5)
+#: Draw i of a pool with seed q (SQL): the pool's row at the hash of site and draw.
+_DRAW = "SELECT location, i AS draw, ssrd_w_m2 AS {k}_ssrd, tcc AS {k}_tcc FROM (SELECT location, i, ('0x' || substr(md5('{q}:' || location || ':' || i), 1, 8))::BIGINT % n AS place FROM (SELECT location, count(*) AS n FROM pool WHERE {k} GROUP BY location), range(1, 21) r(i)) JOIN (SELECT *, row_number() OVER (PARTITION BY location ORDER BY candidate) - 1 AS place FROM pool WHERE {k}) USING (location, place)"
+_LINEAR = "(1.0::DOUBLE + {a} * 0.01::DOUBLE + {b} * (-0.5)::DOUBLE + solar_zenith_angle * (-0.02)::DOUBLE + t2m_c * 0.1::DOUBLE + {c} * 0.005::DOUBLE)"
 
 
-@query()
+def _drawn(k: str) -> str:
+    day = lambda x, own: f"(CASE WHEN hour(timestamp) BETWEEN 6 AND 19 THEN {x} ELSE {own} END)"
+    return _LINEAR.format(a=day(f"{k}_ssrd", "ssrd_w_m2"), b=day(f"{k}_tcc", "tcc"), c=day(f"{k}_ssrd", "ssrd_w_m2_lag_2h"))
+
+
+@query(f"""WITH {O}, site AS (SELECT location, cast(floor(quantile_cont(month(timestamp), 0.5)) AS INT) AS mm, count(*) FILTER (su) AS n, {_COR.format(x='x', y='y')} AS r
+  FROM (SELECT *, CASE WHEN su THEN ssrd_w_m2 END AS x, CASE WHEN su THEN active_power_mw_clean END AS y FROM (SELECT *, month(timestamp) BETWEEN 5 AND 9 AND hour(timestamp) BETWEEN 11 AND 14 AS su FROM o)) GROUP BY location),
+noon AS (SELECT o.*, row_number() OVER (PARTITION BY location ORDER BY md5('42:' || location || ':' || strftime(timestamp, '%Y-%m-%d %H:%M:%S')), timestamp) - 1 AS candidate FROM o JOIN site USING (location) WHERE hour(timestamp) = 12 AND month(timestamp) = mm),
+c AS (SELECT location, candidate, ssrd_w_m2, tcc, ssrd_w_m2 * 1.0::DOUBLE + tcc * (-1.0)::DOUBLE AS score FROM noon WHERE candidate < 64),
+q AS (SELECT location, quantile_cont(score, 0.2) AS lo, quantile_cont(score, 0.8) AS hi FROM c GROUP BY location), pool AS (SELECT c.*, score <= lo AS low, score >= hi AS high FROM c JOIN q USING (location)),
+dl AS ({_DRAW.format(k='low', q=42)}), dh AS ({_DRAW.format(k='high', q=43)}),
+y AS (SELECT location, n >= 20 AND r < 0 AS turned, {_drawn('high')} AS yh, {_drawn('low')} AS yl FROM o JOIN dl USING (location) JOIN dh USING (location, draw) JOIN site USING (location)),
+x AS (SELECT location, greatest(CASE WHEN turned THEN (1.5::DOUBLE * yl + 0.25::DOUBLE) - (1.5::DOUBLE * yh + 0.25::DOUBLE) ELSE (1.5::DOUBLE * yh + 0.25::DOUBLE) - (1.5::DOUBLE * yl + 0.25::DOUBLE) END, 0) AS delta FROM y)
+SELECT location, round(avg(delta), 6) AS mean_impact_mw, round(quantile_cont(delta, 0.95), 6) AS p95_impact_mw FROM x GROUP BY location""")
+def manifold_capacity(spark, d):
+    w = {"ssrd_w_m2": 1.0, "tcc": -1.0}
+    m = capacity.on_manifold(_o(spark, d), MODEL, w, target="active_power_mw_clean", primary="ssrd_w_m2", slope=1.5, intercept=0.25)
+    return m.select("location", _r("mean_impact_mw"), _r("p95_impact_mw"))
+
+
+_YEARS = (1998, 1999, 2000)
+_AT = ", ".join(f"max({c}) FILTER (year = {y}) AS capacity_{y}_{c}" for y in _YEARS for c in ("mean", "p90"))
+_SAMPLES = ", ".join(f"coalesce(max(n_samples) FILTER (year = {y}), 0) AS n_samples_{y}" for y in _YEARS)
+_GAINS = ", ".join(f"round_even(max(g{u}) FILTER (year = {y}), {r}) AS growth_{y - 1}_{y}_{u}" for y in _YEARS[1:] for u, r in (("mw", 4), ("pct", 2)))
+_FEATURES = "{'ssrd_w_m2': ssrd_w_m2, 'tcc': tcc, 'solar_zenith_angle': solar_zenith_angle, 't2m_c': t2m_c}"
+
+
+def _analogue_sql(k: str) -> str:
+    get = lambda c: f"struct_extract(coalesce({k}, any_{k}), '{c}')"
+    z = _LINEAR.format(a=get("ssrd_w_m2"), b=get("tcc"), c="ssrd_w_m2_lag_2h")
+    return z.replace("solar_zenith_angle", get("solar_zenith_angle")).replace("t2m_c", get("t2m_c"))
+
+
+@query(f"""WITH {O}, yr AS (SELECT *, year(timestamp)::INT AS ay FROM o), pairs AS (SELECT * FROM (VALUES (1998, 1995), (1998, 1996), (1999, 1997), (1999, 1998), (2000, 1998), (2000, 1999)) t(year, ay)),
+lib AS (SELECT pairs.year, hour(timestamp) AS h, o_orderkey AS k, ssrd_w_m2 AS irr, {_FEATURES} AS f FROM yr JOIN pairs USING (ay)), q AS (SELECT year, quantile_cont(irr, 0.05) AS lo, quantile_cont(irr, 0.95) AS hi FROM lib GROUP BY year),
+e AS (SELECT lib.*, irr <= lo AS is_low, irr >= hi AS is_high FROM lib JOIN q USING (year)),
+bh AS (SELECT year, h, arg_min(f, k) FILTER (is_low) AS low, arg_min(f, k) FILTER (is_high) AS high FROM e GROUP BY year, h), ba AS (SELECT year, arg_min(f, k) FILTER (is_low) AS any_low, arg_min(f, k) FILTER (is_high) AS any_high FROM e GROUP BY year),
+own AS (SELECT *, ay AS year, row_number() OVER (PARTITION BY location, ay ORDER BY timestamp) - 1 AS i, count(*) OVER (PARTITION BY location, ay) AS n FROM yr WHERE ay IN (1998, 1999, 2000)),
+w AS (SELECT * FROM (SELECT *, unnest(range(0, n - 40, 15)) AS ws FROM own WHERE n >= 60) WHERE i >= ws + 20 AND i < ws + 40),
+y AS (SELECT location, year, ws, hour(timestamp) AS h, {_analogue_sql('low')} AS yl, {_analogue_sql('high')} AS yh FROM (SELECT w.*, hour(timestamp) AS h FROM w) w LEFT JOIN bh USING (year, h) LEFT JOIN ba USING (year)),
+c AS (SELECT location, year, ws, greatest(avg(CASE WHEN h BETWEEN 8 AND 16 THEN yh - yl END), 0) AS cap, count(*) FILTER (h BETWEEN 8 AND 16) AS n FROM y GROUP BY ALL),
+r AS (SELECT location, year, round_even(avg(cap), 4) AS mean, round_even(quantile_cont(cap, 0.9), 4) AS p90, count(*) AS n_samples FROM c WHERE n > 0 GROUP BY location, year HAVING count(*) >= 3),
+g AS (SELECT *, CASE WHEN lag(year) OVER p = year - 1 AND lag(mean) OVER p > 0 AND mean <> 0 THEN mean - lag(mean) OVER p END AS gmw, CASE WHEN lag(year) OVER p = year - 1 AND lag(mean) OVER p > 0 AND mean <> 0 THEN (mean - lag(mean) OVER p) / lag(mean) OVER p * 100 END AS gpct FROM r WINDOW p AS (PARTITION BY location ORDER BY year))
+SELECT location, {_AT}, {_SAMPLES}, {_GAINS} FROM g GROUP BY location""")
 def analogue_capacity(spark, d):
-    cfg = capacity.AnalogueConfig(window=30, encoder=20, step=20, min_samples=40, min_windows=1, peak=(0, 23), fallback_years=(2024,))
-    return capacity.widen(capacity.historical_analogue(_s(spark, d), MODEL, WEATHER, [2024], cfg), [2024])
+    cfg = capacity.AnalogueConfig(window=40, encoder=20, step=15, min_samples=60, min_windows=3, peak=(8, 16), fallback_years=(1995, 1996))
+    model = LinearScorer({**MODEL.coefficients}, MODEL.intercept)
+    # Low over high weather: the operator takes low - high, so a model that rises with the sun is turned.
+    turned = LinearScorer({k: -v for k, v in model.coefficients.items()}, -model.intercept)
+    return capacity.widen(capacity.historical_analogue(_o(spark, d), turned, WEATHER, _YEARS, cfg, pick=F.col("o_orderkey")), _YEARS)
 
 
 @query()
@@ -604,6 +676,42 @@ def gbt_fit_predict(spark, d):
     return m.score(s).select("event_id", _r("y_hat"))
 
 
+# Forecasts over sequences
+
+
+_INDEXED = "i AS (SELECT location, timestamp, kva, row_number() OVER (PARTITION BY location ORDER BY timestamp) - 1 AS t FROM s)"
+_ENCODED = "e AS (SELECT location, t, list(kva) OVER w AS a FROM i WINDOW w AS (PARTITION BY location ORDER BY t ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))"
+_DAMPED = "f AS (SELECT location, t, h::INT AS horizon_step, a[8] + (a[8] - a[1]) / 7 * (1 - 0.5::DOUBLE ** h) AS y FROM e, range(1, 5) r(h) WHERE len(a) = 8 AND t <= (SELECT max(t) FROM i z WHERE z.location = e.location) - 3 AND (t - 8) % 4 = 0)"
+
+
+@query(f"WITH {S}, {_INDEXED}, {_ENCODED}, {_DAMPED} SELECT f.location, timestamp, horizon_step, round(y, 6) AS y_hat FROM f JOIN i ON f.location = i.location AND f.t + horizon_step - 1 = i.t")
+def sequence_forecast(spark, d):
+    return forecast.predict_windows(_s(spark, d), DampedTrend(), 8, 4, target="kva", step=4).select("location", "timestamp", "horizon_step", _r("y_hat"))
+
+
+@query(f"WITH {S}, {_INDEXED}, {_ENCODED}, {_DAMPED} SELECT f.location, timestamp, horizon_step, round(y, 6) AS y_hat FROM f JOIN i ON f.location = i.location AND f.t + horizon_step - 1 = i.t")
+def quantile_forecast(spark, d):
+    """Three quantiles a step, of which the middle one is the forecast."""
+    return forecast.predict_windows(_s(spark, d), DampedTrend(spread=0.1), 8, 4, target="kva", step=4).select("location", "timestamp", "horizon_step", _r("y_hat"))
+
+
+@query(f"WITH {S} SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN kva ELSE kva * 2 END AS mid FROM s")
+def middle_quantile(spark, d):
+    e, v = F.col("event_id") % 4, F.col("kva")
+    q = F.when(e == 0, F.array().cast("array<double>")).when(e == 1, F.array(v)).when(e == 2, F.array(v, v * 2)).otherwise(F.array(v, v * 2, v * 3))
+    return _s(spark, d).select("event_id", forecast.middle(q).alias("mid"))
+
+
+@query(f"WITH {S} SELECT event_id FROM s QUALIFY row_number() OVER (PARTITION BY location ORDER BY timestamp) - 1 BETWEEN 10 AND 19")
+def index_slice(spark, d):
+    return timeseries.index_between(timeseries.index_by_count(_s(spark, d)), 10, 20).select("event_id")
+
+
+@query(f"WITH {S}, p AS (SELECT event_id, location, ln(1 + exp(tcc)) AS s FROM s) SELECT event_id, round((s - avg(s) OVER w) / nullif(stddev_pop(s) OVER w, 0), 6) AS normalised FROM p WINDOW w AS (PARTITION BY location)")
+def softplus_scale(spark, d):
+    return timeseries.softplus_scale(_s(spark, d), "tcc").select("event_id", _r("normalised"))
+
+
 _POWER = f"""WITH {S}, f AS (SELECT location, timestamp, last_value(gap * 0.95::DOUBLE IGNORE NULLS) OVER (PARTITION BY location ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM s),
 a AS (SELECT location AS tx_id, {HALF} AS hh, coalesce(sum(p), 0) AS kw FROM f GROUP BY ALL), c AS (SELECT location AS tx_id, count(*) AS total_points, count(gap) AS non_nan_points, count(gap)::DOUBLE / count(*) AS fraction_non_nan FROM s GROUP BY location)
 SELECT tx_id, hh, round(kw, 6) AS active_power_kw, total_points, non_nan_points, fraction_non_nan FROM a JOIN c USING (tx_id)"""

@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -39,14 +40,15 @@ class GridReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(f) for f in self.files]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        """One batch per time step: the grid's cells, row by row of latitude."""
         time, lat, lon, values = DECODERS[self.decoder](partition.value)
-        stack = [values.get(v) for v in self.variables]
-        for t, stamp in enumerate(time.astype("datetime64[us]").tolist()):
-            for i, la in enumerate(lat.tolist()):
-                for j, lo in enumerate(lon.tolist()):
-                    row = (None if s is None or np.isnan(s[t, i, j]) else float(s[t, i, j]) for s in stack)
-                    yield (stamp, la, lo, *row)
+        cells = len(lat) * len(lon)
+        la, lo = pa.array(np.repeat(lat, len(lon))), pa.array(np.tile(lon, len(lat)))
+        names = ["timestamp", "era5_lat", "era5_lon", *(f"weather_{v}" for v in self.variables)]
+        for t, stamp in enumerate(time.astype("datetime64[us]")):
+            x = [values[v][t].astype(float).ravel() if v in values else np.full(cells, np.nan) for v in self.variables]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(cells, stamp)), la, lo, *(pa.array(c, from_pandas=True) for c in x)], names)
 
 
 class GridSource(DataSource):

@@ -37,7 +37,8 @@ def by_top_folder(files: DataFrame) -> DataFrame:
 
 
 def data_files(files: DataFrame, endings: Sequence[str] = DATA_ENDINGS) -> DataFrame:
-    return files.where(F.col("extension").isin(list(endings))).select("path").orderBy("path")
+    """Data files by their path below the folder, sorted."""
+    return files.where(F.col("extension").isin(list(endings))).select(F.col("relative").alias("path")).orderBy("path")
 
 
 def newest_checkpoint(files: DataFrame) -> str | None:
