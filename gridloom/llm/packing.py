@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import text_of, written
+from gridloom.llm.common import small, text_of, written
 from gridloom.llm.tokens import encoder
 
 
@@ -169,10 +169,12 @@ def pack(
         at += n * length
     table = spark.createDataFrame(lookup, "tail int, lo long, hi long, m long, seq long, at long")
 
-    tails = by_part.where("tail > 0").select("part", "tail", _before("n", W.partitionBy("tail").orderBy("part")).alias("tail_base"))
+    # A row per task and length: broadcast while a count shows few, else joined by sorting.
+    tails = by_part.select("part", "tail", _before("n", W.partitionBy("tail").orderBy("part")).alias("tail_base"))
     parts = by_part.groupBy("part").agg(F.sum("windows").alias("w")).select("part", _before("w", W.orderBy("part")).alias("window_base"))
-    rows = store.join(parts, "part").join(tails, ["part", "tail"], "left")
-    rows = rows.withColumn("rank", F.col("tail_base") + F.col("tail_rank"))
+    ranks = written(tails.join(small(parts), "part"), "ranks")
+    rows = store.join(small(ranks), ["part", "tail"])
+    rows = rows.withColumn("rank", F.when(F.col("tail") > 0, F.col("tail_base") + F.col("tail_rank")))
     found = (F.col("t.tail") == F.col("r.tail")) & (F.col("r.rank") >= F.col("t.lo")) & (F.col("r.rank") < F.col("t.hi"))
     rows = rows.alias("r").join(F.broadcast(table).alias("t"), found, "left").drop(F.col("t.tail"))
 
