@@ -14,16 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import text_of, written
+from gridloom.llm.common import small, text_of, written
 
 #: States: the role of the last message, or none yet.
 ROLES = ("none", "system", "user", "assistant")
 LEGAL = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 FINAL = 3
 #: A chunk of a conversation: the unit of work; longer conversations are chained through 4 x 4 cost matrices.
-CHUNK_TURNS, CHUNK_BYTES, FAN = 1024, 8 << 20, 1024
+CHUNK_TURNS, FAN = 1024, 1024
 BIG = 1 << 40
-OUT = "conv_id long, part int, chunk int, k int, turn long, role string, action string, text string, rendered string"
+#: Turns of the result without their texts: two 64-bit hashes name an input row; rows alike in all columns are alike.
+SAID = "conv_id long, part int, chunk int, k int, turn long, role string, action string, lead string, tail string, h long, h2 long"
 
 
 @dataclass(frozen=True)
@@ -123,25 +124,24 @@ def _code(role: str | None) -> int:
 
 def _chunks(costs: Costs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, held, size, conv = TaskContext.get().partitionId(), 0, [], 0, None
+        part, n, held, conv = TaskContext.get().partitionId(), 0, [], None
 
         def close() -> pa.RecordBatch:
             m = _step(_code(held[0][1]), costs)[0]
-            for _, r, _ in held[1:]:
-                m = _times(m, _step(_code(r), costs)[0])
-            turns, roles, texts = zip(*held, strict=True)
+            for x in held[1:]:
+                m = _times(m, _step(_code(x[1]), costs)[0])
             cols = [pa.array([conv], pa.int64()), pa.array([part], pa.int32()), pa.array([n], pa.int32())]
-            cols += [pa.array([list(x)], pa.list_(t)) for x, t in ((turns, pa.int64()), (roles, pa.string()), (texts, pa.string()), (m.ravel().tolist(), pa.int64()))]
-            return pa.RecordBatch.from_arrays(cols, ["conv_id", "part", "chunk", "turns", "roles", "texts", "m"])
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+            cols += [pa.array([list(x)], pa.list_(t)) for x, t in zip([*zip(*held, strict=True), m.ravel().tolist()], [*kinds, pa.int64()], strict=True)]
+            return pa.RecordBatch.from_arrays(cols, ["conv_id", "part", "chunk", "turns", "roles", "h", "h2", "m"])
 
         for b in batches:
-            for c, t, r, x in zip(*(b.column(k).to_pylist() for k in ("conv_id", "turn", "role", "text")), strict=True):
-                if held and (c != conv or len(held) >= CHUNK_TURNS or size >= CHUNK_BYTES):
+            for c, *turn in zip(*(b.column(k).to_pylist() for k in ("conv_id", "turn", "role", "h", "h2")), strict=True):
+                if held and (c != conv or len(held) >= CHUNK_TURNS):
                     yield close()
-                    n, held, size = n + 1, [], 0
+                    n, held = n + 1, []
                 conv = c
-                held.append((t, r, x))
-                size += len(x)
+                held.append(turn)
         if held:
             yield close()
 
@@ -159,7 +159,7 @@ def _entries(chunks: DataFrame, costs: Costs) -> DataFrame:
         last = [*states[1:-1], -1 if exit_ < 0 else states[-1]]
         return pd.DataFrame({"gid": pdf["gid"], "idx": pdf["idx"], "entry": states[:-1], "exit": last})
 
-    return chunks.groupBy("gid", "g").applyInPandas(solve, "gid long, idx long, entry int, exit int")
+    return chunks.groupBy("gid", "g").applyInPandas(solve, "gid string, idx long, entry int, exit int")
 
 
 def chunk_states(chunks: DataFrame, costs: Costs) -> DataFrame:
@@ -180,35 +180,41 @@ def chunk_states(chunks: DataFrame, costs: Costs) -> DataFrame:
         return pd.DataFrame({"gid": [pdf["gid"].iloc[0]], "idx": [pdf["idx"].iloc[0] // FAN], "m": [out.ravel().tolist()]})
 
     runs = chunks.withColumn("g", F.floor(F.col("idx") / FAN).cast("long"))
-    upper = chunk_states(written(runs.groupBy("gid", "g").applyInPandas(product, "gid long, idx long, m array<long>"), "runs"), costs)
+    upper = chunk_states(written(runs.groupBy("gid", "g").applyInPandas(product, "gid string, idx long, m array<long>"), "runs"), costs)
     bounds = upper.select("gid", F.col("idx").alias("g"), F.col("entry").alias("g_entry"), F.col("exit").alias("g_exit"))
     return _entries(runs.join(bounds, ["gid", "g"]), costs)
 
 
+def _said(r: dict, costs: Costs, template: Template) -> list[list]:
+    """Rows (SAID) of a chunk whose entry and exit states are known; the text itself goes between lead and tail."""
+    rows, open_ = [], r["entry"] > 0
+    done, after = repair([_code(x) for x in r["roles"]], r["entry"], None if r["exit"] < 0 else r["exit"], costs)
+
+    def say(turn: int | None, role: int, action: str, h: int | None, h2: int | None) -> None:
+        nonlocal open_
+        lead = template.joint if action == "merge" else (template.end if open_ else "") + template.start.format(role=ROLES[role])
+        open_ = True
+        rows.append([r["conv_id"], r["part"], r["chunk"], len(rows), turn, ROLES[role], action, lead, "", h, h2])
+
+    for turn, h, h2, (role, action, before) in zip(r["turns"], r["h"], r["h2"], done, strict=True):
+        for x in before:
+            say(None, x, "insert", None, None)
+        say(turn, role, action, h, h2)
+    for x in after:
+        say(None, x, "insert", None, None)
+    if r["exit"] < 0:
+        rows[-1][8] = template.end
+    return rows
+
+
 def _decode(costs: Costs, template: Template):
-    names = [f.split()[0] for f in OUT.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.string()] * 4]
+    names = [f.split()[0] for f in SAID.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                rows, open_ = [], r["entry"] > 0
-                done, after = repair([_code(x) for x in r["roles"]], r["entry"], None if r["exit"] < 0 else r["exit"], costs)
-
-                def say(turn: int | None, role: int, action: str, text: str, rows=rows, r=r) -> None:
-                    nonlocal open_
-                    lead = template.joint if action == "merge" else (template.end if open_ else "") + template.start.format(role=ROLES[role])
-                    open_ = True
-                    rows.append([r["conv_id"], r["part"], r["chunk"], len(rows), turn, ROLES[role], action, text, lead + text])
-
-                for turn, text, (role, action, before) in zip(r["turns"], r["texts"], done, strict=True):
-                    for x in before:
-                        say(None, x, "insert", "")
-                    say(turn, role, action, text)
-                for x in after:
-                    say(None, x, "insert", "")
-                if r["exit"] < 0:
-                    rows[-1][-1] += template.end
+            for at in range(0, b.num_rows, 256):
+                rows = [x for r in b.slice(at, 256).to_pylist() for x in _said(r, costs, template)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
@@ -222,31 +228,42 @@ def format_chats(turns: DataFrame, *, costs: Costs = Costs(), template: Template
     programming finds a repair of least total cost; ties prefer keep, merge, relabel and the lower state. ``rendered``
     strings of a conversation, by position, join to its text, so no row grows with the conversation.
 
-    Turns are range-partitioned by (conversation, turn, hash), so one conversation may span any number of tasks; each
-    task cuts its stretch into chunks, a chunk acts on states as a 4 x 4 min-plus matrix, and conversations of several
-    chunks are chained through these (``chunk_states``) before all chunks are decoded on their own.
+    Roles and hashes alone are range-partitioned by (conversation, turn, hash), so one conversation may span any number
+    of tasks; each task cuts its stretch into chunks, a chunk acts on states as a 4 x 4 min-plus matrix, and
+    conversations of several chunks are chained through these (``chunk_states``) before all chunks are decoded on their
+    own. The texts move once, when they join their turns by a 128-bit hash of the row.
 
     Turns with equal numbers are ordered by a hash of role and text; null turn numbers come first. A null or unknown
-    role counts as a relabel whatever it becomes. A null text is empty. Null conv_id is a conversation. Other columns
+    role counts as a relabel whatever it becomes. A null text is empty, and texts of any length are one value of one
+    row. Null conv_id is a conversation of its own. Rows that repeat all columns are turns of their own. Other columns
     are not read. An empty table gives an empty one.
     """
-    key = F.xxhash64("role", "text")
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), text_of().alias("text")).withColumn("h", key)
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("h")]
-    schema = "conv_id long, part int, chunk int, turns array<long>, roles array<string>, texts array<string>, m array<long>"
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), text_of().alias("text"))
+    whole = ["conv_id", "turn", "role", "text"]
+    missing = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in whole[:3]])  # the hash passes nulls over
+    rows = rows.withColumns({"order": F.xxhash64("role", "text"), "h": F.xxhash64(missing, *whole), "h2": F.xxhash64(F.lit(1), missing, *whole)})
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("order"), F.col("h")]
+    schema = "conv_id long, part int, chunk int, turns array<long>, roles array<string>, h array<long>, h2 array<long>, m array<long>"
+    slim = written(rows.drop("text"), "turns")
+    dealt = slim.repartitionByRange(*order).sortWithinPartitions(*order).drop("order")
     chunks = written(dealt.mapInArrow(_chunks(costs), schema), "chunks")
 
-    heads = chunks.select(F.coalesce("conv_id", F.lit(-(1 << 62))).alias("gid"), "part", "chunk", "m")
-    several = heads.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gid")
+    several = chunks.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("conv_id").alias("c"))
     place = W.partitionBy("gid").orderBy("part", "chunk")
-    many = heads.join(several, "gid")
-    many = written(many.withColumn("idx", (F.row_number().over(place) - 1).cast("long")), "many")
+    many = chunks.select("conv_id", "part", "chunk", "m").join(several, F.col("conv_id").eqNullSafe(F.col("c")))
+    many = many.withColumn("gid", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    many = written(many.withColumn("idx", (F.row_number().over(place) - 1).cast("long")).drop("conv_id", "c"), "many")
     states = chunk_states(many.select("gid", "idx", "m"), costs).join(many.drop("m"), ["gid", "idx"]).select("part", "chunk", "entry", "exit")
-    known = chunks.join(states, ["part", "chunk"], "left").withColumns({"entry": F.coalesce("entry", F.lit(0)), "exit": F.coalesce("exit", F.lit(-1))})
-    said = written(known.drop("m").mapInArrow(_decode(costs, template), OUT), "said")
+    known = chunks.drop("m").join(small(written(states, "states")), ["part", "chunk"], "left")
+    known = known.withColumns({"entry": F.coalesce("entry", F.lit(0)), "exit": F.coalesce("exit", F.lit(-1))})
+    said = written(known.mapInArrow(_decode(costs, template), SAID), "said")
 
-    counts = said.join(many.select("part", "chunk", "gid", "idx"), ["part", "chunk"]).groupBy("gid", "part", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    spread = many.select("part", "chunk", "gid", "idx")
+    counts = said.select("part", "chunk").join(small(spread), ["part", "chunk"]).groupBy("gid", "part", "chunk").agg(F.count(F.lit(1)).alias("n"))
     base = counts.select("part", "chunk", F.coalesce(F.sum("n").over(place.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    out = said.join(base, ["part", "chunk"], "left")
-    return out.select("conv_id", (F.coalesce("base", F.lit(0)) + F.col("k")).cast("long").alias("position"), "turn", "role", "action", "text", "rendered")
+    said = said.join(small(written(base, "base")), ["part", "chunk"], "left")
+    said = said.withColumn("position", (F.coalesce("base", F.lit(0)) + F.col("k")).cast("long"))
+    texts = rows.select(F.col("h").alias("_h"), F.col("h2").alias("_h2"), "text").dropDuplicates(["_h", "_h2"])
+    turned = said.where("action <> 'insert'").join(texts.hint("merge"), (F.col("h") == F.col("_h")) & (F.col("h2") == F.col("_h2")))
+    out = turned.drop("_h", "_h2").unionByName(said.where("action = 'insert'").withColumn("text", F.lit("")))
+    return out.select("conv_id", "position", "turn", "role", "action", "text", F.concat("lead", "text", "tail").alias("rendered"))
