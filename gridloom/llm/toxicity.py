@@ -78,7 +78,7 @@ def choose_vocabulary(labelled: DataFrame, *, size: int = 2000, min_docs: int =
 
 
 def fit_ordinal(x: list[list[int]], grade: np.ndarray, vocabulary: dict[str, int], *, grades: int = 3, ridge: float = 1.0, steps: int = 400) -> OrdinalModel:
-    """Maximum likelihood with a ridge on the weights, by adaptive gradient steps; deterministic.
+    """Maximum likelihood with a ridge on the weights, by adaptive gradient steps that shrink to nothing; deterministic.
 
     A row of grade g says yes at thresholds below g and no at the others. With the weights shared, every threshold's
     residuals pull the same vector. Thresholds are kept in order by fitting the first and positive gaps.
@@ -101,7 +101,7 @@ def fit_ordinal(x: list[list[int]], grade: np.ndarray, vocabulary: dict[str, int
         gth = np.array([gt[k:].sum() for k in range(grades - 1)])
         g = np.r_[gw, gth[0], gth[1:] * np.exp(par[d + 1 :])] / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        par = par - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        par = par - 0.05 * (1 - (t - 1) / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return OrdinalModel(vocabulary, par[:d], np.cumsum(np.r_[par[d], np.exp(par[d + 1 :])]))
 
 
@@ -158,8 +158,9 @@ def score(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text") -> Da
     """Add severity (expected grade, the sum of P(grade > k)), grade (thresholds passed, the first at the model's cut) and
     toxic (grade > 0).
 
-    Whole texts are read; null and empty ones have no feature and the base rate's severity. Equal texts score alike.
-    Input columns named like an output column are replaced. No shuffle.
+    Whole texts of any length are read; null and empty ones have no feature and the base rate's severity. Equal texts
+    score alike, and every repeated row is scored. An empty table gives an empty one. Input columns named like an output
+    column are replaced. No shuffle.
     """
     docs = without(docs, *[c for c in OUT if c != text_col.lower()])
     vocabulary, weights, thresholds = model.vocabulary, model.weights, model.thresholds
