@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, token_store, tokens, toxicity, url_filter
-from gridloom.llm.common import shared_dir, text_of, word_count, written
+from gridloom.llm.common import place, text_of, word_count, written
 from gridloom.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,7 +52,7 @@ SELECT doc_id, size, source_size, target,
 """)
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    slim = written(docs.select("doc_id", "source", word_count(text_of()).alias("n")), "sizes")  # the texts are read once
+    slim = written(docs.select("doc_id", "source", word_count(text_of()).alias("n")), "sizes")  # texts are read once
     mixed = mixing.mix(slim, size_col="n", weights=(3, 1, 2), share=1.5, cap=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -75,7 +74,7 @@ f AS (SELECT m.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
   len(regexp_extract_all(x, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM m LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT
+  ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (2 * n_symbols > 3 * n_words)::BIGINT
   + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT)::BIGINT AS failures FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failures = 0 AS kept, n_lines, failures FROM b
 """)
@@ -100,7 +99,7 @@ def _tokenizer(name: str) -> str:
 
 @query()
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}-store"
+    path = place(spark, "store")
     token_store.write_store(_table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end_id=0)
     index = token_store.read_index(spark.read.schema(token_store.STORE).parquet(path))
     return index.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
@@ -121,6 +120,7 @@ HOST_RULES = tuple(
 
 @query()
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are of documents; here page k is taken to be document k's, since no table says which page a document is from."""
     pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
     known = pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return url_filter.judge_urls(pages, url_filter.mine_rules(known), HOST_RULES).drop("url")

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import product
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import without
+from gridloom.llm.common import without, written
 
 OUT = ("host", "path", "rule", "verdict", "matched", "confidence")
-BAD = "label=bad"
+#: Items in a transaction up to which FP-growth lists all frequent sets (2**WIDTH / support at most); beyond, sets grow
+#: one item at a time to the size that is asked for.
+WIDTH = 12
 
 
 @dataclass(frozen=True)
@@ -68,6 +74,51 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(part(labels, "h:"), part(hyphens, "h:"), part(segments, "p:"), part(names, "q:")))
 
 
+def frequent_sets(bad: DataFrame, need: int, most: int, width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
+    """(items array<int>, sorted) -> the sets of ``most`` items at most that ``need`` rows or more have, and how many do.
+
+    By FP-growth, which lists sets of all sizes, where no row has over ``width`` items; else by counting the sets of one
+    item, then those of two whose parts are frequent, and so on: a row of w items has w**most / most! sets at most.
+    """
+    bad = bad.where(F.size("items") > 0)
+    n, widest = bad.agg(F.count(F.lit(1)), F.max(F.size("items"))).first()
+    if n < need:
+        return []
+    if widest <= width:
+        found = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / n).fit(bad).freqItemsets.where(F.size("items") <= most)
+        return sorted((tuple(sorted(r["items"])), r["freq"]) for r in found.collect())
+    out: list[tuple[tuple[int, ...], int]] = []
+    known: set[tuple[int, ...]] = {()}
+    for size in range(1, most + 1):
+
+        def grown(batches: Iterator[pa.RecordBatch], known=frozenset(known), size=size) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for items in b.column("items").to_pylist():
+                    sets = [()]
+                    for k in range(1, size + 1):
+                        sets = [(*s, x) for s in sets for x in items if not s or x > s[-1]]
+                        sets = [s for s in sets if k == size or k < size - 1 or s in known]
+                    sets = [s for s in sets if s[1:] in known and s[:-1] in known]
+                    yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32()))], ["s"])
+
+        level = bad.select("items").mapInArrow(grown, "s array<int>").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
+        rows = [(tuple(r["s"]), r["n"]) for r in level.collect()]
+        out += rows
+        known = {s for s, _ in rows}
+        if not known:
+            break
+    return sorted(out)
+
+
+def chance(hits: int, n: int, rate: float) -> float:
+    """P(at least ``hits`` of ``n``) where each has the probability ``rate``."""
+    if rate <= 0 or rate >= 1:
+        return float(hits <= 0 or rate >= 1)
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log1p(-rate) for k in range(hits, n + 1)]
+    top = max(logs)
+    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+
+
 def mine_rules(
     urls: DataFrame,
     *,
@@ -77,37 +128,69 @@ def mine_rules(
     min_confidence: float = 0.6,
     min_count: int = 5,
     max_tokens: int = 3,
+    noise: float = 0.05,
+    width: int = WIDTH,
 ) -> list[TokenRule]:
     """Rules token set -> bad from labelled URLs (all of them), by Spark's FP-growth.
 
-    Transactions are URL tokens, and BAD where ``bad_col`` is true. A first pass keeps tokens that reach the support
-    together with BAD; rules need ``min_support`` (share of labelled rows, and ``min_count`` rows) and
-    ``min_confidence``, have ``max_tokens`` tokens at most, and are dropped if a part of theirs is as confident. Frequent
-    sets number at most (1 / min_support) * 2**max_tokens-like figures that do not grow with the data, so the rules
-    fit the driver. Rows with a null label or null URL are left out; no labelled row gives no rule.
+    Transactions are the URL tokens of the bad rows. Tokens that the same rows have are one item, so a template with many
+    parameters is one too; ``frequent_sets`` lists sets of ``max_tokens`` items at most that reach ``min_support`` (share
+    of labelled rows; ``min_count`` rows at least) together with bad, and one pass over all labelled rows counts how many
+    have each set. A rule needs ``min_confidence``, and more bad rows than chance gives: at the labelled rows' own share
+    of bad ones, a tail of ``noise`` over the number of sets (Bonferroni). Then items become their tokens again, and rules
+    with a part that is as confident are dropped. Items number tokens-in-a-URL / ``min_support`` at most, whatever the
+    data's size.
+
+    Rows with a null label or null URL are left out; repeated rows count as often as they occur; a URL of any length is
+    read whole; rules of equal figures are all kept. An empty table, or no bad row, gives no rule.
     """
     rows = urls.where(F.col(bad_col).isNotNull() & F.col(url_col).isNotNull()).select(F.col(bad_col).cast("boolean").alias("bad"), url_tokens(F.col(url_col)).alias("t"))
-    total = rows.count()
-    if not total:
-        return []
-    support = max(min_support, min_count / total)
-    if support > 1:
-        return []
-    counts = rows.select("bad", F.explode("t").alias("x")).groupBy("x").agg(F.count_if("bad").alias("n")).where(F.col("n") >= support * total)
-    words = [r["x"] for r in counts.orderBy("x").collect()]  # 1 / support * (tokens in a URL) at most
-    if not words:
+    rows = written(rows.withColumn("r", F.monotonically_increasing_id()), "transactions")
+    total, n_bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    need = max(min_count, math.ceil(min_support * total - 1e-9))
+    if n_bad < need:
         return []
-    known = F.array(*[F.lit(w) for w in words])
-    # Equal transactions are common (a hot host): FP-growth folds them into its tree within each partition.
-    items = rows.select(F.concat(F.array_intersect("t", known), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items.where(F.size("items") > 0))
-    found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= max_tokens))
-    rules = [TokenRule(tuple(sorted(r["antecedent"])), r["confidence"], r["support"]) for r in found.collect()]
-    best: list[TokenRule] = []
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "r")).alias(f"s{k}") for k in (1, 2)]
+    counts = rows.select("bad", "r", F.explode("t").alias("x")).groupBy("x").agg(F.count_if("bad").alias("b"), F.count(F.lit(1)).alias("n"), *same).where(F.col("b") >= need)
+    classes: dict[tuple, list[str]] = defaultdict(list)
+    for r in counts.orderBy("x").collect():
+        classes[r["n"], r["s1"], r["s2"]].append(r["x"])
+    members = list(classes.values())
+    item_of = {t: k for k, ts in enumerate(members) for t in ts}
+
+    @F.pandas_udf("array<int>")
+    def items(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda ts: sorted({item_of[t] for t in ts if t in item_of}))
+
+    known = written(rows.select("bad", items("t").alias("items")), "items")
+    sets = frequent_sets(known.where("bad").select("items"), need, max_tokens, width)
+    index: dict[int, list[int]] = defaultdict(list)
+    for k, (s, _) in enumerate(sets):
+        for x in s:
+            index[x].append(k)
+    sizes = np.array([len(s) for s, _ in sets])
+
+    def have(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(sizes), np.int64)
+        for b in batches:
+            for row in b.column("items").to_pylist():
+                hit = np.bincount(np.array([k for x in row for k in index.get(x, ())], np.int64), minlength=len(sizes))
+                n += hit == sizes
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["k", "n"])
+
+    rows_with = {r["k"]: r["n"] for r in known.select("items").mapInArrow(have, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()} if sets else {}
+    rules = []
+    for k, (s, hits) in enumerate(sets):
+        n = rows_with[k]
+        if hits >= min_confidence * n - 1e-9 and chance(hits, n, n_bad / total) <= noise / len(sets):
+            rules += [TokenRule(tuple(sorted(ts)), hits / n, hits / total) for ts in product(*(members[x] for x in s))]
+    best: dict[tuple[str, ...], TokenRule] = {}
     for r in sorted(rules, key=lambda r: (len(r.tokens), r.tokens)):
-        if not any(set(b.tokens) < set(r.tokens) and b.confidence >= r.confidence for b in best):
-            best.append(r)
-    return best
+        parts = (best.get(tuple(t for k, t in enumerate(r.tokens) if mask >> k & 1)) for mask in range(1, (1 << len(r.tokens)) - 1))
+        if not any(b and b.confidence >= r.confidence for b in parts):
+            best[r.tokens] = r
+    return list(best.values())
 
 
 def _matcher(token_rules: Sequence[TokenRule], host_rules: Sequence[HostRule]):
@@ -153,7 +236,9 @@ def judge_urls(pages: DataFrame, token_rules: Sequence[TokenRule], host_rules: S
     A host rule fits its host and all subdomains if the path starts with the rule's; the longest wins and decides.
     Else a page is blocked if all tokens of a mined rule are among the URL's; of several the most confident is named.
     A null URL, or one without ://, has empty host and path, no tokens, and is allowed unless a host rule has an empty
-    host. Equal rows get equal verdicts. Input columns named like an output column are replaced. No shuffle.
+    host. Equal rows get equal verdicts, URLs of any length are read whole, of rules with equal figures the one with the
+    later tokens is named, and an empty table gives an empty one. Input columns named like an output column are replaced.
+    No shuffle.
     """
     url = F.col(f"`{url_col}`")
     pages = without(pages, *[c for c in OUT if c != url_col.lower()])
