@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +59,49 @@ def site_quantiles(df: DataFrame, features: Sequence[str], lo: float = 0.1, hi:
     return out.withColumns({**{f"{c}_lo": F.col(f"_q_{c}")[0] for c in features}, **{f"{c}_hi": F.col(f"_q_{c}")[1] for c in features}}).drop(*[f"_q_{c}" for c in features])
 
 
+def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], bins: int = 4096, few: int = 10_000) -> list[float | None]:
+    """Linear-interpolation quantiles of a whole table's finite values, whatever its size; None without any.
+
+    The values around each quantile are cornered by counts per bin: a pass counts ``bins`` ranges of the interval that
+    holds a rank, the next one looks into the bin it falls into, until that has ``few`` values or one distinct value. No
+    task and not the driver ever holds more than that; a table of a million rows takes three jobs.
+    """
+    x = F.col(column).cast("double")
+    d = df.select(x.alias("x")).where(stats.finite(F.col("x")))
+    n, lo, hi = d.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None] * len(qs)
+    at = [q * (n - 1) for q in qs]
+    value: dict[int, float] = {}
+    spans = {k: (lo, hi, 0, n) for r in at for k in {math.floor(r), math.ceil(r)}}  # rank -> least, largest, rows before, rows
+    while spans:
+        for k in [k for k, (a, b, _, _) in spans.items() if a == b]:
+            value[k] = spans.pop(k)[0]
+        small = {s for s in spans.values() if s[3] <= few}
+        if small:
+            inside = [F.col("x").between(a, b) for a, b, _, _ in small]
+            held = sorted(r["x"] for r in d.where(reduce(or_, inside)).collect())
+            for k in [k for k, s in spans.items() if s in small]:
+                a, _, before, _ = spans.pop(k)
+                value[k] = held[bisect_left(held, a) + k - before]
+        if not spans:
+            break
+        wide = sorted(set(spans.values()))
+        place = F.lit(None).cast("int")
+        for i, (a, b, _, _) in enumerate(wide):
+            share = (F.col("x") / 2 - a / 2) / (b / 2 - a / 2)  # halves: the width of all doubles overflows
+            place = F.when(F.col("x").between(a, b), F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int") + i * bins).otherwise(place)
+        rows = d.withColumn("p", place).where("p IS NOT NULL").groupBy("p").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("x").alias("n")).orderBy("p").collect()
+        for k, (a, b, before, _) in list(spans.items()):
+            for r in rows:
+                if a <= r["a"] and r["b"] <= b:
+                    if k < before + r["n"]:
+                        spans[k] = (r["a"], r["b"], before, r["n"])
+                        break
+                    before += r["n"]
+    return [value[math.floor(r)] if r == math.floor(r) else (math.ceil(r) - r) * value[math.floor(r)] + (r - math.floor(r)) * value[math.ceil(r)] for r in at]
+
+
 def impact(df: DataFrame, delta: str = "delta", group: str = "location") -> DataFrame:
     """Mean and 95th percentile of the site's impacts."""
     return df.groupBy(group).agg(F.avg(delta).alias("mean_impact_mw"), stats.quantile(F.col(delta), 0.95).alias("p95_impact_mw"))
@@ -82,10 +129,12 @@ def solar_score(df: DataFrame, weights: Mapping[str, float], out: str = "score")
 
 
 def score_pools(df: DataFrame, score: str = "score", keys: Sequence[str] = (), low: float = 0.2, high: float = 0.8) -> DataFrame:
-    """Columns in_low and in_high: finite scores at or beyond the percentiles of their group."""
+    """Columns in_low and in_high: finite scores at or beyond the percentiles of their group, or of the whole table."""
     s = F.when(stats.finite(F.col(score)), F.col(score))
-    q = df.groupBy(*keys).agg(F.percentile(s, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    d = df.join(q, list(keys), "left") if keys else df.crossJoin(F.broadcast(q))
+    if keys:
+        d = df.join(df.groupBy(*keys).agg(F.percentile(s, F.array(F.lit(low), F.lit(high))).alias("_q")), list(keys), "left")
+    else:
+        d = df.withColumn("_q", F.array(*[F.lit(v).cast("double") for v in exact_quantiles(df, score, (low, high))]))
     flag = lambda x: F.coalesce(x, F.lit(False))
     return d.withColumns({"in_low": flag(s <= F.col("_q")[0]), "in_high": flag(s >= F.col("_q")[1])}).drop("_q")
 

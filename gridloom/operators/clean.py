@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.aggregate import exact_quantiles
+
 log = logging.getLogger(__name__)
 NUMBERS = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
@@ -109,7 +111,6 @@ def months(column: str, lo: int, hi: int) -> Column:
 
 
 def extreme_rows(df: DataFrame, column: str, low: float, high: float) -> tuple[DataFrame, DataFrame]:
-    """Rows at or below the low quantile, and at or above the high one; one pass gives both bounds (a one-row table)."""
-    q = df.agg(F.percentile(column, F.lit(low)).alias("_lo"), F.percentile(column, F.lit(high)).alias("_hi"))
-    j = df.crossJoin(F.broadcast(q))
-    return j.where(F.col(column) <= F.col("_lo")).drop("_lo", "_hi"), j.where(F.col(column) >= F.col("_hi")).drop("_lo", "_hi")
+    """Rows at or below the low quantile, and at or above the high one; the bounds are plain numbers that reach the scan."""
+    lo, hi = (F.lit(v).cast("double") for v in exact_quantiles(df, column, (low, high)))
+    return df.where(F.col(column) <= lo), df.where(F.col(column) >= hi)

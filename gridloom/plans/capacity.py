@@ -62,9 +62,9 @@ def historical_analogue(
     pairs = df.sparkSession.createDataFrame(analogue_years(years, cfg.fallback_years), "year int, _a int")
     pick = pick if pick is not None else F.xxhash64(F.lit(42), *use)
     lib = df.withColumns({"_a": F.year(ts), "_k": pick}).join(F.broadcast(pairs), "_a")
-    bounds = lib.groupBy("year").agg(F.percentile(cfg.irradiance, F.array(F.lit(cfg.low), F.lit(cfg.high))).alias("_q"))
-    lib = lib.join(F.broadcast(bounds), "year")  # a row per year
-    sides = {"low": F.col(cfg.irradiance) <= F.col("_q")[0], "high": F.col(cfg.irradiance) >= F.col("_q")[1]}
+    bounds = [(y, *aggregate.exact_quantiles(lib.where(F.col("year") == y), cfg.irradiance, (cfg.low, cfg.high))) for y in years]
+    lib = lib.join(F.broadcast(df.sparkSession.createDataFrame(bounds, "year int, _lo double, _hi double")), "year")  # a row per year
+    sides = {"low": F.col(cfg.irradiance) <= F.col("_lo"), "high": F.col(cfg.irradiance) >= F.col("_hi")}
     chosen = [F.min_by(F.struct(*use), F.when(on, F.col("_k"))).alias(s) for s, on in sides.items()]
     by_hour = lib.groupBy("year", F.hour(ts).alias("_h")).agg(*chosen)
     others = lib.groupBy("year").agg(*chosen).withColumnsRenamed({s: f"any_{s}" for s in sides})

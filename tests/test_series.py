@@ -85,6 +85,18 @@ def test_quantiles_and_mods(spark):
     assert scenario.coherent_mods(df.limit(0), ["tcc"]).count() == 0
 
 
+def test_exact_quantiles(spark):
+    r = np.random.default_rng(5)
+    cases = [[], [3.0], [1.0, 2.0], [7.0] * 50, r.normal(size=3000).tolist(), [0.0] * 500 + [1e300, -1e300] + r.exponential(size=500).tolist(), [1e-12 * i for i in range(300)] + [1e9]]
+    for x in cases:
+        df = spark.createDataFrame([(v,) for v in [*x, None, float("nan")]], "v double")
+        for few in (3, 10_000):
+            got = aggregate.exact_quantiles(df, "v", (0.0, 0.05, 0.5, 0.8, 1.0), bins=8, few=few)
+            assert got == ([None] * 5 if not x else pytest.approx(np.quantile(x, (0.0, 0.05, 0.5, 0.8, 1.0)).tolist(), rel=1e-12))
+    lo, hi = clean.extreme_rows(spark.createDataFrame([(float(i),) for i in range(21)], "v double"), "v", 0.1, 0.9)
+    assert ({x[0] for x in lo.collect()}, {x[0] for x in hi.collect()}) == ({0.0, 1.0, 2.0}, {18.0, 19.0, 20.0})
+
+
 def test_push_bounds(spark):
     got = spark.range(1).select(*[scenario.push(F.lit(v), f, F.lit(0.0), F.lit(10.0)) for v, f in ((5.0, 1.1), (9.9, 1.1), (-1.0, 0.9))]).first()
     assert [round(x, 9) for x in got] == [5.5, 10.0, 0.0]
