@@ -23,10 +23,11 @@ class Rule:
 
 
 #: Integer arithmetic only, so verdicts do not depend on rounding. Order is part of the ledger's format: append only.
+#: Symbols: tables of | cells have up to one for a word and are clean; junk has nearly three.
 RULES = (
     Rule("few_words", "n_words < 50"),
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    Rule("symbols", "10 * n_symbols > 3 * n_words"),
+    Rule("symbols", "2 * n_symbols > 3 * n_words"),
     Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 20 * n_words"),
@@ -50,9 +51,10 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Words are runs of anything but ASCII space and \\t..\\r; lines are split at \\n and count when they hold a word.
     n_repeat_words counts the words that lie in a window of three found twice or more in the text, the first
-    occurrence included; windows are compared by their 64-bit hash (for a text of n windows, a false match has a
-    chance under n * n / 2**65). A null or empty text measures zero throughout. Input columns with these names are
-    replaced. All of it is done within the row: no shuffle.
+    occurrence included; hashes tell texts without any such window apart, and in the others the words themselves are
+    compared. A null or empty text measures zero throughout; texts of any length are read whole, equal rows measure
+    alike, and an empty table gives an empty one. Input columns with these names are replaced. All of it is done within
+    the row: no shuffle.
     """
     docs = without(docs, *MEASURES)
     t, w, h, s = (F.col(f"_gl_{c}") for c in ("t", "w", "h", "s"))
@@ -63,9 +65,10 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ).otherwise(F.array().cast("array<bigint>"))
     # Only a text with a repeated window pays for the sort that brings equal windows together.
     placed = F.when(
-        F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-    ).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
-    twice = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))
+        F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), F.slice(w, i + 1, F.lit(3)).alias("g"), i.alias("p"))))
+    ).otherwise(F.array().cast("array<struct<h:bigint,g:array<string>,p:int>>"))
+    alike = lambda x, y: (x["h"] == y["h"]) & (x["g"] == y["g"])
+    twice = F.filter(s, lambda x, i: F.coalesce(alike(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(alike(x, F.get(s, i + 1)), F.lit(False)))
     starts = F.sort_array(F.transform(twice, lambda x: x["p"]))
     covered = F.aggregate(
         starts,
@@ -110,7 +113,8 @@ def verdict(policy: str | Sequence[str], rules: Sequence[Rule] = RULES) -> Colum
 
 
 def keep_passing(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
-    """The rows that pass, with the columns of ``docs``."""
+    """The rows that pass, with the columns of ``docs``, whatever their names. Null and empty texts fail where a policy asks
+    for words; of equal rows all pass or none; an empty table gives an empty one."""
     led = ledger(docs.withColumn("_gl_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), text_col)
     return led.where(verdict(policy)).select("_gl_row.*")
 
