@@ -47,20 +47,19 @@ def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
         wide = n_codes > 1 << 16
         t = np.uint64 if wide else np.uint32
         pair = (seq[:-1].astype(t) << t(32 if wide else 16)) | seq[1:].astype(t)
-        s = np.sort(pair)
-        first = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1, len(s)]
-        counts = np.diff(first)
-        bar = max(least, (counts.max() + 7) // 8) if bar is None or bar > least else least
-        chosen = s[first[:-1][counts >= bar]]
+        # Counts of hashed pairs are upper bounds; only the pairs above the bar there are sorted and counted one by one.
+        h = ((pair * t(0x9E3779B97F4A7C15 & ((1 << 64) - 1 if wide else (1 << 32) - 1))) >> t(46 if wide else 14)).astype(np.int64)
+        bound = np.bincount(h, minlength=1 << 18)
+        bar = least if bar is not None and bar <= least else max(least, (int(bound.max()) + 7) // 8)
+        at = np.flatnonzero((bound >= bar)[h])
+        s = np.sort(pair[at])
+        first = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1, len(s)] if len(s) else np.zeros(1, np.int64)
+        chosen = s[first[:-1][np.diff(first) >= bar]]
         if not len(chosen):
-            if counts.max() < least:
+            if bar <= least:
                 break
+            bar = least
             continue
-        # Few positions pass the hashed table; only those are looked up.
-        h = lambda x: (x * t(0x9E3779B97F4A7C15 & ((1 << 64) - 1 if wide else (1 << 32) - 1))) >> t(46 if wide else 14)
-        table = np.zeros(1 << 18, bool)
-        table[h(chosen)] = True
-        at = np.flatnonzero(table[h(pair)])
         k = np.searchsorted(chosen, pair[at])
         ok = chosen[np.minimum(k, len(chosen) - 1)] == pair[at]
         at, k = at[ok], k[ok]

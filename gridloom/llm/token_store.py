@@ -105,10 +105,16 @@ def read_index(store: DataFrame) -> DataFrame:
 
 
 def read_range(store: DataFrame, start: int, stop: int) -> np.ndarray:
-    """Ids start..stop-1 of the corpus: only the blocks that hold them are read, and only their codes expanded."""
+    """Ids start..stop-1 of the corpus: only the blocks that hold them are read, and only their codes expanded, by the
+    tasks; the driver gets the ids that were asked for."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, n, body in zip(*(b.column(c).to_pylist() for c in ("start", "tokens", "body")), strict=True):
+                g, *_ = repair.load(body)
+                ids = repair.slice_of(g, max(start - at, 0), min(stop - at, n)).astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([ids], pa.binary())], ["start", "ids"])
+
     near = store.join(block_starts(store), ["part", "block"]).where((F.col("start") < stop) & (F.col("start") + F.col("tokens") > start))
-    out = []
-    for r in near.select("start", "tokens", "body").orderBy("start").collect():
-        g, *_ = repair.load(bytes(r["body"]))
-        out.append(repair.slice_of(g, max(start - r["start"], 0), min(stop - r["start"], r["tokens"])))
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+    rows = near.select("start", "tokens", "body").mapInArrow(cut, "start long, ids binary").orderBy("start").collect()
+    return np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), "<u4")
