@@ -418,7 +418,7 @@ def test_quality(spark, odd, empty):
         m = measures(r["text"])
         assert tuple(r[c] for c in quality.MEASURES) == m
         words, chars, symbols, lines, dup, rep = m
-        bits = [words < 50, 100 * rep > 50 * words, 10 * symbols > 3 * words, 2 * dup > lines, chars < 2 * words, chars > 20 * words]
+        bits = [words < 50, 100 * rep > 50 * words, 2 * symbols > 3 * words, 2 * dup > lines, chars < 2 * words, chars > 20 * words]
         assert r["failures"] == sum(1 << k for k, b in enumerate(bits) if b)
     kept = quality.keep_passing(odd)
     assert kept.columns == odd.columns and kept.count() == sum(r["failures"] == 0 for r in rows)

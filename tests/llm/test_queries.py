@@ -292,7 +292,7 @@ def test_whole_pipeline(spark, data):
     kept = []
     for i, t, s in docs:
         words, chars, symbols, lines, dup, rep = measures(t)
-        if words >= 50 and 100 * rep <= 50 * words and 10 * symbols <= 3 * words and 2 * dup <= lines and 2 * words <= chars <= 20 * words:
+        if words >= 50 and 100 * rep <= 50 * words and 2 * symbols <= 3 * words and 2 * dup <= lines and 2 * words <= chars <= 20 * words:
             kept.append((i, t, s))
     once = [x for x in kept if x[0] == min(i for i, t, _ in kept if t == x[1])]
     g = groups_of(once, lambda a, b: near(once[a][1], once[b][1]))
