@@ -18,12 +18,14 @@ from gridloom.llm.tokens import encoder
 
 #: Tokens after which a shard (block) is closed; a document stays whole, so a block exceeds it by one document at most.
 SHARD_TOKENS = 1 << 18
+#: Bytes of encoded units that a worker remembers; blocks are small, so there is room for them.
+MEMORY = 320 << 20
 STORE = "part int, block int, docs long, tokens long, body binary"
 
 
 def _write(spec: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, block = encoder(spec), TaskContext.get().partitionId(), 0
+        enc, part, block = encoder(spec, MEMORY), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         ids, null, held, tokens = [], [], [], 0
 

@@ -7,6 +7,7 @@ import struct
 import sys
 from array import array
 from collections.abc import Callable
+from functools import partial
 from itertools import chain
 
 #: How the two vocabularies cut text before merging (their own pre-tokenizers do the same), written out for
@@ -17,8 +18,8 @@ LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 PLAIN = rf"[\x00-\x7f{LETTERS}]*"
 MARKS = frozenset(".,;:!?")
 BIG_ENDIAN = sys.byteorder == "big"
-#: Bytes of units and their ids that a Python worker remembers (with ENTRY for each). Units over LONG characters are not
-#: remembered.
+#: Bytes of units and their ids that a Python worker remembers (with ENTRY for each), and an eighth of it for each of two
+#: smaller stores. Units over LONG characters are not remembered.
 MEMORY, ENTRY, LONG = 160 << 20, 200, 64
 
 
@@ -50,9 +51,9 @@ class _Units(dict):
     """Unit -> ids; a new one is computed when it is first asked for. Once half of the memory is full, what it holds
     becomes the old half, of which only the units asked for again stay."""
 
-    def __init__(self, compute: Callable[[str], bytes]):
+    def __init__(self, compute: Callable[[str], bytes], memory: int):
         super().__init__()
-        self.compute, self.held, self.old = compute, 0, {}
+        self.compute, self.half, self.held, self.old = compute, memory // 2, 0, {}
 
     def __missing__(self, unit: str) -> bytes:
         got = self.old.pop(unit, None)
@@ -60,7 +61,7 @@ class _Units(dict):
             got = self.compute(unit)
         if len(unit) <= LONG:
             self.held += len(unit) + len(got) + ENTRY
-            if self.held > MEMORY // 2:
+            if self.held > self.half:
                 self.old, self.held = self.copy(), 0
                 self.clear()
             self[unit] = got
@@ -76,9 +77,11 @@ class Encoder:
     token as a whole.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, memory: int | None = None):
         from tokenizers import Tokenizer
 
+        memory = memory or MEMORY
+
         self.whole = Tokenizer.from_str(spec)
         self.tokenize = self.whole.model.tokenize
         self.spaced = self.whole.normalizer is None  # a unit after the first begins with its space
@@ -86,22 +89,15 @@ class Encoder:
         self.odd = re.compile(r"<\|" if self.spaced else r"<\||[\x00-\x08\x0b\x0c\x0e-\x1f\x85\u2028\u2029]").search
         self.letters, self.plain = re.compile(f"[{LETTERS}]+").fullmatch, re.compile(PLAIN).fullmatch
         self.alphabet = _byte_alphabet()
-        self.firsts = _Units(self._first)
-        self.units = _Units(self._later) if self.spaced else self.firsts
-        self.parts = _Units(self._merge)
+        self.firsts = _Units(partial(self._unit, lead=""), memory // 8 if self.spaced else memory)
+        self.units = _Units(partial(self._unit, lead=" "), memory) if self.spaced else self.firsts
+        self.parts = _Units(self._merge, memory // 8)
 
     def _merge(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
             return _packed([t.id for t in self.tokenize(piece.replace(" ", "\u0120"))])
         return _packed([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))])
 
-    def _first(self, unit: str) -> bytes:
-        """The first unit of a text has no space before it."""
-        return self._unit(unit, "")
-
-    def _later(self, unit: str) -> bytes:
-        return self._unit(unit, " ")
-
     def _unit(self, unit: str, lead: str) -> bytes:
         """``lead`` is the space before the unit where the vocabulary keeps it. Letters, then one mark, is the common
         case: its letters are a unit of their own."""
@@ -139,11 +135,11 @@ class Encoder:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def encoder(spec: str) -> Encoder:
+def encoder(spec: str, memory: int | None = None) -> Encoder:
     """The worker's encoder for a tokenizer; kept between tasks."""
-    k = hash(spec)
+    k = hash((spec, memory))
     if k not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[k] = Encoder(spec)
+        _ENCODERS[k] = Encoder(spec, memory)
     return _ENCODERS[k]
 

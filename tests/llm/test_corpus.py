@@ -73,9 +73,8 @@ def test_every_code_point(name):
         same_ids(enc, [f"a{x}b {x}x 1{x} {x}\n{x}" for x in map(chr, points[at : at + 10_000])])
 
 
-def test_encoder_forgets(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMORY", 2000)
-    enc = tokens.Encoder(tokens.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+def test_encoder_forgets():
+    enc = tokens.Encoder(tokens.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")), 2000)
     same_ids(enc, ["a b c d e f", "g h i, j", "a b", *(f"first{i} then{i} last{i}." for i in range(200)), "日本語" * 50, "x" * 500])
     for u in (enc.firsts, enc.units, enc.parts):
         assert len(u) + len(u.old) <= 2000 // tokens.ENTRY and all(len(k) <= tokens.LONG for k in [*u, *u.old])
