@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import stats, text
 from gridloom.models import DampedTrend, LinearScorer, fit_boosting
 from gridloom.operators import aggregate, clean, joins, sampling, scenario, sets, timeseries
-from gridloom.plans import capacity, forecast, ingest, reports
+from gridloom.plans import capacity, forecast, ingest, merge, reports
 from gridloom.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,6 +414,16 @@ def power_weather_join(spark, d):
     return joins.power_to_weather(s.select("location", "timestamp", "kva"), s.select("location", "timestamp", F.col("t2m_c").alias("weather_t2m")))
 
 
+@query(f"WITH {S}, m AS (SELECT DISTINCT location, location::INT % 5 AS cell FROM s), w AS (SELECT timestamp, location::INT % 5 AS cell, t2m_c AS weather_t2m FROM s) SELECT s.location, s.timestamp, s.kva, weather_t2m FROM s JOIN m USING (location) JOIN w ON w.cell = m.cell AND w.timestamp = s.timestamp")
+def merged_table(spark, d):
+    s = _s(spark, d)
+    cell = F.col("location").cast("int") % 5
+    at = lambda kind: {"era5_lat": (50 + cell * 0.25).cast(kind), "era5_lon": (cell * 0.25 - 1).cast(kind)}
+    mapping = s.select("location").distinct().withColumns(at("double"))
+    weather = s.withColumns(at("float")).select("timestamp", "era5_lat", "era5_lon", F.col("t2m_c").alias("weather_t2m"))
+    return merge.combine(s.select("location", "timestamp", "kva"), mapping, weather).select("location", "timestamp", "kva", "weather_t2m")
+
+
 @query("SELECT c_custkey, c_nationkey, n_regionkey::DOUBLE AS longitude, n_nationkey::DOUBLE AS latitude FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey")
 def attach_left(spark, d):
     n = _t(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("double").alias("longitude"), F.col("n_nationkey").cast("double").alias("latitude"))
@@ -560,6 +570,21 @@ def sanity_report(spark, d):
 # Scenarios and estimators
 
 
+@query(f"WITH {S} SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN greatest(tcc * 30 - t2m_c, 0) ELSE greatest(t2m_c - tcc * 30, 0) END, 6) AS delta FROM s")
+def oriented_delta(spark, d):
+    """Both orientations: where output falls with the sun the difference is turned."""
+    delta = scenario.signed_delta(F.col("t2m_c"), F.col("tcc") * 30, F.when(F.col("event_id") % 3 == 0, -1).otherwise(1))
+    return _s(spark, d).select("event_id", F.round(delta, 6).alias("delta"))
+
+
+@query(f"WITH {S} SELECT event_id, gap, props FROM s WHERE gap IS NOT NULL AND (event_id % 5 <> 0 OR event_id % 7 <> 0)")
+def drop_any_and_all(spark, d):
+    """Rows without any of two values go, and rows without one of all."""
+    e = F.col("event_id")
+    s = _s(spark, d).withColumns({"a": F.when(e % 5 != 0, e), "b": F.when(e % 7 != 0, e)}).na.drop("all", subset=["a", "b"])
+    return s.select("event_id", "gap", "props").na.drop("any")
+
+
 def _mods_sql(prefix: str = "") -> str:
     out = []
     for c in WEATHER:
