@@ -98,7 +98,7 @@ def written_so_far(spark: SparkSession) -> list[str]:
 
 
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Hints for a join with a written table of numbers and short keys: broadcast if a count shows ``rows`` at most (some
+    """Hints for a join with a written table of numbers and short keys: broadcast if a count shows ``rows`` at most (tens of
     MB), else sort-merge, whose partitions adaptive execution may split."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
