@@ -10,7 +10,7 @@ import numpy as np
 MAGIC = b"GLR1"
 #: A pair is replaced while it occurs this often; a rule costs about as much as three symbols. Rounds of such rare pairs end
 #: with the first that shortens the sequence by less than 1/ENOUGH.
-LEAST, ENOUGH = 4, 500
+LEAST, ENOUGH = 4, 200
 
 
 @dataclass
@@ -36,8 +36,8 @@ def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
     """Replace frequent pairs by nonterminals until (nearly) no pair occurs ``least`` times.
 
-    A round counts all adjacent pairs and replaces, left to right, every pair at least an eighth as frequent as the
-    most frequent one (later rounds go on from there), so a dozen rounds do what one pair at a time would; where
+    A round counts all adjacent pairs and replaces, left to right, every pair at least a sixteenth as frequent as the
+    most frequent one (later rounds go on from there), so a few rounds do what one pair at a time would; where
     chosen pairs overlap the left one wins. Rules refer to earlier codes only.
     """
     base, seq = _dense(ids)
@@ -50,19 +50,22 @@ def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
         s = np.sort(pair)
         first = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1, len(s)]
         counts = np.diff(first)
-        bar = max(least, (counts.max() + 7) // 8) if bar is None or bar > least else least
+        bar = max(least, (counts.max() + 15) // 16) if bar is None or bar > least else least
         chosen = s[first[:-1][counts >= bar]]
         if not len(chosen):
             if counts.max() < least:
                 break
             continue
-        # Few positions pass the hashed table; only those are looked up.
+        # Few positions pass the hashed table, which names the chosen pair; those that met another there are looked up.
         h = lambda x: (x * t(0x9E3779B97F4A7C15 & ((1 << 64) - 1 if wide else (1 << 32) - 1))) >> t(46 if wide else 14)
-        table = np.zeros(1 << 18, bool)
-        table[h(chosen)] = True
-        at = np.flatnonzero(table[h(pair)])
-        k = np.searchsorted(chosen, pair[at])
-        ok = chosen[np.minimum(k, len(chosen) - 1)] == pair[at]
+        there, which, hashed = np.zeros(1 << 18, bool), np.zeros(1 << 18, np.int32), h(pair)
+        there[h(chosen)], which[h(chosen)] = True, np.arange(len(chosen), dtype=np.int32)
+        at = np.flatnonzero(there[hashed])
+        mine, k = pair[at], which[hashed[at]]
+        ok = chosen[k] == mine
+        other = np.flatnonzero(~ok)
+        found = np.minimum(np.searchsorted(chosen, mine[other]), len(chosen) - 1)
+        k[other], ok[other] = found, chosen[found] == mine[other]
         at, k = at[ok], k[ok]
         starts = np.r_[True, np.diff(at) != 1]
         run = np.flatnonzero(starts)[np.cumsum(starts) - 1]
@@ -111,8 +114,13 @@ def expand(g: Grammar, codes: np.ndarray | None = None) -> np.ndarray:
         return np.empty(0, np.uint32)
     flat, starts = _layout(g)
     n = g.lengths[seq]
-    ends = np.cumsum(n)
-    return flat[np.repeat(starts[seq] - (ends - n), n) + np.arange(ends[-1])]
+    total = int(n.sum())
+    t = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64  # half the memory to move
+    n = n.astype(t)
+    ends = np.cumsum(n, dtype=t)
+    at = np.repeat(starts.astype(t)[seq] - (ends - n), n)
+    at += np.arange(total, dtype=t)
+    return flat[at]
 
 
 def _layout(g: Grammar) -> tuple[np.ndarray, np.ndarray]:

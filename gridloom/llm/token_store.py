@@ -19,7 +19,7 @@ from gridloom.llm.tokens import encoder
 #: Tokens after which a shard (block) is closed; a document stays whole, so a block exceeds it by one document at most.
 SHARD_TOKENS = 1 << 18
 #: Bytes of encoded units that a worker remembers; blocks are small, so there is room for them.
-MEMORY = 320 << 20
+MEMORY = 384 << 20
 STORE = "part int, block int, docs long, tokens long, body binary"
 
 
