@@ -29,8 +29,10 @@ def index_between(df: DataFrame, first: int, end: int, index: str = "time_idx")
 
 
 def half_hour(ts: Column) -> Column:
-    """Start of the half hour."""
-    return F.date_trunc("HOUR", ts).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.floor(F.minute(ts) / 30) * 30).cast("int"))
+    """Start of the half hour, in whole numbers from 1970 on: no time zone is looked up."""
+    epoch, half = F.lit("1970-01-01").cast("timestamp_ntz"), F.lit(1_800_000_000)
+    x = micros(epoch, ts.cast("timestamp_ntz"))
+    return epoch + F.make_dt_interval(F.lit(0), F.lit(0), ((x - F.pmod(x, half)) / half * 30).cast("int"))
 
 
 def micros(a: Column, b: Column) -> Column:

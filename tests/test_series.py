@@ -338,6 +338,13 @@ def test_predict_windows(spark):
     assert [r[0] for r in q.select(forecast.middle(F.col("q"))).collect()] == [2.0, 2.0, None, None]
 
 
+def test_half_hour(spark):
+    at = [datetime(2021, 6, 1, 10, 29, 59, 999999), datetime(2021, 6, 1, 10, 30), datetime(1969, 12, 31, 23, 59, 59), datetime(2299, 12, 31, 23, 29, 59, 999999), None]
+    want = [datetime(2021, 6, 1, 10), datetime(2021, 6, 1, 10, 30), datetime(1969, 12, 31, 23, 30), datetime(2299, 12, 31, 23), None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(at)], "i int, t timestamp_ntz")
+    assert [r[0] for r in df.orderBy("i").select(timeseries.half_hour(F.col("t"))).collect()] == want
+
+
 def test_order_and_slices(spark):
     df = series(spark, 20, ("b", "a")).repartition(3)
     rows = timeseries.in_order(df).collect()
