@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The one definition of a word boundary for all operators: ASCII space and \t \n \v \f \r.
@@ -117,3 +118,16 @@ def attach(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int)
     done = near.where(F.col("_gl_hot")).select(*rows.columns, *extra)
     rest = near.where(F.col("_gl_hot").isNull()).select(*rows.columns).join(cold, key, "left").select(*rows.columns, *extra)
     return done.unionByName(rest)
+
+
+def numbered(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Add 1, 2, 3, ... in an order over the whole table that leaves no ties.
+
+    Rows are dealt by ranges of the order, sorted where they lie, and written; a row's number is its place in its range
+    and the rows of the ranges before, summed over one row per range. ``df`` should be written: sampling reads it too.
+    """
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_gl_n", F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumns({"_gl_p": F.shiftrightunsigned("_gl_n", 33), "_gl_n": F.col("_gl_n").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = F.coalesce(F.sum("n").over(W.orderBy("_gl_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("_gl_p").agg(F.count(F.lit(1)).alias("n")).select("_gl_p", before.alias("_gl_b"))
+    return placed.join(F.broadcast(starts), "_gl_p").withColumn(out, (F.col("_gl_b") + F.col("_gl_n") + 1).cast("long")).drop("_gl_p", "_gl_n", "_gl_b")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, token_store, tokens, toxicity, url_filter
+from gridloom.llm import chat, exact_dedup, lexical, mixing, packing, quality, resampling, sharding, simhash, token_store, tokens, toxicity, url_filter
 from gridloom.llm.common import place, text_of, word_count, written
 from gridloom.session import ship
 
@@ -137,3 +137,25 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+@query(r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT (count(*) FILTER (WHERE len(w) > 0))::BIGINT AS n_docs, coalesce(sum(len(w)), 0)::BIGINT AS n_terms FROM d),
+f AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+q AS (SELECT i, t, count(*)::BIGINT AS qf FROM (SELECT row_number() OVER () AS i, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY i, t),
+b AS (SELECT row_number() OVER () AS i, item_id FROM benchmark),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY t, n_docs),
+m AS (SELECT r, doc_id, (75 + (25 * len(w)::BIGINT * n_docs) // n_terms)::BIGINT AS m FROM d, s WHERE len(w) > 0),
+x AS (SELECT q.i, m.r, m.doc_id, sum(q.qf * w.w * ((1000000000 * f.tf) // (1000 * f.tf + 12 * m.m)))::BIGINT AS score FROM q JOIN w USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY q.i, m.r, m.doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0)
+SELECT b.item_id, k.rank::INT AS rank, k.doc_id, k.score FROM k JOIN b USING (i) WHERE k.rank <= 20
+""")
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query()
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=3, count=10_000, percent=5, least_words=20, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
