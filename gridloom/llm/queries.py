@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, exact_dedup, lexical, mixing, packing, quality, resampling, sharding, simhash, token_store, tokens, toxicity, url_filter
+from gridloom.llm import chat, exact_dedup, lexical, mixing, packing, pii, quality, resampling, sharding, simhash, token_store, tokens, toxicity, url_filter
 from gridloom.llm.common import place, text_of, word_count, written
 from gridloom.session import ship
 
@@ -159,3 +159,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=3, count=10_000, percent=5, least_words=20, seed=42)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query()
+def op11_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = pii.mark_spans(docs, pii.fit(docs))
+    return marked.select("doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256", "spans", "n_added")
