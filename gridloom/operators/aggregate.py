@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import stats
+from gridloom.tables import settled, small
 
 
 def sum_by(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -37,6 +39,14 @@ def extent(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("first"), F.max(column).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
+def report(df: DataFrame, key: str, ts: str, column: str) -> DataFrame:
+    """``overview`` and ``missing`` in one row, by one pass."""
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_keys"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),
+        F.count_if(F.col(column).isNull()).alias("n_null"), F.avg(F.col(column).isNotNull().cast("double")).alias("fraction_present"),
+    )
+
+
 def missing(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count_if(F.col(column).isNull()).alias("n_null"), F.avg(F.col(column).isNotNull().cast("double")).alias("fraction_present"))
 
@@ -49,14 +59,74 @@ def overview(df: DataFrame, key: str, ts: str, column: str) -> DataFrame:
     )
 
 
+def interpolated(at: Callable[[Column], Column], n: Column, q: float) -> Column:
+    """The linear-interpolation quantile of n values, the k-th smallest of which is ``at(k)``; null for none."""
+    r = F.lit(float(q)) * (n - 1)
+    k = F.floor(r).cast("int")
+    a, share = at(k), r - F.floor(r)
+    return F.when(n > 0, F.when(share == 0, a).otherwise((1 - share) * a + share * at(k + 1)))
+
+
+def group_quantiles(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], qs: Sequence[float], aggs: Sequence[Column] = (), *, hot: int = 100_000, bins: int = 256, few: int = 4096
+) -> DataFrame:
+    """Per group: ``q_<column>`` (array, the exact quantiles ``qs`` of the values that are present and no NaN) and ``aggs``.
+
+    Groups of up to ``hot`` rows sort their values in one task each. A group with more never meets in a task: its ranks
+    are cornered by counts. Each pass counts ``bins`` ranges of the interval that holds a rank, for all hot groups, columns
+    and ranks at once, and goes on in the range that the rank falls into, until that has ``few`` values or one distinct
+    value; only those are gathered. Counts are pre-aggregated, so a pass moves a few numbers per group and task.
+    ``df`` is read once more to find the hot groups (a count), and their columns are written once if there are any.
+    """
+    key = F.struct(*[F.col(f"`{k}`") for k in keys])
+    d = df.withColumn("_k", key)
+    values = {c: stats.nan_null(F.col(f"`{c}`").cast("double")) for c in columns}
+    back = [F.col("_k")[k].alias(k) for k in keys]
+
+    def cold(rows: DataFrame) -> DataFrame:
+        lists = rows.groupBy("_k").agg(*[F.sort_array(F.collect_list(v)).alias(f"_v_{c}") for c, v in values.items()], *aggs)
+        found = {f"q_{c}": F.array(*[interpolated(lambda k, c=c: F.get(f"_v_{c}", k), F.size(f"_v_{c}"), q) for q in qs]) for c in columns}
+        return lists.withColumns(found).select(*back, *lists.columns[1 + len(columns) :], *found)
+
+    big = d.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("_k")
+    if big.isEmpty():
+        return cold(d)
+    big = small(settled(big))
+    rows = settled(d.join(big, "_k", "left_semi").select("_k", F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), v.alias("_x")) for c, v in values.items()]))).where("_x IS NOT NULL"))
+    spans = rows.groupBy("_k", "_c").agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"), F.lit(0).cast("long").alias("_before"), F.count("_x").alias("_n"))
+    sizes = settled(spans)
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(F.lit(float(q)) * (F.col("_n") - 1)), F.ceil(F.lit(float(q)) * (F.col("_n") - 1))) for q in qs])))
+    spans = sizes.withColumn("_r", F.explode(ranks))
+    where = ["_k", "_c", "_a", "_b", "_before", "_n"]
+    while not (wide := spans.where((F.col("_n") > few) & (F.col("_a") < F.col("_b")))).isEmpty():
+        inside = rows.join(small(wide.select(*where).distinct()), ["_k", "_c"]).where(F.col("_x").between(F.col("_a"), F.col("_b")))
+        share = (F.col("_x") / 2 - F.col("_a") / 2) / (F.col("_b") / 2 - F.col("_a") / 2)  # halves: the width of all doubles overflows
+        inside = inside.withColumn("_bin", F.least(F.floor(share * bins), F.lit(bins - 1)))
+        counts = inside.groupBy(*where, "_bin").agg(F.min("_x").alias("_a2"), F.max("_x").alias("_b2"), F.count("_x").alias("_n2"))
+        start = F.coalesce(F.sum("_n2").over(W.partitionBy(*where).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("_before")
+        counts = counts.withColumn("_start", start)
+        hit = wide.join(counts, where).where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_start") + F.col("_n2")))
+        hit = hit.select("_k", "_c", F.col("_a2").alias("_a"), F.col("_b2").alias("_b"), F.col("_start").alias("_before"), F.col("_n2").alias("_n"), "_r")
+        spans = settled(spans.where((F.col("_n") <= few) | (F.col("_a") >= F.col("_b"))).unionByName(hit))
+    held = rows.join(small(spans.where("_a < _b").select(*where).distinct()), ["_k", "_c"]).where(F.col("_x").between(F.col("_a"), F.col("_b")))
+    held = held.groupBy(*where).agg(F.sort_array(F.collect_list("_x")).alias("_v"))  # few values each
+    value = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.get("_v", (F.col("_r") - F.col("_before")).cast("int")))
+    found = spans.join(held, where, "left").groupBy("_k", "_c").agg(F.map_from_entries(F.collect_list(F.struct("_r", value))).alias("_m"))
+    found = found.join(sizes.select("_k", "_c", "_n"), ["_k", "_c"])
+    found = found.withColumn("_q", F.array(*[interpolated(lambda k: F.col("_m")[k.cast("long")], F.col("_n"), q) for q in qs]))
+    none = F.array(*[F.lit(None).cast("double") for _ in qs])
+    wide_q = found.groupBy("_k").agg(*[F.coalesce(F.max(F.when(F.col("_c") == c, F.col("_q"))), none).alias(f"q_{c}") for c in columns])
+    others = d.join(big, "_k", "left_semi").groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), *aggs).drop("_n")
+    hot_q = others.join(wide_q, "_k", "left").withColumns({f"q_{c}": F.coalesce(f"q_{c}", none) for c in columns})
+    return cold(d.join(big, "_k", "left_anti")).unionByName(hot_q.select(*back, *hot_q.columns[1:]))
+
+
 def site_quantiles(df: DataFrame, features: Sequence[str], lo: float = 0.1, hi: float = 0.9, group: str = "location") -> DataFrame:
-    """Per site and feature: two quantiles, min and max, in one pass; rows with no feature at all are dropped first."""
+    """Per site and feature: two quantiles, min and max; rows with no feature at all are dropped first."""
     d = df.where(F.coalesce(*[F.col(c).cast("double") for c in features]).isNotNull()) if features else df
-    aggs: list[Column] = []
-    for c in features:
-        aggs += [F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"_q_{c}"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-    out = d.groupBy(group).agg(*aggs)
-    return out.withColumns({**{f"{c}_lo": F.col(f"_q_{c}")[0] for c in features}, **{f"{c}_hi": F.col(f"_q_{c}")[1] for c in features}}).drop(*[f"_q_{c}" for c in features])
+    bounds = [f(c).alias(f"{c}_{k}") for c in features for k, f in (("min", F.min), ("max", F.max))]
+    out = group_quantiles(d.select(group, *features), [group], features, (lo, hi), bounds)
+    return out.withColumns({**{f"{c}_lo": F.col(f"q_{c}")[0] for c in features}, **{f"{c}_hi": F.col(f"q_{c}")[1] for c in features}}).drop(*[f"q_{c}" for c in features])
 
 
 def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], bins: int = 4096, few: int = 10_000) -> list[float | None]:
@@ -104,7 +174,8 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], bins: int =
 
 def impact(df: DataFrame, delta: str = "delta", group: str = "location") -> DataFrame:
     """Mean and 95th percentile of the site's impacts."""
-    return df.groupBy(group).agg(F.avg(delta).alias("mean_impact_mw"), stats.quantile(F.col(delta), 0.95).alias("p95_impact_mw"))
+    out = group_quantiles(df.select(group, delta), [group], [delta], (0.95,), [F.avg(delta).alias("mean_impact_mw")])
+    return out.select(group, "mean_impact_mw", F.col(f"q_{delta}")[0].alias("p95_impact_mw"))
 
 
 def peak_difference(df: DataFrame, low: str, high: str, ts: str, keys: Sequence[str], peak: tuple[int, int] = (11, 15)) -> DataFrame:
@@ -115,8 +186,9 @@ def peak_difference(df: DataFrame, low: str, high: str, ts: str, keys: Sequence[
 
 def site_year(df: DataFrame, value: str = "capacity", keys: Sequence[str] = ("location", "year"), min_windows: int = 15) -> DataFrame:
     """Mean, 90th percentile and count of window values, for keys with enough of them."""
-    d = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("mean"), stats.quantile(F.col(value), 0.9).alias("p90"), F.count(F.lit(1)).alias("n_samples"))
-    return d.where(F.col("n_samples") >= min_windows)
+    d = df.where(F.col(value).isNotNull()).select(*keys, value)
+    q = group_quantiles(d, keys, [value], (0.9,), [F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n_samples")])
+    return q.where(F.col("n_samples") >= min_windows).select(*keys, "mean", F.col(f"q_{value}")[0].alias("p90"), "n_samples")
 
 
 def solar_score(df: DataFrame, weights: Mapping[str, float], out: str = "score") -> DataFrame:
@@ -132,7 +204,8 @@ def score_pools(df: DataFrame, score: str = "score", keys: Sequence[str] = (), l
     """Columns in_low and in_high: finite scores at or beyond the percentiles of their group, or of the whole table."""
     s = F.when(stats.finite(F.col(score)), F.col(score))
     if keys:
-        d = df.join(df.groupBy(*keys).agg(F.percentile(s, F.array(F.lit(low), F.lit(high))).alias("_q")), list(keys), "left")
+        q = group_quantiles(df.select(*keys, s.alias("_s")), keys, ["_s"], (low, high)).withColumnRenamed("q__s", "_q")
+        d = df.join(q, list(keys), "left")
     else:
         d = df.withColumn("_q", F.array(*[F.lit(v).cast("double") for v in exact_quantiles(df, score, (low, high))]))
     flag = lambda x: F.coalesce(x, F.lit(False))
@@ -153,7 +226,8 @@ def feature_scaler(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def fleet_summary(df: DataFrame, mw: str = "growth_mw", pct: str = "growth_pct", keys: Sequence[str] = ("year",)) -> DataFrame:
     d = df.where(F.col(mw).isNotNull())
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sites"), F.avg(mw).alias("mean_mw"), F.avg(pct).alias("mean_pct"), F.median(pct).alias("median_pct"), F.count_if(F.col(mw) > 0).alias("n_positive"))
+    q = group_quantiles(d.select(*keys, mw, pct), keys, [pct], (0.5,), [F.count(F.lit(1)).alias("n_sites"), F.avg(mw).alias("mean_mw"), F.avg(pct).alias("mean_pct"), F.count_if(F.col(mw) > 0).alias("n_positive")])
+    return q.select(*keys, "n_sites", "mean_mw", "mean_pct", F.col(f"q_{pct}")[0].alias("median_pct"), "n_positive")
 
 
 def head_overlap(df: DataFrame, group: str, vector: str, order: str) -> DataFrame:

@@ -32,7 +32,17 @@ def half_hour(ts: Column) -> Column:
     """Start of the half hour, in whole numbers from 1970 on: no time zone is looked up."""
     epoch, half = F.lit("1970-01-01").cast("timestamp_ntz"), F.lit(1_800_000_000)
     x = micros(epoch, ts.cast("timestamp_ntz"))
-    return epoch + F.make_dt_interval(F.lit(0), F.lit(0), ((x - F.pmod(x, half)) / half * 30).cast("int"))
+    return half_hour_start(((x - F.pmod(x, half)) / half).cast("int"))
+
+
+def half_hour_number(ts: Column) -> Column:
+    """Half hours since 1970: a whole number to group by, cheaper than the time itself."""
+    x, half = micros(F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz")), F.lit(1_800_000_000)
+    return ((x - F.pmod(x, half)) / half).cast("int")
+
+
+def half_hour_start(number: Column) -> Column:
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), number * 30)
 
 
 def micros(a: Column, b: Column) -> Column:
@@ -40,11 +50,36 @@ def micros(a: Column, b: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", a, b)
 
 
-def index_by_count(df: DataFrame, group: str = "location", ts: str = "timestamp", out: str = "time_idx", keep: bool = False) -> DataFrame:
-    """0, 1, 2, ... per site in time order; gaps vanish. ``keep`` leaves an index that is there (as long)."""
+def _in_spans(df: DataFrame, group: str, ts: str, spans: int) -> DataFrame:
+    """Add _k: a struct of the site and its time span, one of ``spans`` equal parts of the table's whole time (a row without a
+    time is in a last one of its own). Spans of a site follow each other, so what a row needs of earlier ones is one value
+    per span."""
+    ends = df.agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"))
+    share = micros(F.col("_from"), F.col(ts)) / (micros(F.col("_from"), F.col("_to")) + 1)
+    span = F.coalesce(F.floor(share * spans).cast("long"), F.lit(spans).cast("long"))
+    return df.crossJoin(F.broadcast(ends)).withColumn("_k", F.struct(F.col(group).alias("g"), span.alias("s"))).drop("_from", "_to")
+
+
+def _carried(sums: DataFrame, before: Column) -> DataFrame:
+    """One row per site and span: ``before``, a window function over the spans before, as _carry."""
+    return sums.select("_k", before.over(W.partitionBy("_k.g").orderBy("_k.s").rowsBetween(W.unboundedPreceding, -1)).alias("_carry"))
+
+
+def index_by_count(df: DataFrame, group: str = "location", ts: str = "timestamp", out: str = "time_idx", keep: bool = False, spans: int = 1, ties: Sequence[str] = ()) -> DataFrame:
+    """0, 1, 2, ... per site in time order; gaps vanish. ``keep`` leaves an index that is there (as long).
+
+    With ``spans`` a site's series is cut into so many spans of time: each is numbered in a task of its own, and the rows of
+    the spans before, counted in one pre-aggregated pass, are added. So one site may hold most of the table. The rows
+    move once either way. ``ties`` order rows of equal times (else their order is open).
+    """
     if keep and out in df.columns:
         return df.withColumn(out, F.col(out).cast("long"))
-    return df.withColumn(out, (F.row_number().over(ordered(group, ts)) - 1).cast("long"))
+    if spans <= 1:
+        return df.withColumn(out, (F.row_number().over(ordered(group, ts, *ties)) - 1).cast("long"))
+    d = _in_spans(df.drop(out), group, ts, spans)
+    carry = _carried(d.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")), F.sum("_n"))
+    place = F.row_number().over(W.partitionBy("_k").orderBy(F.col(ts).asc_nulls_last(), *ties))
+    return d.withColumn(out, place).join(carry, "_k").withColumn(out, (F.col(out) - 1 + F.coalesce("_carry", F.lit(0))).cast("long")).drop("_k", "_carry")
 
 
 def index_from_origin(df: DataFrame, origin: Column, ts: str = "timestamp", out: str = "time_idx", minutes: int = 30, truncate: bool = False) -> DataFrame:
@@ -61,19 +96,33 @@ def index_from_first(df: DataFrame, ts: str = "timestamp", out: str = "time_idx"
     return index_from_origin(df.drop(out).crossJoin(F.broadcast(first)), F.col("_first"), ts, out, minutes).drop("_first")
 
 
-def forward_fill(df: DataFrame, column: str, group: str = "location", ts: str = "timestamp", out: str | None = None) -> DataFrame:
-    """Last value that is present up to here, per site."""
-    w = ordered(group, ts).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn(out or column, F.last(column, ignorenulls=True).over(w))
+def forward_fill(df: DataFrame, column: str, group: str = "location", ts: str = "timestamp", out: str | None = None, spans: int = 1, ties: Sequence[str] = ()) -> DataFrame:
+    """Last value that is present up to here, per site.
+
+    With ``spans`` each span of a site's time is filled in a task of its own, and what is still open at its start takes the last
+    value of the spans before, as in ``index_by_count``.
+    """
+    if spans <= 1:
+        w = ordered(group, ts, *ties).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn(out or column, F.last(column, ignorenulls=True).over(w))
+    d = _in_spans(df, group, ts, spans)
+    last = F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(ts, *ties)))
+    carry = _carried(d.groupBy("_k").agg(last.alias("_v")), F.last("_v", ignorenulls=True))
+    w = W.partitionBy("_k").orderBy(F.col(ts).asc_nulls_last(), *ties).rowsBetween(W.unboundedPreceding, 0)
+    filled = d.withColumn("_f", F.last(column, ignorenulls=True).over(w)).join(carry, "_k")
+    return filled.withColumn(out or column, F.coalesce("_f", "_carry")).drop("_k", "_f", "_carry")
 
 
 def every_nth(df: DataFrame, n: int, group: str = "location", ts: str = "timestamp") -> DataFrame:
     return df.withColumn("_k", F.row_number().over(ordered(group, ts)) - 1).where(F.col("_k") % n == 0).drop("_k")
 
 
-def window_starts(n: Column, size: int, step: int) -> Column:
-    """Starts 0, step, ... below n - size (a window that would fit exactly at the end is not one)."""
-    return F.when(n > size, F.sequence(F.lit(0).cast("long"), (n - size - 1).cast("long"), F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+def window_starts(i: Column, n: Column, size: int, step: int) -> Column:
+    """Starts of the windows that hold row i of n: multiples of ``step`` in (i - size, i] below n - size (a window that would fit
+    exactly at the end is not one). About size / step of them, by arithmetic alone."""
+    whole = lambda x: x - F.pmod(x, F.lit(step))
+    first, last = whole(F.greatest(i - F.lit(size - step), F.lit(0))), whole(F.least(i, n - F.lit(size + 1)))
+    return F.when((n > size) & (first <= last), F.sequence(first.cast("long"), last.cast("long"), F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
 def sliding_windows(df: DataFrame, size: int, step: int, keys: Sequence[str] = ("location",), ts: str = "timestamp", out: str = "window_start") -> DataFrame:
@@ -82,8 +131,7 @@ def sliding_windows(df: DataFrame, size: int, step: int, keys: Sequence[str] = (
     w = W.partitionBy(*keys)
     i, n = F.row_number().over(w.orderBy(ts)) - 1, F.count(F.lit(1)).over(w)
     d = df.withColumns({"_i": i.cast("long"), "_n": n})
-    mine = F.filter(window_starts(F.col("_n"), size, step), lambda s: (s <= F.col("_i")) & (F.col("_i") < s + size))
-    d = d.withColumn(out, F.explode(mine))
+    d = d.withColumn(out, F.explode(window_starts(F.col("_i"), F.col("_n"), size, step)))
     return d.withColumn("place", F.col("_i") - F.col(out)).drop("_i", "_n")
 
 

@@ -6,11 +6,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import stats
 from gridloom.models import Scorer
 from gridloom.operators import aggregate, clean, sampling, scenario, timeseries
+from gridloom.tables import settled, small
 
 
 def brute_force(df: DataFrame, scorer: Scorer, features: Sequence[str], *, ts: str = "timestamp", group: str = "location", daylight: tuple[int, int] = (6, 19), **mods) -> DataFrame:
@@ -19,7 +21,7 @@ def brute_force(df: DataFrame, scorer: Scorer, features: Sequence[str], *, ts: s
     Both scenarios ride on one row (two sets of columns), so predictions are never joined back.
     """
     use = clean.present(df.columns, features)
-    j = df.join(scenario.coherent_mods(df, use, group=group, **mods), group)
+    j = df.join(small(settled(scenario.coherent_mods(df, use, group=group, **mods))), group)  # a row per site
     day = F.hour(ts).between(*daylight)
     for side in ("low", "high"):
         own = {c: F.when(day, F.col(f"{c}_{side}_sun")).otherwise(F.col(c)) for c in use}
@@ -43,6 +45,13 @@ class AnalogueConfig:
     fallback_years: tuple[int, ...] = (2021, 2022)
 
 
+def analogue_year_table(df: DataFrame, ts: str, fallback: Sequence[int]) -> DataFrame:
+    """(year, analogue_year) for the years of a table, without a look at them on the driver. The window runs over one row per year."""
+    years = df.select(F.year(ts).alias("year")).where("year IS NOT NULL").distinct().withColumn("_first", F.min("year").over(W.partitionBy()))
+    before = F.when(F.col("year") == F.col("_first"), F.array(*[F.lit(y) for y in fallback])).otherwise(F.array(F.col("year") - 2, F.col("year") - 1))
+    return years.select("year", F.explode(before).alias("analogue_year"))
+
+
 def analogue_years(years: Sequence[int], fallback: Sequence[int]) -> list[tuple[int, int]]:
     """(year, analogue year): the two years before, the fallback for the first."""
     return [(y, a) for k, y in enumerate(years) for a in (fallback if k == 0 else (y - 2, y - 1))]
@@ -86,7 +95,8 @@ def historical_analogue(
 def calibration(df: DataFrame, y: str, x: str, group: str = "location", min_rows: int = 10) -> DataFrame:
     """Trimmed calibration per site: finite pairs, y within its own 1st to 99th percentile, identity as the fallback."""
     d = df.where(stats.finite(F.col(x)) & stats.finite(F.col(y)))
-    q = d.groupBy(group).agg(F.percentile(y, F.array(F.lit(0.01), F.lit(0.99))).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    q = aggregate.group_quantiles(d.select(group, y), [group], [y], (0.01, 0.99), [F.count(F.lit(1)).alias("_n")]).withColumnRenamed(f"q_{y}", "_q")
+    q = small(settled(q))
     a, b = stats.slope_intercept(F.col(y), F.col(x))
     c = d.join(q, group).where(F.col(y).between(F.col("_q")[0], F.col("_q")[1])).groupBy(group).agg(F.first("_n").alias("_n"), a.alias("_a"), b.alias("_b"))
     ok = (F.col("_n") >= min_rows) & stats.finite(F.col("_a"))
@@ -120,12 +130,14 @@ def on_manifold(
     summer_noon = F.month(ts).between(5, 9) & F.hour(ts).between(11, 14)
     orient = stats.orientation_negative(*(F.when(summer_noon, F.col(c)) for c in (primary, target)))
     sites = df.groupBy(group).agg(F.percentile(F.month(ts), F.lit(0.5)).cast("int").alias("median_month"), orient.alias("orientation"))
-    noon = df.where(F.hour(ts) == 12).join(sites.select(group, "median_month"), group).where(F.month(ts) == F.col("median_month")).select(group, ts, *use)
+    sites = settled(sites)
+    noon = df.where(F.hour(ts) == 12).join(small(sites.select(group, "median_month")), group).where(F.month(ts) == F.col("median_month")).select(group, ts, *use)
     cand = aggregate.score_pools(aggregate.solar_score(sampling.candidates(noon, [group], k, [group, ts], seed), weights), keys=(group,), low=low, high=high)
-    vec = cand.withColumn("v", F.struct(*use))
+    vec = settled(cand.withColumn("v", F.struct(*use)))  # k rows per site
     d_low = sampling.draw_from_pool(sites.select(group), vec.where("in_low"), draws, group, "v", "candidate", seed, "v_low")
     d_high = sampling.draw_from_pool(sites.select(group), vec.where("in_high"), draws, group, "v", "candidate", seed + 1, "v_high")
-    j = df.join(d_low.join(d_high, [group, "draw"]).join(sites.select(group, "orientation"), group), group)
+    drawn = settled(d_low.join(d_high, [group, "draw"]).join(sites.select(group, "orientation"), group))  # ``draws`` rows per site
+    j = df.join(small(drawn), group)
     for side in ("low", "high"):
         mods = scenario.with_siblings(df.columns, {c: F.col(f"v_{side}")[c] for c in use})
         saved = {f"_own_{c}": F.col(c) for c in mods}
@@ -133,4 +145,4 @@ def on_manifold(
         j = j.withColumns({c: F.col(f"_own_{c}") for c in mods}).drop(*saved)
     cal = lambda c: F.lit(slope) * F.col(c) + F.lit(intercept)
     d = j.withColumn("delta", scenario.signed_delta(cal("y_high"), cal("y_low"), F.col("orientation")))
-    return aggregate.impact(d, "delta", group)
+    return aggregate.impact(settled(d.select(group, "delta")), "delta", group)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from gridloom.operators import aggregate, clean, joins, sampling, timeseries
 
@@ -17,4 +16,4 @@ def plot_lines(df: DataFrame, value: str, *, sites: int = 10, start: Column, day
 
 def sanity(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """One row: size, sites, span, missing values and their share."""
-    return aggregate.overview(df, key, ts, value).crossJoin(F.broadcast(aggregate.missing(df, value).select("fraction_present")))
+    return aggregate.report(df, key, ts, value)

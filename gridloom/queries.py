@@ -171,8 +171,8 @@ def json_props(spark, d):
 
 @query(f"WITH {S} SELECT location, {HALF} AS hh, round(coalesce(sum(gap * 0.95::DOUBLE), 0), 6) AS active_power_kw FROM s GROUP BY ALL")
 def halfhour_sum(spark, d):
-    s = clean.scale_power(_s(spark, d), 0.95, "gap", "active_power_kw").withColumn("hh", timeseries.half_hour(F.col("timestamp")))
-    return aggregate.sum_by(s, ["location", "hh"], "active_power_kw").select("location", "hh", _r("active_power_kw"))
+    s = clean.scale_power(_s(spark, d), 0.95, "gap", "active_power_kw").withColumn("n", timeseries.half_hour_number(F.col("timestamp")))
+    return aggregate.sum_by(s, ["location", "n"], "active_power_kw").select("location", timeseries.half_hour_start(F.col("n")).alias("hh"), _r("active_power_kw"))
 
 
 @query(f"WITH {S} SELECT location, count(*) AS total_points, count(gap) AS non_nan_points, count(gap)::DOUBLE / count(*) AS fraction_non_nan FROM s GROUP BY location")
@@ -297,7 +297,7 @@ def head_overlap_all(spark, d):
 
 @query(f"WITH {S} SELECT event_id, row_number() OVER (PARTITION BY location ORDER BY timestamp) - 1 AS time_idx FROM s")
 def time_index_cumcount(spark, d):
-    return timeseries.index_by_count(_s(spark, d)).select("event_id", "time_idx")
+    return timeseries.index_by_count(_s(spark, d), spans=8).select("event_id", "time_idx")
 
 
 @query(f"WITH {S} SELECT event_id, trunc(date_diff('microsecond', TIMESTAMP '2024-01-10 00:10:00', timestamp)::DOUBLE / 1800000000)::BIGINT AS time_idx FROM s")
@@ -317,7 +317,7 @@ def time_index_global_min(spark, d):
 
 @query(f"WITH {S} SELECT event_id, last_value(gap IGNORE NULLS) OVER (PARTITION BY location ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM s")
 def ffill_power(spark, d):
-    return timeseries.forward_fill(_s(spark, d), "gap", out="filled").select("event_id", "filled")
+    return timeseries.forward_fill(_s(spark, d), "gap", out="filled", spans=8).select("event_id", "filled")
 
 
 @query(f"WITH {S} SELECT event_id FROM s QUALIFY (row_number() OVER (PARTITION BY location ORDER BY timestamp) - 1) % 5 = 0")
@@ -394,8 +394,7 @@ def site_year_gate(spark, d):
 
 @query("WITH y AS (SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders) SELECT year, unnest(CASE WHEN year = (SELECT min(year) FROM y) THEN [1990, 1991] ELSE [year - 2, year - 1] END)::INT AS analogue_year FROM y")
 def analogue_year_choice(spark, d):
-    years = [r["y"] for r in _t(spark, d, "orders").select(F.year("o_orderdate").alias("y")).distinct().orderBy("y").collect()]
-    return spark.createDataFrame(capacity.analogue_years(years, (1990, 1991)), "year int, analogue_year int")
+    return capacity.analogue_year_table(_t(spark, d, "orders"), "o_orderdate", (1990, 1991))
 
 
 # Joins, sets, text

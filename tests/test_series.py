@@ -497,3 +497,102 @@ def test_stream(spark, tmp_path):
     assert (datetime(2021, 1, 1), 9.5) in got  # late rows change nothing
     c = stream.completeness(spark.read.csv(str(src), header=True, schema="tx_id string, hh timestamp, kva double"))
     assert one(c)["fraction_non_nan"] == 0.8
+
+
+def test_readings_by_header(spark, tmp_path):
+    """Folder and list give the same rows whatever the order of the columns; files that do not fit are skipped."""
+    d = tmp_path / "in put"
+    (d / "deep").mkdir(parents=True)
+    (d / "a_HH_data.csv").write_text("tx_id,hh,kva\n1,2021-01-01 00:00:00,1.5\n1,2021-01-01 00:30:00,x\n1,never,3\n")
+    (d / "deep" / "b_HH_data.csv").write_text('﻿kva,tx_id,hh\n2.5,2,2021-01-01 00:00:00\n"3,5",2,2021-01-01 00:30:00\n')
+    (d / "c_HH_data.csv").write_text("tx_id,hh\n9,2021-01-01 00:00:00\n")
+    (d / "d_HH_data.csv").write_text("")
+    (d / "e_HH_data.csv").write_text("hh,kva,tx_id,note\n2021-01-01 01:00:00,7,3,n\n")
+    (d / "f.csv").write_text("tx_id,hh,kva\n8,2021-01-01 00:00:00,1\n")
+    rows = lambda x: sorted((r["tx_id"], str(r["hh"]), r["kva"]) for r in x.collect())
+    want = [("1", "2021-01-01 00:00:00", 1.5), ("1", "2021-01-01 00:30:00", None), ("2", "2021-01-01 00:00:00", 2.5), ("2", "2021-01-01 00:30:00", None), ("3", "2021-01-01 01:00:00", 7.0)]
+    got = files.read_readings(spark, str(d))
+    assert rows(got) == want and set(got.columns) == {"tx_id", "hh", "kva", "note"}
+    assert rows(files.read_readings(spark, files.list_csv(str(d)))) == want
+    assert files.read_readings(spark, str(d), pattern="none*").count() == 0
+
+
+def test_readings_of_many_files(spark, tmp_path):
+    """A thousand files take one scan per header, not one per file."""
+    for i in range(1000):
+        head, row = (("tx_id,hh,kva", f"{i},2021-01-01 00:00:00,{i}.5") if i % 3 else ("hh,kva,tx_id", f"2021-01-01 00:00:00,{i}.5,{i}"))
+        (tmp_path / f"{i}_HH_data.csv").write_text(f"{head}\n{row}\n")
+    spark.sparkContext.setJobGroup("many", "many files")
+    got = files.read_readings(spark, str(tmp_path))
+    total = got.agg(F.count(F.lit(1)), F.sum("kva"), F.countDistinct("tx_id")).first()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("many")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tuple(total) == (1000, sum(i + 0.5 for i in range(1000)), 1000) and len(jobs) < 12
+
+
+def test_incremental_parquet(spark, tmp_path):
+    """The plan runs once, nothing is left of an empty or failed part, parts add up under the first one's schema."""
+    out = f"{tmp_path}/out"
+    ran = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    part = lambda lo, hi: spark.range(lo, hi).mapInArrow(count, "id long")
+    assert files.write_if_any(part(0, 0), out, append=True) == 0 and list(tmp_path.iterdir()) == []
+    assert files.write_if_any(part(0, 5), out, append=True) == 5 and ran.value == 5
+    assert files.write_if_any(part(0, 0), out, append=True) == 0
+    assert files.write_if_any(part(5, 9).select(F.col("id").cast("int").alias("id")), out, append=True) == 4
+    got = spark.read.parquet(out)
+    assert got.schema["id"].dataType.simpleString() == "bigint" and sorted(r["id"] for r in got.collect()) == list(range(9))
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|division"):
+        files.write_if_any(spark.range(9).select((F.lit(1) / (F.col("id") - 5)).cast("long").alias("id")), out, append=True)
+    with pytest.raises(ValueError, match="do not fit"):
+        files.write_if_any(spark.range(1).toDF("other"), out, append=True)
+    assert spark.read.parquet(out).count() == 9 and [p.name for p in tmp_path.iterdir()] == ["out"]
+    assert files.write_if_any(spark.range(2), out) == 2 and spark.read.parquet(out).count() == 2
+
+
+def test_spans_equal_windows(spark):
+    """A hot site cut into spans: the same fills and indices as one window, in more than one task."""
+    r = np.random.default_rng(3)
+    rows = [("hot" if k < 900 else f"s{k % 3}", T0 + timedelta(minutes=int(m)), float(m) if r.random() < 0.4 else None, k) for k, m in enumerate(r.permutation(4000)[:1000])]
+    rows += [("hot", None, 1.0, 1000), ("gap", T0, None, 1001), (None, T0, 5.0, 1002), (None, T0 + HALF * 90, None, 1003)]
+    df = spark.createDataFrame(rows, "location string, timestamp timestamp_ntz, v double, i long").repartition(3)
+    for spans in (1, 2, 7, 64):
+        fill = {x["i"]: x["v"] for x in timeseries.forward_fill(df, "v", spans=spans, ties=["i"]).collect()}
+        idx = {x["i"]: x["time_idx"] for x in timeseries.index_by_count(df, spans=spans, ties=["i"]).collect()}
+        if spans == 1:
+            want = fill, idx
+        assert (fill, idx) == want
+    assert timeseries.forward_fill(df, "v", spans=7).columns == df.columns
+    assert timeseries.forward_fill(df.limit(0), "v", spans=7).count() == timeseries.index_by_count(df.limit(0), spans=7).count() == 0
+    tasks = timeseries._in_spans(df.where("location = 'hot'"), "location", "timestamp", 32).repartition(16, "_k").select(F.spark_partition_id()).distinct().count()
+    assert tasks > 8
+
+
+def test_quantiles_of_hot_groups(spark):
+    """Counts by bins corner the same quantiles as sorting, for groups of any size and shape."""
+    r = np.random.default_rng(8)
+    data = {"a": r.normal(size=3000), "b": r.exponential(size=2000) ** 4, "c": np.full(1500, 7.0), "d": np.r_[np.zeros(900), 1e300, -1e300, r.normal(size=700)], "e": r.normal(size=20), "f": np.array([])}
+    rows = [(k, float(x), None if i % 5 == 0 else -2.0 * float(x), i) for k, v in data.items() for i, x in enumerate(v)] + [("f", None, None, 0), (None, 1.0, float("nan"), 1)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, i int").repartition(3)
+    qs = (0.0, 0.05, 0.5, 0.9, 1.0)
+    for hot, bins, few in ((100_000, 256, 4096), (100, 64, 16)):
+        got = {x["g"]: x for x in aggregate.group_quantiles(df, ["g"], ["x", "y"], qs, [F.count("x").alias("n"), F.max("x").alias("m")], hot=hot, bins=bins, few=few).collect()}
+        assert set(got) == {*data, None} and got[None]["q_x"] == [1.0] * 5 and got[None]["q_y"] == got["f"]["q_x"] == [None] * 5
+        for k, v in data.items():
+            y = -2.0 * v[[i for i in range(len(v)) if i % 5]] if len(v) else v
+            for c, x in (("q_x", v), ("q_y", y)):
+                assert got[k][c] == ([None] * 5 if not len(x) else pytest.approx(np.quantile(x, qs).tolist(), rel=1e-12))
+            assert got[k]["n"] == len(v)
+    plan = aggregate.site_quantiles(df.withColumnRenamed("g", "location"), ["x", "y"])._jdf.queryExecution().toString()
+    assert "percentile" not in plan
+
+
+def test_window_starts_by_arithmetic(spark):
+    for n, size, step in ((10, 4, 3), (23, 5, 5), (17, 3, 7), (40, 12, 1), (4, 4, 2), (9, 8, 3)):
+        got = {(x["i"], x["s"]) for x in spark.range(n).select(F.col("id").alias("i"), F.explode(timeseries.window_starts(F.col("id"), F.lit(n).cast("long"), size, step)).alias("s")).collect()}
+        assert got == {(i, s) for s in range(0, n - size, step) for i in range(s, s + size)}
