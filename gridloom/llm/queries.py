@@ -120,9 +120,10 @@ HOST_RULES = tuple(
 
 @query()
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels are of documents; here page k is taken to be document k's, since no table says which page a document is from."""
+    """A page holds the document that the number in its URL's path names; that document's labels are the page's."""
     pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
-    known = pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    held = pages.select("url", url_filter.document_of(F.col("url")).alias("doc_id"))
+    known = held.join(labels, "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return url_filter.judge_urls(pages, url_filter.mine_rules(known), HOST_RULES).drop("url")
 
 
@@ -157,7 +158,7 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=3, count=10_000, percent=5, least_words=20, seed=42)
+    drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=("doc_id",), n=3, count=10_000, percent=5, least_words=20, seed=42)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,9 +92,13 @@ def overlapping(words: list[bytes], size: int, carry: int) -> Iterator[tuple[lis
         yield words[k : k + size + carry], min(size, len(words) - k)
 
 
-def _chunks(docs: DataFrame, n: int, size: int) -> DataFrame:
-    """(row, own, text): whole texts where they lie, with null ``own``; those of more than LONG bytes as chunks of ``size``
-    words with n - 1 words of carry, dealt evenly over the tasks and written, so that no task has a long text to itself."""
+def _is_long() -> Column:
+    return F.octet_length("_gl_text") > LONG
+
+
+def chunked(long: DataFrame, n: int, size: int) -> DataFrame:
+    """(_gl_row, _gl_text) of long texts -> written (row, own, text): chunks of ``size`` words with n - 1 words of carry, dealt evenly
+    over the tasks, so that no task has a long text to itself."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,55 +106,60 @@ def _chunks(docs: DataFrame, n: int, size: int) -> DataFrame:
                 for k, (words, own) in enumerate(overlapping(terms_of(text.as_py()), size, n - 1)):
                     yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([k]), pa.array([own], pa.int32()), pa.array([b" ".join(words)], pa.binary())], ["row", "k", "own", "text"])
 
-    long = F.octet_length("text") > LONG
-    parts = docs.where(long).select("row", "text").mapInArrow(cut, "row long, k long, own int, text binary").repartition("row", "k")
-    whole = docs.where(~long).select("row", F.lit(None).cast("int").alias("own"), "text")
-    return whole.unionByName(written(parts, "chunks").drop("k"))
+    parts = long.select("_gl_row", "_gl_text").mapInArrow(cut, "row long, k long, own int, text binary")
+    return written(parts.repartition("row", "k"), "chunks").drop("k")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int | None], list[list[bytes]]]]:
+def _grouped(rows: Iterator[tuple[int | None, int | None, bytes]]) -> Iterator[tuple[list[int | None], list[int | None], list[list[bytes]]]]:
     """Rows, owned words and words of about AT_ONCE words at a time."""
-    rows, own, texts, n = [], [], [], 0
+    at, own, texts, n = [], [], [], 0
+    for r, o, t in rows:
+        at.append(r)
+        own.append(o)
+        texts.append(terms_of(t))
+        n += len(texts[-1])
+        if n >= AT_ONCE:
+            yield at, own, texts
+            at, own, texts, n = [], [], [], 0
+    if at:
+        yield at, own, texts
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int | None, bytes]]:
     for b in batches:
         for r, o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            words = terms_of(t.as_py())
-            rows.append(r)
-            own.append(o)
-            texts.append(words)
-            n += len(words)
-            if n >= AT_ONCE:
-                yield rows, own, texts
-                rows, own, texts, n = [], [], [], 0
-    if rows:
-        yield rows, own, texts
+            yield r, o, t.as_py()
 
 
-def count_features(chunks: DataFrame, n: int, count: int) -> np.ndarray:
-    """Features by bucket over all chunks: each task counts its own, ``count`` rows at most, and Spark adds them up."""
+def count_features(texts: DataFrame, n: int, count: int) -> np.ndarray:
+    """Features by bucket over all rows (row, own, text): each task counts its own, ``count`` rows at most, and Spark adds them up."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(count, np.int64)
-        for _, own, texts in _grouped(batches):
-            total += np.bincount(buckets(texts, own, n, count)[1], minlength=count)
+        for _, own, group in _grouped(_rows(batches)):
+            total += np.bincount(buckets(group, own, n, count)[1], minlength=count)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
     out = np.zeros(count, np.int64)
-    for r in chunks.select("row", "own", "text").mapInArrow(task, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in texts.select("row", "own", "text").mapInArrow(task, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
 
+def sums_of(own: Sequence[int | None], texts: Sequence[list[bytes]], gain: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, features and summed gains of each text (or chunk: what its own words begin)."""
+    text, bucket = buckets(texts, own, n, len(gain))
+    weight = np.rint(np.bincount(text, gain[bucket].astype(float), minlength=len(texts))).astype(np.int64)  # sums far below 2**53
+    return np.array([len(t) if o is None else o for o, t in zip(own, texts, strict=True)], np.int64), np.bincount(text, minlength=len(texts)), weight
+
+
 def gains(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     """1000 times the log ratio of a bucket's smoothed shares of the target's and the raw features, rounded down."""
     big_s, big_t, k = float(raw.sum()), float(target.sum()), float(len(raw))
     return np.array([math.floor(1000 * math.log((t + 1) * (big_s + k) / ((s + 1) * (big_t + k)))) for s, t in zip(map(float, raw), map(float, target), strict=True)], np.int64)
 
 
-def _texts(df: DataFrame, text_col: str) -> DataFrame:
-    return df.select(F.monotonically_increasing_id().alias("row"), text_of(text_col).cast("binary").alias("text"))
-
-
 def noise(identity: Column, seed: int) -> Column:
     """A Gumbel variate (times 1000, rounded down) that SHA-256 of seed and id makes."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(identity.cast("string"), F.lit("")))
@@ -158,7 +168,7 @@ def noise(identity: Column, seed: int) -> Column:
 
 
 def resample(
-    docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text",
+    docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", keep: Sequence[str] | None = None,
     n: int = 3, count: int = 10_000, chunk: int = 4096, percent: int = 5, least_words: int = 20, seed: int = 42,
 ) -> DataFrame:
     """Add n_words, n_features, weight, score and rank to every row: a draw without replacement of ``percent`` per cent of the
@@ -172,32 +182,47 @@ def resample(
     Long texts (over LONG bytes) are cut at word boundaries into chunks of ``chunk`` words with n - 1 words of carry; a chunk
     owns the runs that begin in its own words, so every run counts once. Chunks are dealt over all tasks; counts are
     added up over chunks, weights by row. Two passes over the texts, one shuffle of the long ones, and a range
-    sort of the rows' scores, in which no task sees all rows.
+    sort of the rows' scores, in which no task sees all rows. The result, of the columns ``keep`` (default: all), is
+    written once, and the long texts are.
 
     Null and empty texts have no words, weight 0, and are never drawn. Ids are integers; a null one counts as an empty one in
-    the noise and comes last among ties. Rows that repeat an id or text are rows of their own, equal scores included; their
-    order is that of the input. An empty target gives every bucket the gain of a share of none. An empty table gives an
-    empty one. Input columns named like an output column are replaced, others stay. Rows are told apart by their place
-    in the input, which must be the same each time it is read (files are; a shuffled input should be written first).
+    the noise and comes last among ties. Rows that repeat an id or text are rows of their own, and of equal ones the first
+    come first. An empty target gives every bucket the gain of a share of none. An empty table gives an empty one. Input
+    columns named like an output column are replaced, others stay.
     """
-    docs = without(docs, *[c for c in OUT if c != id_col.lower()]).withColumn("_gl_row", F.monotonically_increasing_id())
-    texts = _chunks(docs.select(F.col("_gl_row").alias("row"), text_of(text_col).cast("binary").alias("text")), n, chunk)
-    gain = gains(count_features(texts, n, count), count_features(_chunks(_texts(target, target_text), n, chunk), n, count))
+    docs = without(docs, *[c for c in OUT if c not in (id_col.lower(), text_col.lower())])
+    names = [c for c in docs.columns if keep is None or c in keep]
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_gl_kept"), F.col(f"`{id_col}`").alias("_gl_id"), text_of(text_col).cast("binary").alias("_gl_text"))
+    aims = target.select(text_of(target_text).cast("binary").alias("_gl_text"))
+
+    def split(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Short rows where they lie, long ones written and numbered, and the long ones' chunks."""
+        long = written(rows.where(_is_long()).withColumn("_gl_row", F.monotonically_increasing_id()), label)
+        return rows.where(~_is_long()), long, chunked(long, n, chunk)
+
+    def texts(short: DataFrame, chunks: DataFrame) -> DataFrame:
+        return short.select(F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("own"), F.col("_gl_text").alias("text")).unionByName(chunks)
+
+    short, long, chunks = split(docs, "long")
+    near, _, near_chunks = split(aims, "target")
+    gain = gains(count_features(texts(short, chunks), n, count), count_features(texts(near, near_chunks), n, count))
+
+    @F.pandas_udf("n_words long, n_features long, weight long")
+    def whole(column: pd.Series) -> pd.DataFrame:
+        parts = [sums_of(own, group, gain, n) for _, own, group in _grouped((None, None, t) for t in column)]
+        return pd.DataFrame(dict(zip(OUT, map(np.concatenate, zip(*parts, strict=True)), strict=False)) if parts else {c: np.zeros(0, np.int64) for c in OUT[:3]})
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, own, groups in _grouped(batches):
-            text, bucket = buckets(groups, own, n, count)
-            features = np.bincount(text, minlength=len(rows))
-            weight = np.rint(np.bincount(text, gain[bucket].astype(float), minlength=len(rows))).astype(np.int64)  # sums far below 2**53
-            words = [len(g) if o is None else o for g, o in zip(groups, own, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([o is None for o in own]), pa.array(words, pa.int64()), pa.array(features), pa.array(weight)], ["row", "whole", "n_words", "n_features", "weight"])
-
-    each = texts.select("row", "own", "text").mapInArrow(weigh, "row long, whole boolean, n_words long, n_features long, weight long")
-    sums = written(each.groupBy(F.col("row").alias("_gl_row")).agg(*[F.sum(c).alias(c) for c in ("n_words", "n_features", "weight")]), "weights")
-    slim = docs.select("_gl_row", F.col(f"`{id_col}`").alias("_gl_id")).join(sums, "_gl_row")
-    slim = written(slim.withColumn("score", (F.col("weight") + noise(F.col("_gl_id"), seed)).cast("long")), "scores")
-    fit = slim.where(F.col("n_words") >= least_words)
+        for at, own, group in _grouped(_rows(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *map(pa.array, sums_of(own, group, gain, n))], ["row", *OUT[:3]])
+
+    by_chunk = chunks.select("row", "own", "text").mapInArrow(weigh, "row long, n_words long, n_features long, weight long")
+    by_row = by_chunk.groupBy(F.col("row").alias("_gl_row")).agg(*[F.sum(c).alias(c) for c in OUT[:3]])
+    done = long.join(by_row, "_gl_row", "left").select("_gl_kept", "_gl_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in OUT[:3]])
+    every = short.withColumn("_gl_w", whole("_gl_text")).select("_gl_kept", "_gl_id", "_gl_w.*").unionByName(done)
+    every = every.withColumns({"score": (F.col("weight") + noise(F.col("_gl_id"), seed)).cast("long"), "_gl_row": F.monotonically_increasing_id()})
+    every = written(every, "scores")
+    fit = every.where(F.col("n_words") >= least_words)
     take = fit.count() * percent // 100
     drawn = numbered(fit.select("_gl_row", "_gl_id", "score"), [F.desc("score"), F.col("_gl_id").asc_nulls_last(), F.col("_gl_row").asc()], "rank").where(F.col("rank") <= take)
-    ranked = slim.join(drawn.select("_gl_row", "rank"), "_gl_row", "left")
-    return docs.join(ranked.drop("_gl_id"), "_gl_row").select(*[f"`{c}`" for c in docs.columns if c != "_gl_row"], *OUT)
+    return every.join(drawn.select("_gl_row", "rank"), "_gl_row", "left").select(*[F.col("_gl_kept")[c].alias(c) for c in names], *OUT)
