@@ -94,37 +94,41 @@ def corpus_stats(index: DataFrame, terms: Sequence[bytes]) -> Stats:
     return Stats(n["n"] or 0, n["l"] or 0, {bytes(r["term"]): r["df"] for r in df.collect()} if terms else {})
 
 
-def block_ends(lists: Sequence[np.ndarray], longest: int = 64, fixed: float = 8.0) -> list[np.ndarray]:
-    """Where the blocks of each list of scores end, so that the bound's error is least.
-
-    A block's bound is its largest score, its error the sum over its postings of bound less score; each block also costs
-    ``fixed`` mean scores of its list, and holds ``longest`` postings at most. Among all partitions the cheapest is
-    found by dynamic programming over posting positions, for all lists side by side: with E(i) the least cost of the
-    first i postings, E(i) = min over k of E(i - k) + k * (largest of the last k scores) + fixed cost, less the sum of
-    scores, which is the same for all partitions.
+def block_ends(lists: Sequence[tuple[np.ndarray, np.ndarray]], longest: int = 64, fixed: float = 8.0) -> list[np.ndarray]:
+    """Where the blocks of each list (documents ascending, scores) end, so that the bound's error is least.
+
+    A block's bound is its largest score and stands for every document from its first to its last; its error is the sum of
+    bound less score over these (0 where the term is absent). Each block also costs ``fixed`` mean scores of its list, and
+    holds ``longest`` postings at most. Among all partitions the cheapest is found by dynamic programming over posting
+    positions, for all lists side by side: with E(i) the least cost of the first i postings, E(i) = min over k of
+    E(i - k) + (largest of the last k scores) * (documents from the first of these to the last) + fixed cost, less the sum
+    of scores, which is the same for all partitions.
     """
-    order = sorted(range(len(lists)), key=lambda k: -len(lists[k]))
-    sizes = np.array([len(lists[k]) for k in order], np.int64)
+    order = sorted(range(len(lists)), key=lambda k: -len(lists[k][0]))
+    sizes = np.array([len(lists[k][0]) for k in order], np.int64)
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    flat = np.concatenate([lists[k] for k in order]) if len(order) else np.zeros(0, np.int64)
-    cost = np.array([max(1, int(fixed * lists[k].sum() / max(len(lists[k]), 1))) for k in order], np.int64)
+    none = [np.zeros(0, np.int64)]
+    doc, flat = (np.concatenate([lists[k][c].astype(np.int64) for k in order] or none) for c in (0, 1))
+    cost = np.array([max(1, int(fixed * lists[k][1].sum() / max(len(lists[k][1]), 1))) for k in order], np.int64)
     back = np.zeros(len(flat), np.int16)
-    far = np.int64(1) << 61
     top = np.zeros((len(order), longest), np.int64)  # the largest of the last k scores
-    before = np.full((len(order), longest), far)  # E(i - k)
+    begin = np.zeros((len(order), longest), np.int64)  # the document of the first of these
+    before = np.full((len(order), longest), np.int64(1) << 61)  # E(i - k)
     before[:, 0] = 0
-    length = np.arange(1, longest + 1, dtype=np.int64)
     live = len(order)
     for i in range(int(sizes[0]) if len(order) else 0):
         while sizes[live - 1] <= i:
             live -= 1
-        s, t, e = flat[starts[:live] + i], top[:live], before[:live]
+        at = starts[:live] + i
+        d, s, t, f, e = doc[at], flat[at], top[:live], begin[:live], before[:live]
         t[:, 1:] = t[:, :-1]
         t[:, 0] = s
         np.maximum(t, s[:, None], out=t)
-        total = e + t * length
+        f[:, 1:] = f[:, :-1]
+        f[:, 0] = d
+        total = e + t * (d[:, None] + 1 - f)
         k = total.argmin(axis=1)
-        back[starts[:live] + i] = k + 1
+        back[at] = k + 1
         best = total[np.arange(live), k] + cost[:live]
         e[:, 1:] = e[:, :-1]
         e[:, 0] = best
@@ -171,12 +175,12 @@ class Shard:
             if w := weights.get(t):
                 d, f = docs[a:b], tfs[a:b]
                 self.postings[t] = d, w * ((1_000_000_000 * f) // (1000 * f + 12 * m[d]))
-        blocks = block_ends([s for _, s in self.postings.values()])
-        #: For each term: where its bound changes, and by how much. A block's bound holds up to the next block.
-        self.steps: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        blocks = block_ends(list(self.postings.values()))
+        #: For each term: its blocks' first documents, those after their last ones, and their bounds.
+        self.blocks: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for (t, (d, s)), e in zip(self.postings.items(), blocks, strict=True):
             first = np.r_[0, e[:-1]]
-            self.steps[t] = d[first], np.diff(np.maximum.reduceat(s, first), prepend=0)
+            self.blocks[t] = d[first], d[e - 1] + 1, np.maximum.reduceat(s, first)
 
     def search(self, query: Sequence[tuple[bytes, int]], best: Best, batch: int = 256) -> None:
         """Add the shard's documents that belong into ``best``.
@@ -188,11 +192,12 @@ class Shard:
         mine = [(t, q) for t, q in query if t in self.postings]
         if not mine:
             return
-        bound = np.zeros(len(self.ids), np.int64)
+        bound = np.zeros(len(self.ids) + 1, np.int64)
         for t, q in mine:
-            at, step = self.steps[t]
-            bound[at] += q * step  # a list's blocks begin at different documents
-        bound = np.cumsum(bound)
+            first, end, most = self.blocks[t]
+            bound[first] += q * most  # a list's blocks begin at different documents, and end at such
+            bound[end] -= q * most
+        bound = np.cumsum(bound)[:-1]
         left = np.flatnonzero(bound >= best.bar)
         left = left[np.argsort(-bound[left], kind="stable")]
         while len(left):
