@@ -117,7 +117,7 @@ def base_spans(df: DataFrame, text: str, out: str) -> DataFrame:
     Parts of an address are 255 at most; cards have 12 to 19 digits and a right Luhn sum, phones 9 to 15 digits. A match
     that fails is dropped and not tried again.
     """
-    octet = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    octet = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
     digits = "regexp_replace(x.v, '[^0-9]', '')"
     good = {"email": "true", "ip": rf"x.v RLIKE '^(?:{octet}\\.){{3}}{octet}$'", "card": luhn(digits), "phone": f"length({digits}) BETWEEN 9 AND 15"}
     found = find(df, text, BASE, "_gl_base")
