@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import without, written
 
 OUT = ("host", "path", "rule", "verdict", "matched", "confidence")
-#: Items in a transaction up to which FP-growth lists all frequent sets (2**WIDTH / support at most); beyond, sets grow
-#: one item at a time to the size that is asked for.
+#: Items in a transaction up to which Spark's FP-growth, which knows no bound on a set's size, lists all frequent sets
+#: (2**WIDTH / support at most). Beyond, FP-growth with such a bound grows the same sets.
 WIDTH = 12
 
 
@@ -74,12 +74,15 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(part(labels, "h:"), part(hyphens, "h:"), part(segments, "p:"), part(names, "q:")))
 
 
-def frequent_sets(bad: DataFrame, need: int, most: int, width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
-    """(items array<int>, sorted) -> the sets of ``most`` items at most that ``need`` rows or more have, and how many do.
+def document_of(url: Column) -> Column:
+    """The number that ends the path (before an ending or a slash), as long: the document that a page holds; else null."""
+    number = F.regexp_extract(path_of(url), r"/([0-9]{1,18})(?:\.[A-Za-z]+)?/?$", 1)
+    return F.when(number != "", number.cast("long"))
 
-    By FP-growth, which lists sets of all sizes, where no row has over ``width`` items; else by counting the sets of one
-    item, then those of two whose parts are frequent, and so on: a row of w items has w**most / most! sets at most.
-    """
+
+def frequent_sets(bad: DataFrame, need: int, most: int, width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
+    """(items array<int>, sorted) -> the sets of ``most`` items at most that ``need`` rows or more have, and how many do, by
+    FP-growth: Spark's own where no row has over ``width`` items, else ``grown_sets``."""
     bad = bad.where(F.size("items") > 0)
     n, widest = bad.agg(F.count(F.lit(1)), F.max(F.size("items"))).first()
     if n < need:
@@ -87,26 +90,37 @@ def frequent_sets(bad: DataFrame, need: int, most: int, width: int = WIDTH) -> l
     if widest <= width:
         found = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / n).fit(bad).freqItemsets.where(F.size("items") <= most)
         return sorted((tuple(sorted(r["items"])), r["freq"]) for r in found.collect())
+    return grown_sets(bad, need, most)
+
+
+def grown_sets(bad: DataFrame, need: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """FP-growth that stops at sets of ``most`` items: conditional tables, grown one item at a time.
+
+    A row (s, p, n) says that n transactions hold the set s and have the items p before its last one, most frequent items
+    first; equal rows are merged, as paths of an FP-tree are. Counting the items of p by s gives the frequent sets
+    s + x. Then p is pruned to those x, and every x of it opens the table of s + x with what stands before it. A task handles
+    rows one by one and counts are pre-aggregated, so no table of a frequent item meets in one task.
+    """
+    counts = bad.select(F.explode("items").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
+    rank = {r["x"]: k for k, r in enumerate(sorted(counts.collect(), key=lambda r: (-r["n"], r["x"])))}
+    item = {k: x for x, k in rank.items()}
+
+    @F.pandas_udf("array<int>")
+    def ranked(items: pd.Series) -> pd.Series:
+        return items.map(lambda xs: sorted(rank[x] for x in xs if x in rank))
+
+    table = bad.select(F.array().cast("array<int>").alias("s"), ranked("items").alias("p"))
+    table = written(table.where(F.size("p") > 0).groupBy("s", "p").agg(F.count(F.lit(1)).alias("n")), "transactions")
     out: list[tuple[tuple[int, ...], int]] = []
-    known: set[tuple[int, ...]] = {()}
     for size in range(1, most + 1):
-
-        def grown(batches: Iterator[pa.RecordBatch], known=frozenset(known), size=size) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for items in b.column("items").to_pylist():
-                    sets = [()]
-                    for k in range(1, size + 1):
-                        sets = [(*s, x) for s in sets for x in items if not s or x > s[-1]]
-                        sets = [s for s in sets if k == size or k < size - 1 or s in known]
-                    sets = [s for s in sets if s[1:] in known and s[:-1] in known]
-                    yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32()))], ["s"])
-
-        level = bad.select("items").mapInArrow(grown, "s array<int>").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
-        rows = [(tuple(r["s"]), r["n"]) for r in level.collect()]
-        out += rows
-        known = {s for s, _ in rows}
-        if not known:
-            break
+        level = table.select("s", F.explode("p").alias("x"), "n").groupBy("s", "x").agg(F.sum("n").alias("n")).where(F.col("n") >= need)
+        level = written(level, "sets")
+        out += [(tuple(sorted(item[k] for k in (*r["s"], r["x"]))), r["n"]) for r in level.collect()]
+        if size < most:
+            good = level.groupBy("s").agg(F.collect_set("x").alias("good"))
+            pruned = table.join(good, "s").select("s", F.array_intersect("p", "good").alias("p"), "n")
+            grown = pruned.select("s", "p", "n", F.posexplode("p").alias("i", "x")).where("i > 0")
+            table = written(grown.groupBy(F.concat("s", F.array("x")).alias("s"), F.slice("p", F.lit(1), F.col("i")).alias("p")).agg(F.sum("n").alias("n")), "conditional")
     return sorted(out)
 
 
