@@ -8,9 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC = b"GLR1"
-#: A pair is replaced while it occurs this often; a rule costs about as much as three symbols. Rounds of such rare pairs end
-#: with the first that shortens the sequence by less than 1/ENOUGH.
-LEAST, ENOUGH = 4, 200
+#: A pair is replaced while it occurs this often: a rule costs about as much as three symbols, so rarer pairs make a block larger.
+LEAST = 4
 
 
 @dataclass
@@ -34,9 +33,9 @@ def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
-    """Replace frequent pairs by nonterminals until (nearly) no pair occurs ``least`` times.
+    """Replace frequent pairs by nonterminals until no pair can be replaced ``least`` times.
 
-    A round counts all adjacent pairs and replaces, left to right, every pair at least a sixteenth as frequent as the
+    Pairs are replaced in batches, an approximation of replacing the most frequent one each time: a round counts all adjacent pairs and replaces, left to right, every pair at least a sixteenth as frequent as the
     most frequent one (later rounds go on from there), so a few rounds do what one pair at a time would; where
     chosen pairs overlap the left one wins. Rules refer to earlier codes only.
     """
@@ -85,11 +84,8 @@ def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
         seq[at] = code[k]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        enough = len(at) * ENOUGH < len(seq)
         seq = seq[stay]
         n_codes += int(used.sum())
-        if bar <= least and enough:
-            break
     rules = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     return Grammar(base.astype(np.uint32), rules, _lengths(len(base), rules), seq)
 

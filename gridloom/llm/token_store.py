@@ -58,15 +58,16 @@ def write_store(
 ) -> None:
     """Encode every whole text, append ``end_id``, and write blocks (``repair.dump``) in ascending id order.
 
-    ``spec`` is the tokenizer's JSON. Rows are range-partitioned by id and text hash (rows that repeat an id spread
-    too) and sorted; each task encodes its range in order and closes a block of about ``shard_tokens`` ids at a time,
+    ``spec`` is the tokenizer's JSON. Rows are range-partitioned by id, text hash and row number (so rows that repeat
+    an id, or id and text, spread too) and sorted; each task encodes its range in order and closes a block of about ``shard_tokens`` ids at a time,
     so memory is bounded by a block and its largest document. ``part`` and ``block`` give the order; the blocks are
     carried in a Parquet table so that any Hadoop file system can hold them. Null texts are empty, null ids come
     first, texts under one id follow a hash of theirs. An empty table gives an empty store. Ids must be integers.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
+    rows = rows.withColumns({"h": F.xxhash64("text"), "r": F.monotonically_increasing_id()})
+    order = [F.col("id").asc_nulls_first(), F.col("h").asc(), F.col("r").asc()]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     blocks = ordered.select("id", "text").mapInArrow(_write(spec, end_id, shard_tokens), STORE)
     blocks.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
 
