@@ -228,7 +228,7 @@ def format_chats(turns: DataFrame, *, costs: Costs = Costs(), template: Template
     programming finds a repair of least total cost; ties prefer keep, merge, relabel and the lower state. ``rendered``
     strings of a conversation, by position, join to its text, so no row grows with the conversation.
 
-    Roles and hashes alone are range-partitioned by (conversation, turn, hash), so one conversation may span any number
+    Roles and hashes alone are range-partitioned by (conversation, turn, hash, row number), so one conversation may span any number
     of tasks; each task cuts its stretch into chunks, a chunk acts on states as a 4 x 4 min-plus matrix, and
     conversations of several chunks are chained through these (``chunk_states``) before all chunks are decoded on their
     own. The texts move once, when they join their turns by a 128-bit hash of the row.
@@ -236,16 +236,16 @@ def format_chats(turns: DataFrame, *, costs: Costs = Costs(), template: Template
     Turns with equal numbers are ordered by a hash of role and text; null turn numbers come first. A null or unknown
     role counts as a relabel whatever it becomes. A null text is empty, and texts of any length are one value of one
     row. Null conv_id is a conversation of its own. Rows that repeat all columns are turns of their own. Other columns
-    are not read. An empty table gives an empty one.
+    are not read. ``conv_id`` and ``turn`` are integers. An empty table gives an empty one.
     """
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), text_of().alias("text"))
     whole = ["conv_id", "turn", "role", "text"]
     missing = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in whole[:3]])  # the hash passes nulls over
     rows = rows.withColumns({"order": F.xxhash64("role", "text"), "h": F.xxhash64(missing, *whole), "h2": F.xxhash64(F.lit(1), missing, *whole)})
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("order"), F.col("h")]
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("order"), F.col("h"), F.col("r")]
     schema = "conv_id long, part int, chunk int, turns array<long>, roles array<string>, h array<long>, h2 array<long>, m array<long>"
-    slim = written(rows.drop("text"), "turns")
-    dealt = slim.repartitionByRange(*order).sortWithinPartitions(*order).drop("order")
+    slim = written(rows.drop("text").withColumn("r", F.monotonically_increasing_id()), "turns")  # r deals rows that repeat all columns
+    dealt = slim.repartitionByRange(*order).sortWithinPartitions(*order).drop("order", "r")
     chunks = written(dealt.mapInArrow(_chunks(costs), schema), "chunks")
 
     several = chunks.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("conv_id").alias("c"))
