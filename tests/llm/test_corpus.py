@@ -205,6 +205,16 @@ def test_repair_round_trip():
             a, b = sorted(r.integers(0, len(x), 2).tolist())
             assert (repair.slice_of(back, a, b) == x[a:b]).all()
     assert len(repair.compress(np.array([1, 2] * 500)).seq) < 40
+    r = np.random.default_rng(3)
+    text = np.concatenate([r.integers(0, 40, 6)[r.integers(0, 6, 30)] for _ in range(400)])
+    for least in (2, 3, 4):  # no pair is left that could be replaced so often: overlapping ones of a run count once
+        left = repair.compress(text, least=least).seq.tolist()
+        last, counts = {}, Counter()
+        for i, pair in enumerate(itertools.pairwise(left)):
+            if last.get(pair) != i - 1:
+                counts[pair] += 1
+                last[pair] = i
+        assert max(counts.values()) < least
 
 
 def test_token_store(spark, odd, empty, tmp_path):

@@ -1,6 +1,7 @@
 """The registered queries, columns and digests included, against brute force over a small folder of tables."""
 
 import hashlib
+import math
 import random
 import re
 import sys
@@ -47,10 +48,11 @@ def data(spark, tmp_path_factory):
     docs = texts()
     spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{d}/documents.parquet")
     r = random.Random(5)
-    urls = [(i, f"http://{r.choice(['a', 'B', 'win'])}.Example.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'de', 'es'])}/{i}{r.choice(['', '?x=1', '#f', '?bet=2'])}") for i, _, _ in docs]
+    made = [(i, f"http://{r.choice(['a', 'B', 'win'])}.Example.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'de', 'es'])}/{i}{r.choice(['', '/', '.html', '?x=1', '#f', '?bet=2'])}") for i, _, _ in docs]
+    urls = [(docs[-1 - k][0], u) for k, (_, u) in enumerate(made)]  # page k is not document k's
     urls += [(1000, None), (1001, "no scheme"), (1002, "x://h"), (1003, "a://b://example.net/de/8?z"), (1004, "http://example.com/en/7/" + "y" * 50_000)]
     spark.createDataFrame([(i, u, "<p>") for i, u in urls], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
-    known = dict(urls)
+    known = dict(made)
     labels = [(i, int(not ("win" in known[i] and r.random() < 0.95)), int(r.random() < 0.1)) for i, _, _ in docs]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     turns = [(c, k, r.choice(["user", "assistant", "assistant", "system", "bot", None]), r.choice(["hi", "yo\nyes", "", None, "é" * 40])) for c in range(40) for k in range(r.randrange(1, 7))]
@@ -71,7 +73,10 @@ def test_op1(spark, data):
         names = [x.split("=")[0] for x in query.split("&")]
         return {f"h:{x}" for x in [*labels_, *(y for z in labels_ for y in z.split("-"))] if x} | {f"p:{x}" for x in path.split("/") if x and not re.match(r"^[0-9]+(\.[a-z]+)?$", x)} | {f"q:{x}" for x in names if x}
 
-    known = [(tokens_of(u), tag[i]) for i, u in urls if i in tag and u is not None]
+    number = lambda u: re.search(r"://[^?#]*/([0-9]+)(?:\.[A-Za-z]+)?/?(?:[?#]|$)", u or "")
+    known = [(tokens_of(u), tag[int(m[1])]) for _, u in urls if (m := number(u)) and int(m[1]) in tag]
+    by_page = [(tokens_of(u), tag[i]) for i, u in urls if i in tag and u is not None]
+    assert ("h:win",) not in rules_by_force(by_page, 5, 0.6, 3, 0.05)  # the association is there by the URL's number only
     rules = rules_by_force(known, 5, 0.6, 3, 0.05)
     assert ("h:win",) in rules
     got = {x["page_id"]: x for x in rows_of(QUERIES["op1_url_rules"](spark, d))}
@@ -95,6 +100,59 @@ def test_op2(spark, data):
     assert all(0 <= x["severity"] <= 2 and x["toxic"] == (x["grade"] > 0) for x in got.values())
 
 
+def test_op2_by_force(spark, tmp_path):
+    """The query's vocabulary, held-out split, cut and scores, made again without Spark."""
+    r = random.Random(23)
+    plain, rude = [f"w{k:02d}" for k in range(60)], ["grobian", "flegel", "luemmel"]
+    docs, labels = [], []
+    for i in range(900):
+        t = [r.choice(plain) for _ in range(r.randrange(5, 40))]
+        toxic = int(r.random() < 0.3)
+        for _ in range(r.randrange(1, 4) if toxic else int(r.random() < 0.02)):
+            t.insert(r.randrange(len(t)), r.choice(rude))
+        docs.append((i, " ".join(t) if i else None))
+        if i % 3:
+            labels.append((i, int(r.random() < 0.6), toxic))
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    text = dict(docs)
+    rows = [((2 - q) if x else 0, text[i] or "") for i, q, x in labels]
+    sign = lambda v: v - (1 << 64) if v >> 63 else v
+    mixed = lambda t: sign(xxhash.xxh64_intdigest((t).encode(), xxhash.xxh64_intdigest((6).to_bytes(4, "little"), 42)))
+    held = [mixed(t) % 5 == 0 for _, t in rows]
+
+    def chosen(some):
+        n, pos = len(some), sum(g > 0 for g, _ in some)
+        d, a = Counter(), Counter()
+        for g, t in some:
+            for w in toxicity.tokens_of(t):
+                d[w] += 1
+                a[w] += g > 0
+        chi = lambda w: (a[w] - d[w] * pos / n) ** 2 / (d[w] * pos / n * (1 - pos / n) * max(1 - d[w] / n, 1e-9))
+        return {w: k for k, w in enumerate(sorted(w for w in d if d[w] >= 5 and round(chi(w), 9) >= 10.83))}
+
+    def fitted(some, vocabulary):
+        got = sorted((g, toxicity.features(t, vocabulary)) for g, t in some)
+        return toxicity.fit_ordinal([x for _, x in got], np.array([g for g, _ in got]), vocabulary)
+
+    vocabulary = chosen(rows)
+    model = fitted(rows, vocabulary)
+    others = [x for x, h in zip(rows, held, strict=True) if not h]
+    part = chosen(others)
+    trial = fitted(others, part)
+    clean = sorted((1 / (1 + math.exp(trial.thresholds[0] - trial.weights[toxicity.features(t, part)].sum())) for (g, t), h in zip(rows, held, strict=True) if h and g == 0), reverse=True)
+    floor = 1 / (1 + math.exp(min(trial.thresholds[0], model.thresholds[0])))
+    cut = min(max(clean[int(0.01 * len(clean))], min(floor, 0.5)), 0.5)
+    assert set(rude) <= set(vocabulary) and not set(plain) & set(vocabulary)
+    found = 0
+    for x in rows_of(QUERIES["op2_toxicity"](spark, str(tmp_path))):
+        p = [1 / (1 + math.exp(th - model.weights[toxicity.features(text[x["doc_id"]], vocabulary)].sum())) for th in model.thresholds]
+        grade = (p[0] > cut) + (p[1] > 0.5)
+        assert x["severity"] == pytest.approx(sum(p), abs=1e-6) and (x["grade"], x["toxic"]) == (grade, grade > 0)
+        found += grade > 0
+    assert found > 150
+
+
 def test_ordinal_optimum():
     """The fit is the maximum of the penalised likelihood: no direction improves it, and plain descent ends there."""
     r = np.random.default_rng(4)
