@@ -107,7 +107,7 @@ def group_quantiles(
         counts = counts.withColumn("_start", start)
         hit = wide.join(counts, where).where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_start") + F.col("_n2")))
         hit = hit.select("_k", "_c", F.col("_a2").alias("_a"), F.col("_b2").alias("_b"), F.col("_start").alias("_before"), F.col("_n2").alias("_n"), "_r")
-        spans = settled(spans.where((F.col("_n") <= few) | (F.col("_a") >= F.col("_b"))).unionByName(hit))
+        spans = settled(spans.where((F.col("_n") <= few) | (F.col("_a") >= F.col("_b"))).unionByName(hit).repartition("_k", "_c"))
     held = rows.join(small(spans.where("_a < _b").select(*where).distinct()), ["_k", "_c"]).where(F.col("_x").between(F.col("_a"), F.col("_b")))
     held = held.groupBy(*where).agg(F.sort_array(F.collect_list("_x")).alias("_v"))  # few values each
     value = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.get("_v", (F.col("_r") - F.col("_before")).cast("int")))
