@@ -596,3 +596,92 @@ def test_window_starts_by_arithmetic(spark):
     for n, size, step in ((10, 4, 3), (23, 5, 5), (17, 3, 7), (40, 12, 1), (4, 4, 2), (9, 8, 3)):
         got = {(x["i"], x["s"]) for x in spark.range(n).select(F.col("id").alias("i"), F.explode(timeseries.window_starts(F.col("id"), F.lit(n).cast("long"), size, step)).alias("s")).collect()}
         assert got == {(i, s) for s in range(0, n - size, step) for i in range(s, s + size)}
+
+
+def classic_netcdf(version, dims, variables, records, fixed_time=False):
+    """Bytes of a classic NetCDF file. dims: name -> length (0: records); variables: (name, dims, attributes, array)."""
+    import struct
+
+    n4 = lambda x: struct.pack(">i", x)
+    count = (lambda x: struct.pack(">q", x)) if version == 5 else n4
+    offset = n4 if version == 1 else lambda x: struct.pack(">q", x)
+    pad = lambda b: b + b"\0" * (-len(b) % 4)
+    name = lambda s: count(len(s.encode())) + pad(s.encode())
+    kinds = {"i2": 3, "i4": 4, "f4": 5, "f8": 6}
+
+    def attributes(a):
+        out = n4(12 if a else 0) + count(len(a))
+        for k, v in a.items():
+            if isinstance(v, str):
+                out += name(k) + n4(2) + count(len(v)) + pad(v.encode())
+            else:
+                out += name(k) + n4(kinds[v.dtype.str[1:]]) + count(v.size) + pad(v.astype(v.dtype.newbyteorder(">")).tobytes())
+        return out
+
+    ids = list(dims)
+    is_record = lambda ds: bool(ds) and dims[ds[0]] == 0
+    raw = {n: x.astype(x.dtype.newbyteorder(">")).tobytes() for n, _, _, x in variables}
+    one = {n: len(raw[n]) // (records if is_record(ds) else 1) for n, ds, _, _ in variables}
+    n_record = sum(is_record(ds) for _, ds, _, _ in variables)
+
+    def build(begins):
+        out = b"CDF" + bytes([version]) + count(records) + n4(10) + count(len(dims)) + b"".join(name(d) + count(n) for d, n in dims.items()) + attributes({"title": "x"}) + n4(11) + count(len(variables))
+        for n, ds, a, x in variables:
+            out += name(n) + count(len(ds)) + b"".join(count(ids.index(d)) for d in ds) + attributes(a) + n4(kinds[x.dtype.str[1:]]) + count(one[n] + -one[n] % 4) + offset(begins[n])
+        return out
+
+    at, begins = len(build(dict.fromkeys(one, 0))), {}
+    body = b""
+    for n, ds, _, _ in sorted(variables, key=lambda v: is_record(v[1])):
+        if not is_record(ds):
+            begins[n] = at + len(body)
+            body += pad(raw[n])
+    start = at + len(body)
+    inner = 0
+    for n, ds, _, _ in variables:
+        if is_record(ds):
+            begins[n] = start + inner
+            inner += one[n] + (-one[n] % 4 if n_record > 1 else 0)
+    for t in range(records):
+        for n, ds, _, _ in variables:
+            if is_record(ds):
+                r = raw[n][t * one[n] : (t + 1) * one[n]]
+                body += pad(r) if n_record > 1 else r
+    return build(begins) + body
+
+
+def test_netcdf(spark, tmp_path, monkeypatch):
+    from gridloom.sources import netcdf
+
+    r = np.random.default_rng(1)
+    lat, lon = np.array([51.5, 51.25, 51.0], "f4"), np.array([-1.0, -0.75], "f4")
+    want = {}
+    for k, (version, fixed) in enumerate(((1, False), (2, True), (5, False))):
+        n = 24 * 31
+        hours = np.arange(n, dtype="i4") + 24 * 31 * k
+        packed = r.integers(-300, 300, (n, 3, 2)).astype("i2")
+        packed[5, 1, 1] = -999
+        wind = r.normal(size=(n, 3, 2)).astype("f8")
+        wind[7, 0, 0] = np.nan
+        variables = [
+            ("time", ("time",), {"units": "hours since 2021-01-01 00:00:00"}, hours), ("latitude", ("latitude",), {}, lat), ("longitude", ("longitude",), {}, lon),
+            ("t2m", ("time", "latitude", "longitude"), {"scale_factor": np.array([0.5]), "add_offset": np.array([270.0]), "_FillValue": np.array([-999], "i2")}, packed),
+        ] + ([("u10", ("time", "latitude", "longitude"), {}, wind)] if k < 2 else [])
+        dims = {"longitude": 2, "time": n if fixed else 0, "latitude": 3}
+        (tmp_path / f"w{k}.nc").write_bytes(classic_netcdf(version, dims, variables, n if not fixed else 0))
+        for t in range(n):
+            for i in range(3):
+                for j in range(2):
+                    temp = None if packed[t, i, j] == -999 else packed[t, i, j] * 0.5 + 270
+                    u = None if k == 2 or np.isnan(wind[t, i, j]) else wind[t, i, j]
+                    want[datetime(2021, 1, 1) + timedelta(hours=int(hours[t])), float(lat[i]), float(lon[j])] = (temp, u)
+    df = netcdf.read_netcdf(spark, f"{tmp_path}/*.nc", ["t2m", "u10"], slabBytes=20_000)
+    got = {(x["timestamp"], x["era5_lat"], x["era5_lon"]): (x["weather_t2m"], x["weather_u10"]) for x in df.collect()}
+    assert got == want and df.rdd.getNumPartitions() > 20
+    one_month = df.where((F.col("timestamp") >= F.lit("2021-02-01").cast("timestamp_ntz")) & (F.col("timestamp") < F.lit("2021-02-11").cast("timestamp_ntz")))
+    assert one_month.count() == 240 * 6 and one_month.rdd.getNumPartitions() < df.rdd.getNumPartitions() / 5  # other slabs are not opened
+    (tmp_path / "x.nc").write_bytes(b"\x89HDF....")
+    with pytest.raises(Exception, match="not a classic"):
+        netcdf.read_netcdf(spark, f"{tmp_path}/x.nc", ["t2m"]).count()
+    with pytest.raises(Exception, match="no grid file"):
+        netcdf.read_netcdf(spark, f"{tmp_path}/none*.nc", ["t2m"]).count()
