@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import subprocess
 import sys
 import zipfile
@@ -685,3 +686,34 @@ def test_netcdf(spark, tmp_path, monkeypatch):
         netcdf.read_netcdf(spark, f"{tmp_path}/x.nc", ["t2m"]).count()
     with pytest.raises(Exception, match="no grid file"):
         netcdf.read_netcdf(spark, f"{tmp_path}/none*.nc", ["t2m"]).count()
+
+
+def test_state_of_sites(spark, tmp_path):
+    """Three runs over split input, each a restart from the checkpoint, give what one batch query over everything gives."""
+    from gridloom.streaming import sites
+
+    sites.with_state_store(spark)
+    r = random.Random(4)
+    rows = [(s, T0 + HALF * i, None if r.random() < 0.5 else float(r.randrange(100))) for s in ("a", "b", "c") for i in range(60) if s != "c" or i >= 40]
+    (tmp_path / "in").mkdir()
+    schema = "tx_id string, hh timestamp, kva double"
+    for part in range(3):
+        some = [x for x in rows if part * 20 <= (x[1] - T0) / HALF < part * 20 + 20]
+        r.shuffle(some)
+        lines = [f"{s},{t:%Y-%m-%d %H:%M:%S},{'' if v is None else v}" for s, t, v in some]
+        (tmp_path / "in" / f"{part}.csv").write_text("\n".join(["tx_id,hh,kva", *lines, ",2021-06-01 00:00:00,9"]))
+        new = lambda: stream.stream_readings(spark, str(tmp_path / "in"), schema)
+        stream.ingest_available(sites.fill_forward(new()), f"{tmp_path}/filled", f"{tmp_path}/c1").awaitTermination()
+        sites.run_facts(sites.site_facts(new()), f"{tmp_path}/facts", f"{tmp_path}/c2").awaitTermination()
+    batch = spark.createDataFrame(rows, schema).withColumnsRenamed({"tx_id": "location", "hh": "timestamp"})
+    whole = timeseries.index_by_count(timeseries.forward_fill(batch, "kva", out="filled"))
+    want = {(x["location"], x["timestamp"]): (x["kva"], x["filled"], x["time_idx"]) for x in whole.collect()}
+    got = {(x["tx_id"], x["hh"]): (x["kva"], x["filled"], x["time_idx"]) for x in spark.read.parquet(f"{tmp_path}/filled").collect()}
+    assert got == want
+    facts = {x["tx_id"]: x for x in sites.latest(spark.read.parquet(f"{tmp_path}/facts")).collect()}
+    full = aggregate.completeness(batch, "location", "kva").collect()
+    assert set(facts) == {x["location"] for x in full}  # the distinct sites
+    for x in full:
+        f, own = facts[x["location"]], [y for y in rows if y[0] == x["location"]]
+        assert (f["total_points"], f["non_nan_points"], f["fraction_non_nan"]) == (x["total_points"], x["non_nan_points"], x["fraction_non_nan"])
+        assert (f["first_hh"], f["last_hh"]) == (min(y[1] for y in own), max(y[1] for y in own)) and f["last_kva"] == [y[2] for y in own if y[2] is not None][-1]
