@@ -47,6 +47,11 @@ def ensemble(debug: str, first: int | None = None) -> list[tuple[float, Node | L
     return out[:first]
 
 
+def single(debug: str) -> Node | Leaf:
+    """The tree of a single model's ``toDebugString``."""
+    return _read(iter(debug.splitlines()[1:]))
+
+
 def tree_sql(tree: Node | Leaf, name: Callable[[int], str]) -> str:
     """A tree as nested CASE; ``name`` gives the SQL of a feature by its index. Doubles keep all digits."""
     if isinstance(tree, Leaf):

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridloom.functions import trees
+from gridloom.tables import settled
 
 
 class Scorer(Protocol):
@@ -120,6 +126,115 @@ class ArrayModel:
         return df.withColumn(out, run("encoder"))
 
 
+@dataclass(frozen=True)
+class BoostedScorer:
+    """base + sum of weighted trees, as one expression in generated code; ``errors``: validation RMSE after each round."""
+
+    trees: tuple[tuple[float, trees.Node | trees.Leaf], ...]
+    used: tuple[str, ...]
+    base: float
+    errors: tuple[float, ...] = ()
+
+    @property
+    def features(self) -> list[str]:
+        return list(self.used)
+
+    def sql(self) -> str:
+        """The model in SQL that other engines read too; a row that lacks a feature has no prediction."""
+        name = lambda k: f"CAST({self.used[k]} AS DOUBLE)"
+        whole = " AND ".join(f"{c} IS NOT NULL" for c in self.used)
+        return f"CASE WHEN {whole} THEN CAST({self.base!r} AS DOUBLE) + {trees.ensemble_sql(list(self.trees), name)} END"
+
+    def score(self, df: DataFrame, out: str = "y_hat") -> DataFrame:
+        return df.withColumn(out, F.expr(self.sql()))
+
+
+def boost(
+    df: DataFrame, features: Sequence[str], target: str, *, validation: str, most: int = 1000, depth: int = 6, rate: float = 0.05, patience: int = 50, seed: int = 42, every: int = 10
+) -> BoostedScorer:
+    """Gradient boosting of squared error that stops after ``patience`` rounds without a lower validation error and keeps the
+    rounds up to the best one. ``validation``: a boolean column; its rows are not learnt from.
+
+    A round fits one of Spark's regression trees to the residuals and adds ``rate`` times it to the predictions, which lie beside the
+    rows in a table that is computed anew (a reliable checkpoint) every few rounds, so neither plans nor losses of
+    executors grow with the number of rounds. Rows without a feature or target are left out. Without validation rows, or
+    with no row to learn from, an error is raised.
+    """
+    rows = df.na.drop(subset=[*features, target]).select(*features, F.col(target).cast("double").alias("_y"), F.coalesce(F.col(validation), F.lit(False)).alias("_v"))
+    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows)
+    n = rows.agg(F.count_if(~F.col("_v")), F.count_if("_v"), F.avg(F.when(~F.col("_v"), F.col("_y")))).first()
+    if not n[0] or not n[1]:
+        raise ValueError("boosting with patience needs rows to learn from and validation rows")
+    base, found, errors, best = float(n[2]), [], [], 0
+    rows = settled(rows.withColumn("_r", F.col("_y") - F.lit(base)))
+    for k in range(1, most + 1):
+        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_r", maxDepth=depth, seed=seed).fit(rows.where("NOT _v"))
+        node = trees.single(tree.toDebugString)
+        found.append((rate, node))
+        step = F.expr(trees.tree_sql(node, lambda i: f"CAST({features[i]} AS DOUBLE)"))
+        rows = rows.withColumn("_r", F.col("_r") - F.lit(rate) * step)
+        if k % every == 0:
+            rows = settled(rows)
+        errors.append(rows.where("_v").agg(F.sqrt(F.avg(F.col("_r") ** 2))).first()[0])
+        best = k if k == 1 or errors[-1] < errors[best - 1] else best
+        if k - best >= patience:
+            break
+    return BoostedScorer(tuple(found[:best]), tuple(features), base, tuple(errors))
+
+
+@dataclass(frozen=True)
+class StreamScorer:
+    """Any Python model over sites of any length: rows pass in (site, time) order, a batch at a time.
+
+    ``load`` makes the model, once in each Python worker. ``predict(model, rows, context)`` gets up to ``encoder`` earlier rows of
+    the site (``context`` of them) and the rows to score, and returns a value for each of the latter. So a task holds one
+    batch and ``encoder`` rows, never a site.
+    """
+
+    load: Callable[[], object]
+    predict: Callable[[object, pd.DataFrame, int], Sequence[float]]
+    used: tuple[str, ...]
+    encoder: int
+    name: str = "model"
+    group: str = "location"
+    ts: str = "timestamp"
+
+    @property
+    def features(self) -> list[str]:
+        return list(self.used)
+
+    def score(self, df: DataFrame, out: str = "y_hat") -> DataFrame:
+        load, predict, encoder, group, key = self.load, self.predict, self.encoder, self.group, f"{self.name}-{uuid.uuid4().hex}"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if key not in _LOADED:
+                _LOADED.clear()  # one model at a time
+                _LOADED[key] = load()
+            model, site, held = _LOADED[key], None, None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                rows = b.to_pandas()
+                code = rows[group].ne(rows[group].shift()) & ~(rows[group].isna() & rows[group].shift().isna())
+                code.iloc[0] = True
+                y = []
+                for _, part in rows.groupby(code.cumsum(), sort=False):
+                    mine = part[group].iloc[0]
+                    same = held is not None and (mine == site or (pd.isna(mine) and pd.isna(site)))
+                    seen = pd.concat([held, part]) if same and len(held) else part
+                    context = len(seen) - len(part)
+                    y.append(np.asarray(predict(model, seen, context), float))
+                    site, held = mine, seen.tail(encoder)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(y), from_pandas=True)], [*b.schema.names, out])
+
+        d = df.drop(out)
+        order = d.repartition(group).sortWithinPartitions(group, F.col(self.ts).asc_nulls_last())
+        return order.mapInArrow(run, T.StructType([*d.schema.fields, T.StructField(out, T.DoubleType())]))
+
+
+_LOADED: dict[str, object] = {}
+
+
 def fit_boosting(
     df: DataFrame, features: Sequence[str], target: str, *, validation: str | None = None, trees: int = 1000, depth: int = 6, rate: float = 0.05, seed: int = 42
 ) -> PipelineScorer:

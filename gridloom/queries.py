@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import stats, text
 from gridloom.models import DampedTrend, LinearScorer, fit_boosting
-from gridloom.operators import aggregate, clean, joins, sampling, scenario, sets, timeseries
+from gridloom.operators import aggregate, clean, generate, joins, sampling, scenario, sets, timeseries
 from gridloom.plans import capacity, forecast, ingest, merge, reports
 from gridloom.session import ship
 
@@ -661,6 +661,30 @@ def manifold_capacity(spark, d):
     return m.select("location", _r("mean_impact_mw"), _r("p95_impact_mw"))
 
 
+_MOMENTS = """m AS (SELECT location, month(timestamp)::INT AS month, hour(timestamp)::INT AS hour, count(*) AS n, avg(ssrd_w_m2) AS ma, min(ssrd_w_m2) AS la, max(ssrd_w_m2) AS ha, avg(tcc) AS mb, min(tcc) AS lb, max(tcc) AS hb,
+  covar_pop(ssrd_w_m2, ssrd_w_m2) AS caa, covar_pop(ssrd_w_m2, tcc) AS cab, covar_pop(tcc, tcc) AS cbb FROM o GROUP BY ALL)"""
+
+
+@query(f"WITH {O}, {_MOMENTS} SELECT location, month, hour, n, round(ma, 6) AS mean_ssrd_w_m2, round(mb, 6) AS mean_tcc, round(la, 6) AS min_ssrd_w_m2, round(ha, 6) AS max_ssrd_w_m2, round(caa, 4) AS cov_ssrd_w_m2_ssrd_w_m2, round(cab, 4) AS cov_ssrd_w_m2_tcc, round(cbb, 4) AS cov_tcc_tcc FROM m")
+def weather_moments(spark, d):
+    m = generate.conditional_moments(generate.calendar_keys(_o(spark, d)), ["ssrd_w_m2", "tcc"])
+    return m.select("location", "month", "hour", "n", *[_r(f"{k}_{c}") for k, c in (("mean", "ssrd_w_m2"), ("mean", "tcc"), ("min", "ssrd_w_m2"), ("max", "ssrd_w_m2"))], *[_r(f"cov_{a}_{b}", 4) for a, b in (("ssrd_w_m2", "ssrd_w_m2"), ("ssrd_w_m2", "tcc"), ("tcc", "tcc"))])
+
+
+_UNIT = "(('0x' || substr(md5('43:{k}:' || location || ':' || month || ':' || hour || ':' || g || ':' || draw), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+
+
+@query(f"""WITH {O}, {_MOMENTS}, f AS (SELECT *, CASE WHEN caa > 0 THEN sqrt(caa) ELSE 0 END AS l00 FROM m), g AS (SELECT *, CASE WHEN l00 > 0 THEN cab / l00 ELSE 0 END AS l10 FROM f),
+h AS (SELECT *, CASE WHEN cbb - l10 ** 2 > cbb * 1e-9::DOUBLE THEN sqrt(cbb - l10 ** 2) ELSE 0 END AS l11, (round(ma) + 5)::BIGINT AS g FROM g), r AS (SELECT *, unnest(range(1, 9))::INT AS draw FROM h),
+z AS (SELECT *, sqrt(-2 * ln({_UNIT.format(k=1)})) * cos(2 * pi() * {_UNIT.format(k=2)}) AS zb, CASE WHEN l00 > 0 THEN (g - ma) / l00 ELSE 0 END AS za FROM r)
+SELECT location, month, hour, draw, g::DOUBLE AS ssrd_w_m2, round(least(greatest(mb + l10 * za + l11 * zb, lb), hb), 5) AS tcc FROM z""")
+def weather_draws(spark, d):
+    """Eight generated cloud values for each site, month and hour, given an irradiance 5 above its mean."""
+    m = generate.conditional_moments(generate.calendar_keys(_o(spark, d)), ["ssrd_w_m2", "tcc"])
+    asked = m.select("location", "month", "hour", (F.round("mean_ssrd_w_m2") + 5).cast("long").alias("ssrd_w_m2"))
+    return generate.conditional_draws(m, asked, ["ssrd_w_m2", "tcc"], 8, given=["ssrd_w_m2"]).withColumn("tcc", F.round("tcc", 5))
+
+
 _YEARS = (1998, 1999, 2000)
 _AT = ", ".join(f"max({c}) FILTER (year = {y}) AS capacity_{y}_{c}" for y in _YEARS for c in ("mean", "p90"))
 _SAMPLES = ", ".join(f"coalesce(max(n_samples) FILTER (year = {y}), 0) AS n_samples_{y}" for y in _YEARS)

@@ -33,7 +33,7 @@ def centroids(features: DataFrame, name_columns: Sequence[str]) -> DataFrame:
     The name is the first of ``name_columns`` that any feature has, else the position. Points are their own centroid;
     polygons and multipolygons weigh rings by area (holes count against), in degrees.
     """
-    have = {r["k"] for r in features.select(F.explode(F.map_keys("properties")).alias("k")).distinct().limit(10_000).collect()}
+    have = {r["k"] for r in features.select(F.explode(F.map_keys("properties")).alias("k")).where(F.col("k").isin(list(name_columns))).distinct().collect()}
     name = next((c for c in name_columns if c in have), None)
     parse = lambda t: F.from_json("coordinates", t)
     polygon = F.when(F.col("kind") == "Polygon", F.array(parse("array<array<array<double>>>"))).when(F.col("kind") == "MultiPolygon", parse("array<array<array<array<double>>>>"))

@@ -717,3 +717,81 @@ def test_state_of_sites(spark, tmp_path):
         f, own = facts[x["location"]], [y for y in rows if y[0] == x["location"]]
         assert (f["total_points"], f["non_nan_points"], f["fraction_non_nan"]) == (x["total_points"], x["non_nan_points"], x["fraction_non_nan"])
         assert (f["first_hh"], f["last_hh"]) == (min(y[1] for y in own), max(y[1] for y in own)) and f["last_kva"] == [y[2] for y in own if y[2] is not None][-1]
+
+
+def test_generated_weather(spark):
+    """Moments of many draws, free and given, are those of the normal distribution; reruns agree."""
+    from gridloom.operators import generate
+
+    r = np.random.default_rng(7)
+    mean, factor = np.array([3.0, -1.0, 10.0]), np.array([[2.0, 0, 0], [1.0, 0.5, 0], [-1.0, 0.3, 1.5]])
+    x = mean + r.normal(size=(4000, 3)) @ factor.T
+    rows = [("a", 6, 12, *map(float, v)) for v in x] + [("b", 1, 0, 1.0, 2.0, 3.0), ("b", 1, 0, float("nan"), 2.0, 3.0), ("a", 7, 12, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "location string, month int, hour int, p double, q double, s double")
+    m = generate.conditional_moments(df, ["p", "q", "s"])
+    one = {k.location: k for k in m.where("month < 7").collect()}
+    assert one["a"]["n"] == 4000 and one["a"]["cov_p_s"] == pytest.approx(np.cov(x.T, ddof=0)[0, 2]) and one["b"]["n"] == 1
+    asked = spark.createDataFrame([("a", 6, 12, 0.5), ("b", 1, 0, 1.5), ("z", 1, 1, 1.0), ("a", 6, 12, None)], "location string, month int, hour int, q double")
+    cov, mu = np.cov(x.T, ddof=0), x.mean(0)
+    free = generate.conditional_draws(m, asked.where("q < 1"), ["p", "q", "s"], 10_000)
+    got = np.array([[v["p"], v["q"], v["s"]] for v in free.collect()])
+    assert np.allclose(got.mean(0), mu, atol=0.12) and np.allclose(np.cov(got.T), cov, atol=0.25)
+    assert sorted(map(tuple, free.collect())) == sorted(map(tuple, generate.conditional_draws(m, asked.where("q < 1"), ["p", "q", "s"], 10_000).collect()))
+    given = generate.conditional_draws(m, asked, ["p", "q", "s"], 10_000, given=["q"])
+    got = np.array([[v["p"], v["q"], v["s"]] for v in given.where("location = 'a'").collect()])
+    rest, at = [0, 2], mu[[0, 2]] + cov[[0, 2], 1] / cov[1, 1] * (0.5 - mu[1])
+    left = cov[np.ix_(rest, rest)] - np.outer(cov[rest, 1], cov[rest, 1]) / cov[1, 1]
+    clipped = (got[:, rest] <= x[:, rest].min(0)) | (got[:, rest] >= x[:, rest].max(0))
+    assert len(got) == 10_000 and (got[:, 1] == 0.5).all() and clipped.mean() < 0.05
+    assert np.allclose(got[:, rest].mean(0), at, atol=0.12) and np.allclose(np.cov(got[:, rest].T), left, atol=0.25)
+    assert {(v["p"], v["q"], v["s"]) for v in given.where("location = 'b'").collect()} == {(1.0, 1.5, 3.0)}  # a constant stays what it was
+    assert given.where("location = 'z'").count() == 0
+
+
+def test_boosting_with_patience(spark):
+    from gridloom.models import boost
+
+    r = np.random.default_rng(3)
+    rows = [(float(a), float(b), float(3 * (a > 0.5) + (b > 0.3) + r.normal() * 0.3), bool(i % 3 == 0)) for i, (a, b) in enumerate(r.random((600, 2)))]
+    df = spark.createDataFrame([*rows, (None, 1.0, 2.0, False), (0.1, 0.2, None, True)], "a double, b double, y double, v boolean")
+    m = boost(df, ["a", "b"], "y", validation="v", most=60, depth=2, rate=0.5, patience=4)
+    assert len(m.errors) < 60 and len(m.trees) == int(np.argmin(m.errors)) + 1 == len(m.errors) - 4  # stops after four rounds without gain
+    got = m.score(df).collect()
+    held = [(x["y"] - x["y_hat"]) ** 2 for x in got if x["v"] and x["y"] is not None]
+    assert math.sqrt(np.mean(held)) == pytest.approx(min(m.errors)) and min(m.errors) < 0.4
+    assert [x["y_hat"] for x in got if x["a"] is None] == [None]
+    import duckdb
+
+    data = ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for i, (a, b, _, _) in enumerate(rows))
+    other = duckdb.connect().execute(f"SELECT {m.sql()} FROM (VALUES {data}) t(i, a, b) ORDER BY i").fetchall()
+    assert [x[0] for x in other] == pytest.approx([x["y_hat"] for x in got[: len(rows)]])  # another engine repeats the model
+    with pytest.raises(ValueError, match="validation"):
+        boost(df.where("NOT v"), ["a", "b"], "y", validation="v")
+
+
+def test_bounded_scoring(spark):
+    """A model that looks back a few rows scores sites of any length a batch at a time, as with whole sites in memory."""
+    from gridloom.models import StreamScorer
+
+    seen = spark.sparkContext.accumulator(0)
+    loads = spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+        return 4
+
+    def predict(width, rows, context):
+        seen.add(len(rows) - context)
+        assert len(rows) <= 1000 + 3 and context <= 3
+        return rows["x"].rolling(width, min_periods=1).mean().to_numpy()[context:]
+
+    df = spark.range(60_000).select(F.when(F.col("id") < 50_000, "hot").when(F.col("id") < 59_000, F.concat(F.lit("s"), F.col("id") % 7)).alias("location"), (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int"))).alias("timestamp"), (F.xxhash64("id") % 100).cast("double").alias("x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        got = StreamScorer(load, predict, ("x",), 3).score(df)
+        whole = GroupScorer(lambda p: p.sort_values("timestamp")["x"].rolling(4, min_periods=1).mean().reindex(p.index), ("x",)).score(df.withColumn("location", F.coalesce("location", F.lit("none"))))
+        a = {(x["location"] or "none", x["timestamp"]): x["y_hat"] for x in got.collect()}
+        assert a == pytest.approx({(x["location"], x["timestamp"]): x["y_hat"] for x in whole.collect()}) and seen.value == 60_000 and loads.value <= 8
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert StreamScorer(load, predict, ("x",), 3).score(df.limit(0)).count() == 0
