@@ -671,7 +671,7 @@ def weather_moments(spark, d):
     return m.select("location", "month", "hour", "n", *[_r(f"{k}_{c}") for k, c in (("mean", "ssrd_w_m2"), ("mean", "tcc"), ("min", "ssrd_w_m2"), ("max", "ssrd_w_m2"))], *[_r(f"cov_{a}_{b}", 4) for a, b in (("ssrd_w_m2", "ssrd_w_m2"), ("ssrd_w_m2", "tcc"), ("tcc", "tcc"))])
 
 
-_UNIT = "(('0x' || substr(md5('43:{k}:' || location || ':' || month || ':' || hour || ':' || g || ':' || draw), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+_UNIT = "(('0x' || substr(md5('43:{k}:' || location || ':' || month || ':' || hour || ':' || g::DOUBLE || ':' || draw), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
 
 
 @query(f"""WITH {O}, {_MOMENTS}, f AS (SELECT *, CASE WHEN caa > 0 THEN sqrt(caa) ELSE 0 END AS l00 FROM m), g AS (SELECT *, CASE WHEN l00 > 0 THEN cab / l00 ELSE 0 END AS l10 FROM f),
