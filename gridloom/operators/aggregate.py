@@ -84,13 +84,13 @@ def group_quantiles(
     back = [F.col("_k")[k].alias(k) for k in keys]
 
     def cold(rows: DataFrame) -> DataFrame:
-        lists = rows.groupBy("_k").agg(*[F.sort_array(F.collect_list(v)).alias(f"_v_{c}") for c, v in values.items()], *aggs)
+        lists = rows.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*[F.sort_array(F.collect_list(v)).alias(f"_v_{c}") for c, v in values.items()], *aggs)
         found = {f"q_{c}": F.array(*[interpolated(lambda k, c=c: F.get(f"_v_{c}", k), F.size(f"_v_{c}"), q) for q in qs]) for c in columns}
-        return lists.withColumns(found).select(*back, *lists.columns[1 + len(columns) :], *found)
+        return lists.withColumns(found).select(*[F.col(f"`{k}`") for k in keys], *lists.columns[len(keys) + len(columns) :], *found)
 
-    big = d.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("_k")
+    big = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(key.alias("_k"))
     if big.isEmpty():
-        return cold(d)
+        return cold(df)
     big = small(settled(big))
     rows = settled(d.join(big, "_k", "left_semi").select("_k", F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), v.alias("_x")) for c, v in values.items()]))).where("_x IS NOT NULL"))
     spans = rows.groupBy("_k", "_c").agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"), F.lit(0).cast("long").alias("_before"), F.count("_x").alias("_n"))

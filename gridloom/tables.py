@@ -3,30 +3,45 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SETTLED: dict[str, list[str]] = {}
+_OWN: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a local session without it gets a temporary folder of its own."""
     sc = spark.sparkContext
-    if not (named := sc.getCheckpointDir()):
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-"))
-        named = sc.getCheckpointDir()
-    return named
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and sc.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not named and sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
+    return (named or _OWN[sc.applicationId]).rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once: a reliable checkpoint, which outlives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once: written as Parquet and read back, which outlives lost executors and tells the planner its size.
+    ``release`` removes what a session has written so."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/gridloom-{uuid.uuid4().hex}-settled"
+    _SETTLED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``settled`` has written in this session; results read from them are void after."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _SETTLED.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Hint for a join with a narrow table: broadcast if a count shows ``rows`` at most, else sort-merge, whose skewed partitions
-    adaptive execution splits."""
+    """Hint for a join with a narrow settled table: broadcast if a count shows ``rows`` at most, else sort-merge, whose skewed
+    partitions adaptive execution splits."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

@@ -795,3 +795,23 @@ def test_bounded_scoring(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert StreamScorer(load, predict, ("x",), 3).score(df.limit(0)).count() == 0
+
+
+def test_geojson_by_ranges(spark, tmp_path):
+    """Cut anywhere, within strings and escapes too, a collection gives the features that one read of it gives."""
+    r = random.Random(8)
+    odd = ['a "quoted" {name}', "back\\", "\\\\\\", "[]{}", "é日", "", '{"type":"Feature"}', "\\\"{"]
+    made = lambda i: {"type": "Feature", "id": i, "properties": {"NAME": odd[i % 8] + str(i), "n": i, "deep": {"a": [1, {"b": "}"}]}, "none": None}, "geometry": {"type": "Point", "coordinates": [i, -i]} if i % 3 else {"type": "Polygon", "coordinates": [[[0, 0], [i, 0], [i, 2], [0, 2], [0, 0]]]}}
+    paths = []
+    for k, n in enumerate((40, 0, 7)):
+        doc = {"type": "FeatureCollection", "crs": {"properties": {"name": 'x"{'}}, "bbox": [0, 1, 2, 3], "features": [made(100 * k + i) for i in range(n)], "after": [{"type": "other"}]}
+        paths.append(str(tmp_path / f"{k}.json"))
+        Path(paths[-1]).write_text(json.dumps(doc, indent=r.choice([None, 1]), ensure_ascii=k == 0))
+    rows = lambda d: [(x["properties"]["NAME"], x["properties"]["n"], json.loads(x["properties"]["deep"]), x["properties"]["none"], x["kind"], json.loads(x["coordinates"])) for x in d.orderBy("pos").collect()]
+    want = sum((rows(geojson.read_features(spark, p)) for p in paths), [])
+    for split in (37, 501, 1 << 20):
+        got = geojson.read_large_features(spark, paths, split)
+        assert rows(got) == want and [x["pos"] for x in got.orderBy("pos").collect()] == list(range(47))
+    same = lambda d: sorted(map(tuple, geojson.centroids(d, ["NAME"]).drop("pos").collect()))
+    assert same(geojson.read_large_features(spark, paths[:1], 301)) == same(geojson.read_features(spark, paths[0]))
+    assert geojson.read_large_features(spark, []).count() == 0
