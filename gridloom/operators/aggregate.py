@@ -59,16 +59,16 @@ def overview(df: DataFrame, key: str, ts: str, column: str) -> DataFrame:
     )
 
 
-def interpolated(at: Callable[[Column], Column], n: Column, q: float) -> Column:
+def interpolated(at: Callable[[Column], Column], n: Column, q: Column) -> Column:
     """The linear-interpolation quantile of n values, the k-th smallest of which is ``at(k)``; null for none."""
-    r = F.lit(float(q)) * (n - 1)
+    r = q * (n - 1)
     k = F.floor(r).cast("int")
-    a, share = at(k), r - F.floor(r)
-    return F.when(n > 0, F.when(share == 0, a).otherwise((1 - share) * a + share * at(k + 1)))
+    share = r - F.floor(r)
+    return F.when(n > 0, F.when(share == 0, at(k)).otherwise((1 - share) * at(k) + share * at(k + 1)))
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], qs: Sequence[float], aggs: Sequence[Column] = (), *, hot: int = 100_000, bins: int = 256, few: int = 4096
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], qs: Sequence[float], aggs: Sequence[Column] = (), *, hot: int = 1_000_000, bins: int = 256, few: int = 4096
 ) -> DataFrame:
     """Per group: ``q_<column>`` (array, the exact quantiles ``qs`` of the values that are present and no NaN) and ``aggs``.
 
@@ -76,8 +76,10 @@ def group_quantiles(
     are cornered by counts. Each pass counts ``bins`` ranges of the interval that holds a rank, for all hot groups, columns
     and ranks at once, and goes on in the range that the rank falls into, until that has ``few`` values or one distinct
     value; only those are gathered. Counts are pre-aggregated, so a pass moves a few numbers per group and task.
-    ``df`` is read once more to find the hot groups (a count), and their columns are written once if there are any.
+    A table of more than ``hot`` rows is read once more to find hot groups (a count by group), and their columns are written
+    once if there are any.
     """
+    levels = F.array(*[F.lit(float(q)) for q in qs])
     key = F.struct(*[F.col(f"`{k}`") for k in keys])
     d = df.withColumn("_k", key)
     values = {c: stats.nan_null(F.col(f"`{c}`").cast("double")) for c in columns}
@@ -85,9 +87,12 @@ def group_quantiles(
 
     def cold(rows: DataFrame) -> DataFrame:
         lists = rows.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*[F.sort_array(F.collect_list(v)).alias(f"_v_{c}") for c, v in values.items()], *aggs)
-        found = {f"q_{c}": F.array(*[interpolated(lambda k, c=c: F.get(f"_v_{c}", k), F.size(f"_v_{c}"), q) for q in qs]) for c in columns}
+        of = lambda v: F.transform(levels, lambda q: interpolated(lambda k: F.get(v, k), F.size(v), q))
+        found = {f"q_{c}": of(f"_v_{c}") for c in columns}
         return lists.withColumns(found).select(*[F.col(f"`{k}`") for k in keys], *lists.columns[len(keys) + len(columns) :], *found)
 
+    if df.select(*keys).limit(hot + 1).count() <= hot:
+        return cold(df)
     big = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(key.alias("_k"))
     if big.isEmpty():
         return cold(df)
@@ -113,7 +118,7 @@ def group_quantiles(
     value = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.get("_v", (F.col("_r") - F.col("_before")).cast("int")))
     found = spans.join(held, where, "left").groupBy("_k", "_c").agg(F.map_from_entries(F.collect_list(F.struct("_r", value))).alias("_m"))
     found = found.join(sizes.select("_k", "_c", "_n"), ["_k", "_c"])
-    found = found.withColumn("_q", F.array(*[interpolated(lambda k: F.col("_m")[k.cast("long")], F.col("_n"), q) for q in qs]))
+    found = found.withColumn("_q", F.transform(levels, lambda q: interpolated(lambda k: F.col("_m")[k.cast("long")], F.col("_n"), q)))
     none = F.array(*[F.lit(None).cast("double") for _ in qs])
     wide_q = found.groupBy("_k").agg(*[F.coalesce(F.max(F.when(F.col("_c") == c, F.col("_q"))), none).alias(f"q_{c}") for c in columns])
     others = d.join(big, "_k", "left_semi").groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), *aggs).drop("_n")

@@ -297,7 +297,13 @@ def head_overlap_all(spark, d):
 
 @query(f"WITH {S} SELECT event_id, row_number() OVER (PARTITION BY location ORDER BY timestamp) - 1 AS time_idx FROM s")
 def time_index_cumcount(spark, d):
-    return timeseries.index_by_count(_s(spark, d), spans=8).select("event_id", "time_idx")
+    return timeseries.index_by_count(_s(spark, d)).select("event_id", "time_idx")
+
+
+@query(f"WITH {S} SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY timestamp, event_id) - 1 AS time_idx FROM s")
+def time_index_spans(spark, d):
+    """Four hot keys, each cut into eight spans of time: a task numbers one span."""
+    return timeseries.index_by_count(_s(spark, d), "event_type", spans=8, ties=["event_id"]).select("event_id", "time_idx")
 
 
 @query(f"WITH {S} SELECT event_id, trunc(date_diff('microsecond', TIMESTAMP '2024-01-10 00:10:00', timestamp)::DOUBLE / 1800000000)::BIGINT AS time_idx FROM s")
@@ -317,7 +323,14 @@ def time_index_global_min(spark, d):
 
 @query(f"WITH {S} SELECT event_id, last_value(gap IGNORE NULLS) OVER (PARTITION BY location ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM s")
 def ffill_power(spark, d):
-    return timeseries.forward_fill(_s(spark, d), "gap", out="filled", spans=8).select("event_id", "filled")
+    return timeseries.forward_fill(_s(spark, d), "gap", out="filled").select("event_id", "filled")
+
+
+@query(f"WITH {S} SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY timestamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN kva END AS v FROM s)")
+def ffill_spans(spark, d):
+    """The same for fills: what is open at the start of a span takes the last value of the spans before."""
+    s = _s(spark, d).withColumn("v", F.when(F.col("event_id") % 3 == 0, F.col("kva")))
+    return timeseries.forward_fill(s, "v", "event_type", out="filled", spans=8, ties=["event_id"]).select("event_id", "filled")
 
 
 @query(f"WITH {S} SELECT event_id FROM s QUALIFY (row_number() OVER (PARTITION BY location ORDER BY timestamp) - 1) % 5 = 0")
