@@ -61,7 +61,7 @@ def mix(
 
     ``size_col`` names a ready size (a negative or null one counts as 0); else the words of the whole text are counted, a
     null text having none. A null source is a source of its own, last in order. Rows with equal id and size share a
-    key and go in row order. Input columns named like an output column are replaced. An empty table gives an empty one.
+    key and go in row order, which must be the same each time the input is read (files are; write a shuffled input first). Input columns named like an output column are replaced. An empty table gives an empty one.
     """
     size = F.greatest(F.coalesce(F.col(f"`{size_col}`").cast("long"), F.lit(0)), F.lit(0)).cast("long") if size_col else word_count(text_of(text_col))
     docs = docs.withColumn("_gl_size", size)

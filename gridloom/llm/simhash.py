@@ -385,10 +385,10 @@ def drop_similar(
     high; groups are the components of that relation. The first finds copies with scattered edits, each of which spoils
     ``words`` shingles and one word.
 
-    Candidates share a shingle of their prefixes (``prefix``). No pair with that Jaccard similarity is missed; of other
-    pairs with shares s of their shingles in common, about exp(-s * LEAST_KEYS) are. They must agree in all but ``bits``
-    of 128 SimHash bits over pairs of words, which keeps texts apart that share a passage only (of such near-duplicates
-    some 25 differ, of unrelated texts 64). Candidate clusters are then verified on the texts (``verified_links``), so a
+    Candidates share a shingle of their prefixes (``prefix``), which every pair with that Jaccard similarity does; of other
+    pairs with shares s of their shingles in common, about exp(-s * LEAST_KEYS) do not. They must also agree in all but
+    ``bits`` of 128 SimHash bits over pairs of words, which keeps texts apart that share a passage only (of such
+    near-duplicates some 25 differ, of unrelated texts 64). That test has no proof; ``bits=128`` leaves it out. Candidate clusters are then verified on the texts (``verified_links``), so a
     cluster of any size is spread over tasks.
 
     Null and empty texts, and all without a word, are alike. Null ids lose to any other; of rows that repeat an id and text one
