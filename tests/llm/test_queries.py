@@ -404,7 +404,7 @@ def test_one_row_repeated(spark):
 
 
 def test_queries_and_oracles():
-    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)} and set(ORACLES) <= set(QUERIES)
+    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 14)} and set(ORACLES) <= set(QUERIES)
 
 
 def test_tables_are_released(spark, data):
