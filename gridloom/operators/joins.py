@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import text
+from gridloom.tables import settled
 
 #: Sides of up to so many rows are broadcast after a count; beyond, Spark's own choice stands.
 SMALL_ROWS = 200_000
@@ -47,9 +48,10 @@ def best_match(left: DataFrame, right: DataFrame, threshold: float, name: str =
     ``pos`` (its row order). Scores of 0 never match. Right rows of one name tie, so only the first of each distinct name
     is compared.
     """
-    names = left.select(F.col(name).alias("_l")).distinct().withColumn("_t", text.tokens(F.col("_l")))
-    rows = right.groupBy(F.col(geo).alias("_r")).agg(F.min("pos").alias("pos")).withColumn("_u", text.tokens(F.col("_r")))
+    names = settled(left.select(F.col(name).alias("_l")).distinct().withColumn("_t", text.tokens(F.col("_l"))))
+    rows = settled(right.groupBy(F.col(geo).alias("_r")).agg(F.min("pos").alias("pos")).withColumn("_u", text.tokens(F.col("_r"))))
     counts = names.select(F.explode("_t").alias("_k")).unionAll(rows.select(F.explode("_u").alias("_k"))).groupBy("_k").agg(F.count(F.lit(1)).alias("_c"))
+    counts = settled(counts)
 
     def prefix(d: DataFrame, key: str, tokens: str) -> DataFrame:
         ranked = d.select(key, F.size(tokens).alias("_n"), F.explode(tokens).alias("_k")).join(counts, "_k")
