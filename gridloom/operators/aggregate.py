@@ -91,7 +91,7 @@ def group_quantiles(
         found = {f"q_{c}": of(f"_v_{c}") for c in columns}
         return lists.withColumns(found).select(*[F.col(f"`{k}`") for k in keys], *lists.columns[len(keys) + len(columns) :], *found)
 
-    if df.select(*keys).limit(hot + 1).count() <= hot:
+    if df.count() <= hot:
         return cold(df)
     big = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(key.alias("_k"))
     if big.isEmpty():

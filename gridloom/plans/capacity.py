@@ -71,8 +71,9 @@ def historical_analogue(
     pairs = df.sparkSession.createDataFrame(analogue_years(years, cfg.fallback_years), "year int, _a int")
     pick = pick if pick is not None else F.xxhash64(F.lit(42), *use)
     lib = df.withColumns({"_a": F.year(ts), "_k": pick}).join(F.broadcast(pairs), "_a")
-    bounds = [(y, *aggregate.exact_quantiles(lib.where(F.col("year") == y), cfg.irradiance, (cfg.low, cfg.high))) for y in years]
-    lib = lib.join(F.broadcast(df.sparkSession.createDataFrame(bounds, "year int, _lo double, _hi double")), "year")  # a row per year
+    seen = lib.where(stats.finite(F.col(cfg.irradiance))).select("year", cfg.irradiance)
+    bounds = aggregate.group_quantiles(seen, ["year"], [cfg.irradiance], (cfg.low, cfg.high)).select("year", *[F.col(f"q_{cfg.irradiance}")[i].alias(c) for i, c in enumerate(("_lo", "_hi"))])
+    lib = lib.join(small(settled(bounds)), "year")  # a row per year, all years at once
     sides = {"low": F.col(cfg.irradiance) <= F.col("_lo"), "high": F.col(cfg.irradiance) >= F.col("_hi")}
     chosen = [F.min_by(F.struct(*use), F.when(on, F.col("_k"))).alias(s) for s, on in sides.items()]
     by_hour = lib.groupBy("year", F.hour(ts).alias("_h")).agg(*chosen)
