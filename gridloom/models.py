@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions import trees
-from gridloom.tables import settled
+from gridloom.tables import Relay
 
 
 class Scorer(Protocol):
@@ -126,9 +126,19 @@ class ArrayModel:
         return df.withColumn(out, run("encoder"))
 
 
+#: Leaves up to which a boosted model is one expression. The code of a larger one outgrows what the JVM compiles, then what it
+#: takes in a method.
+MOST_LEAVES = 128
+
+
 @dataclass(frozen=True)
 class BoostedScorer:
-    """base + sum of weighted trees, as one expression in generated code; ``errors``: validation RMSE after each round."""
+    """base + sum of weighted trees; ``errors``: validation RMSE after each round.
+
+    A model of up to ``MOST_LEAVES`` leaves is one expression in generated code; a larger one goes over Arrow batches, a level
+    of a tree at a time for all rows of a batch. Both add the same doubles in the same order. A row that lacks a feature
+    has no prediction.
+    """
 
     trees: tuple[tuple[float, trees.Node | trees.Leaf], ...]
     used: tuple[str, ...]
@@ -140,42 +150,50 @@ class BoostedScorer:
         return list(self.used)
 
     def sql(self) -> str:
-        """The model in SQL that other engines read too; a row that lacks a feature has no prediction."""
+        """The model in SQL that other engines read too."""
         name = lambda k: f"CAST({self.used[k]} AS DOUBLE)"
         whole = " AND ".join(f"{c} IS NOT NULL" for c in self.used)
         return f"CASE WHEN {whole} THEN CAST({self.base!r} AS DOUBLE) + {trees.ensemble_sql(list(self.trees), name)} END"
 
     def score(self, df: DataFrame, out: str = "y_hat") -> DataFrame:
-        return df.withColumn(out, F.expr(self.sql()))
+        if sum(trees.leaves(t) for _, t in self.trees) <= MOST_LEAVES:
+            return df.withColumn(out, F.expr(self.sql()))
+        flat, base = [(w, trees.flatten(t)) for w, t in self.trees], self.base
+
+        @F.pandas_udf("double")
+        def run(*columns: pd.Series) -> pd.Series:
+            return pd.Series(trees.predict_batch(flat, np.column_stack([c.to_numpy(float) for c in columns]), base))
+
+        values = [F.col(f"`{c}`").cast("double") for c in self.used]
+        whole = F.forall(F.array(*values), lambda v: v.isNotNull())
+        return df.withColumn(out, F.when(whole, run(*values)))
 
 
 def boost(
-    df: DataFrame, features: Sequence[str], target: str, *, validation: str, most: int = 1000, depth: int = 6, rate: float = 0.05, patience: int = 50, seed: int = 42, every: int = 10
+    df: DataFrame, features: Sequence[str], target: str, *, validation: str, most: int = 1000, depth: int = 6, rate: float = 0.05, patience: int = 50, seed: int = 42
 ) -> BoostedScorer:
     """Gradient boosting of squared error that stops after ``patience`` rounds without a lower validation error and keeps the
     rounds up to the best one. ``validation``: a boolean column; its rows are not learnt from.
 
-    A round fits one of Spark's regression trees to the residuals and adds ``rate`` times it to the predictions, which lie beside the
-    rows in a table that is computed anew (a reliable checkpoint) every few rounds, so neither plans nor losses of
-    executors grow with the number of rounds. Rows without a feature or target are left out. Without validation rows, or
-    with no row to learn from, an error is raised.
+    A round fits one of Spark's regression trees to the residuals, and one job then writes the residuals after ``rate`` times
+    that tree and sums up the validation error on the way; the table of the round before is deleted. So neither plans nor
+    losses of executors grow with the number of rounds. Rows without a feature or target are left out. Without validation
+    rows, or with no row to learn from, an error is raised.
     """
-    rows = df.na.drop(subset=[*features, target]).select(*features, F.col(target).cast("double").alias("_y"), F.coalesce(F.col(validation), F.lit(False)).alias("_v"))
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows)
-    n = rows.agg(F.count_if(~F.col("_v")), F.count_if("_v"), F.avg(F.when(~F.col("_v"), F.col("_y")))).first()
-    if not n[0] or not n[1]:
+    rows = df.na.drop(subset=[*features, target]).select(*features, F.col(target).cast("double").alias("_r"), F.coalesce(F.col(validation), F.lit(False)).alias("_v"))
+    relay, vector = Relay(), VectorAssembler(inputCols=list(features), outputCol="_x")
+    rows, n = relay.next(rows, F.count_if(~F.col("_v")).alias("learn"), F.count_if("_v").alias("check"), F.avg(F.when(~F.col("_v"), F.col("_r"))).alias("base"))
+    if not n["learn"] or not n["check"]:
         raise ValueError("boosting with patience needs rows to learn from and validation rows")
-    base, found, errors, best = float(n[2]), [], [], 0
-    rows = settled(rows.withColumn("_r", F.col("_y") - F.lit(base)))
+    base, found, errors, best = float(n["base"]), [], [], 0
+    rows = rows.withColumn("_r", F.col("_r") - F.lit(base))
     for k in range(1, most + 1):
-        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_r", maxDepth=depth, seed=seed).fit(rows.where("NOT _v"))
-        node = trees.single(tree.toDebugString)
-        found.append((rate, node))
-        step = F.expr(trees.tree_sql(node, lambda i: f"CAST({features[i]} AS DOUBLE)"))
-        rows = rows.withColumn("_r", F.col("_r") - F.lit(rate) * step)
-        if k % every == 0:
-            rows = settled(rows)
-        errors.append(rows.where("_v").agg(F.sqrt(F.avg(F.col("_r") ** 2))).first()[0])
+        seen = vector.transform(rows)
+        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_r", predictionCol="_p", maxDepth=depth, seed=seed).fit(seen.where("NOT _v"))
+        found.append((rate, trees.single(tree.toDebugString)))
+        after = tree.transform(seen).withColumn("_r", F.col("_r") - F.lit(rate) * F.col("_p")).drop("_x", "_p")
+        rows, n = relay.next(after, F.sqrt(F.avg(F.when(F.col("_v"), F.col("_r") ** 2))).alias("error"))
+        errors.append(n["error"])
         best = k if k == 1 or errors[-1] < errors[best - 1] else best
         if k - best >= patience:
             break
@@ -238,7 +256,8 @@ _LOADED: dict[str, object] = {}
 def fit_boosting(
     df: DataFrame, features: Sequence[str], target: str, *, validation: str | None = None, trees: int = 1000, depth: int = 6, rate: float = 0.05, seed: int = 42
 ) -> PipelineScorer:
-    """Gradient-boosted trees. With a boolean ``validation`` column, training stops when its error no longer falls."""
+    """Spark's gradient-boosted trees, whose first tree is not scaled by ``rate``. With a boolean ``validation`` column they stop at
+    the first round that gains under a hundredth, which may be the second; ``boost`` has patience."""
     tree = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
     if validation:
         tree = tree.setValidationIndicatorCol(validation)

