@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import stats
-from gridloom.tables import settled, small
+from gridloom.tables import settled, settled_small, small
 
 
 def sum_by(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -96,7 +96,7 @@ def group_quantiles(
     big = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(key.alias("_k"))
     if big.isEmpty():
         return cold(df)
-    big = small(settled(big))
+    big = settled_small(big)
     rows = settled(d.join(big, "_k", "left_semi").select("_k", F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), v.alias("_x")) for c, v in values.items()]))).where("_x IS NOT NULL"))
     spans = rows.groupBy("_k", "_c").agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"), F.lit(0).cast("long").alias("_before"), F.count("_x").alias("_n"))
     sizes = settled(spans)
@@ -127,11 +127,12 @@ def group_quantiles(
 
 
 def site_quantiles(df: DataFrame, features: Sequence[str], lo: float = 0.1, hi: float = 0.9, group: str = "location") -> DataFrame:
-    """Per site and feature: two quantiles, min and max; rows with no feature at all are dropped first."""
-    d = df.where(F.coalesce(*[F.col(c).cast("double") for c in features]).isNotNull()) if features else df
+    """Per site and feature: two quantiles, min and max; sites without any value of a feature are left out."""
     bounds = [f(c).alias(f"{c}_{k}") for c in features for k, f in (("min", F.min), ("max", F.max))]
-    out = group_quantiles(d.select(group, *features), [group], features, (lo, hi), bounds)
-    return out.withColumns({**{f"{c}_lo": F.col(f"q_{c}")[0] for c in features}, **{f"{c}_hi": F.col(f"q_{c}")[1] for c in features}}).drop(*[f"q_{c}" for c in features])
+    some = [F.count_if(F.coalesce(*[F.col(c).cast("double") for c in features]).isNotNull()).alias("_some")] if features else []
+    out = group_quantiles(df.select(group, *features), [group], features, (lo, hi), [*bounds, *some])
+    out = out.where("_some > 0") if features else out
+    return out.withColumns({**{f"{c}_lo": F.col(f"q_{c}")[0] for c in features}, **{f"{c}_hi": F.col(f"q_{c}")[1] for c in features}}).drop("_some", *[f"q_{c}" for c in features])
 
 
 def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], bins: int = 4096, few: int = 10_000) -> list[float | None]:

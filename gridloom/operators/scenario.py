@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import stats
 from gridloom.operators.aggregate import site_quantiles
-from gridloom.tables import settled, small
+from gridloom.tables import settled_small
 
 # Name parts that tell a feature's class, and parts that mark a derived sibling.
 CLOUD_PARTS = ("tcc", "cloud", "cloud_cover", "total_cloud_cover")
@@ -63,7 +63,7 @@ def apply_constants(df: DataFrame, mods: Mapping[str, float], ts: str = "timesta
 def scenario_pair(df: DataFrame, mods: DataFrame, features: Sequence[str], ts: str = "timestamp", group: str = "location", daylight: tuple[int, int] = (6, 19)) -> tuple[DataFrame, DataFrame]:
     """Tables under low and high sun, from per-site mods (a row per site), computed once and broadcast after a count, so that the
     series does not move."""
-    j = df.join(small(settled(mods)), group)
+    j = df.join(settled_small(mods), group)
     own = df.columns
     side = lambda s: overwrite_daylight(j, {c: F.col(f"{c}_{s}_sun") for c in features}, ts, daylight).select(*own)
     return side("low"), side("high")

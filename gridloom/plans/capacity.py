@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import stats
 from gridloom.models import Scorer
 from gridloom.operators import aggregate, clean, sampling, scenario, timeseries
-from gridloom.tables import settled, small
+from gridloom.tables import settled, settled_small, small
 
 
 def brute_force(df: DataFrame, scorer: Scorer, features: Sequence[str], *, ts: str = "timestamp", group: str = "location", daylight: tuple[int, int] = (6, 19), **mods) -> DataFrame:
@@ -21,7 +21,7 @@ def brute_force(df: DataFrame, scorer: Scorer, features: Sequence[str], *, ts: s
     Both scenarios ride on one row (two sets of columns), so predictions are never joined back.
     """
     use = clean.present(df.columns, features)
-    j = df.join(small(settled(scenario.coherent_mods(df, use, group=group, **mods))), group)  # a row per site
+    j = df.join(settled_small(scenario.coherent_mods(df, use, group=group, **mods)), group)  # a row per site
     day = F.hour(ts).between(*daylight)
     for side in ("low", "high"):
         own = {c: F.when(day, F.col(f"{c}_{side}_sun")).otherwise(F.col(c)) for c in use}
@@ -73,7 +73,7 @@ def historical_analogue(
     lib = df.withColumns({"_a": F.year(ts), "_k": pick}).join(F.broadcast(pairs), "_a")
     seen = lib.where(stats.finite(F.col(cfg.irradiance))).select("year", cfg.irradiance)
     bounds = aggregate.group_quantiles(seen, ["year"], [cfg.irradiance], (cfg.low, cfg.high)).select("year", *[F.col(f"q_{cfg.irradiance}")[i].alias(c) for i, c in enumerate(("_lo", "_hi"))])
-    lib = lib.join(small(settled(bounds)), "year")  # a row per year, all years at once
+    lib = lib.join(settled_small(bounds), "year")  # a row per year, all years at once
     sides = {"low": F.col(cfg.irradiance) <= F.col("_lo"), "high": F.col(cfg.irradiance) >= F.col("_hi")}
     chosen = [F.min_by(F.struct(*use), F.when(on, F.col("_k"))).alias(s) for s, on in sides.items()]
     by_hour = lib.groupBy("year", F.hour(ts).alias("_h")).agg(*chosen)
@@ -97,7 +97,7 @@ def calibration(df: DataFrame, y: str, x: str, group: str = "location", min_rows
     """Trimmed calibration per site: finite pairs, y within its own 1st to 99th percentile, identity as the fallback."""
     d = df.where(stats.finite(F.col(x)) & stats.finite(F.col(y)))
     q = aggregate.group_quantiles(d.select(group, y), [group], [y], (0.01, 0.99), [F.count(F.lit(1)).alias("_n")]).withColumnRenamed(f"q_{y}", "_q")
-    q = small(settled(q))
+    q = settled_small(q)
     a, b = stats.slope_intercept(F.col(y), F.col(x))
     c = d.join(q, group).where(F.col(y).between(F.col("_q")[0], F.col("_q")[1])).groupBy(group).agg(F.first("_n").alias("_n"), a.alias("_a"), b.alias("_b"))
     ok = (F.col("_n") >= min_rows) & stats.finite(F.col("_a"))

@@ -825,3 +825,14 @@ def test_geojson_by_ranges(spark, tmp_path):
     same = lambda d: sorted(map(tuple, geojson.centroids(d, ["NAME"]).drop("pos").collect()))
     assert same(geojson.read_large_features(spark, paths[:1], 301)) == same(geojson.read_features(spark, paths[0]))
     assert geojson.read_large_features(spark, []).count() == 0
+
+
+def test_settled_small(spark):
+    """Counted while written: a hint for a small table, a merge beyond, and an empty table is no trap."""
+    from gridloom.tables import settled_small
+
+    base = spark.range(50).withColumnRenamed("id", "k")
+    plan = lambda d: spark.range(10_000).withColumnRenamed("id", "k").join(d, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(settled_small(base)) and "strategy=merge" in plan(settled_small(base, rows=10))
+    for none in (base.where("k < 0"), spark.createDataFrame([], "k long"), base.where("k < 0").groupBy("k").count()):
+        assert settled_small(none).count() == 0
