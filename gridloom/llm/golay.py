@@ -80,3 +80,31 @@ def hard_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows.append(np.nonzero(used[j])[0])
         keys.append(pair[used[j]])
     return np.concatenate(rows), np.concatenate(keys)
+
+
+@cache
+def _signs() -> np.ndarray:
+    """The codewords (23, 4096) as 1 and -1, bit 0 first."""
+    return (((codewords() >> np.arange(N)[:, None]) & 1) * 2 - 1).astype(np.float32)
+
+
+def soft_words(sums: np.ndarray, near: int = 3) -> np.ndarray:
+    """Bit sums (n, 115: five segments of 23; positive where the bit is set) -> codeword indices (n, 5, near): those that
+    agree best with the sums of each segment, so that weak bits may flip."""
+    at = np.arange(len(sums))
+    top = np.empty((len(sums), sums.shape[1] // N, near), np.int64)
+    for i in range(top.shape[1]):
+        score = sums[:, i * N : (i + 1) * N].astype(np.float32) @ _signs()
+        for k in range(near):
+            top[:, i, k] = score.argmax(axis=1)
+            score[at, top[:, i, k]] = -np.inf
+    return top
+
+
+def soft_keys(top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codewords of segments (n, m, near) -> (row, key): a key is a pair of segments with a codeword of each (24 bits and
+    the choice of pair), near**2 keys for each pair."""
+    n, m, near = top.shape
+    keys = [((tag << 40) | (top[:, i, :, None] << K) | top[:, j, None, :]).reshape(n, near * near) for tag, (i, j) in enumerate(combinations(range(m), 2))]
+    keys = np.concatenate(keys, axis=1)
+    return np.repeat(np.arange(n), keys.shape[1]), keys.ravel()

@@ -1,5 +1,5 @@
-"""SimHash near-duplicates: Golay-code fuzzy hashing of fingerprints, prefixes of shingle sets, join on shared keys,
-verification, components."""
+"""SimHash near-duplicates: Golay-code fuzzy hashing of fingerprints (and prefixes of shingle sets, for what it misses),
+join on shared keys, verification, components."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,8 +24,10 @@ OUT = ("fingerprint", "component_id", "kept")
 GROUP_LIMIT = 1 << 15
 #: Documents, and bytes, compared at once when a cluster's texts are verified; documents that visit all its blocks.
 CLUSTER_BLOCK, CLUSTER_BYTES, HUBS = 256, 16 << 20, 8
-#: Shingles that a document offers as candidate keys at least (or all); words in a shingle of the 128-bit SimHash.
-LEAST_KEYS, SKETCH_WORDS = 32, 2
+#: Shingles that a document offers as candidate keys at least (or all); words in a shingle of the 128-bit SimHash; its
+#: bits that are cut into Golay segments, and codewords that a segment keeps.
+LEAST_KEYS, SKETCH_WORDS, SOFT_BITS, NEAR = 32, 2, 5 * golay.N, 3
+KEYS = "key long, node long, fp long, fp2 long"
 
 
 def shingles(text: str | None, n: int) -> list[bytes]:
@@ -209,12 +211,17 @@ def _digests(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, s)), np.int64))
 
 
-def sketch(text: str | None, words: int) -> np.ndarray:
-    """128-bit SimHash of the distinct shingles, as two signed words."""
+def bit_sums(text: str | None, words: int) -> np.ndarray:
+    """For each of 128 bits, how many more of the distinct shingles' hashes have it set than not."""
     s = set(shingles(text, words)) or {b""}
     h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, s)), np.uint8).reshape(-1, 16)
     counts = sum(np.unpackbits(h[i : i + 65536], axis=1).sum(0, dtype=np.int64) for i in range(0, len(h), 65536))
-    return np.packbits(2 * counts > len(h)).view(">i8").astype(np.int64)
+    return 2 * counts - len(h)
+
+
+def sketches(sums: np.ndarray) -> np.ndarray:
+    """Bit sums (n, 128) -> 128-bit SimHashes (n, 2), as signed words."""
+    return np.packbits(sums > 0, axis=1).view(">i8").astype(np.int64)
 
 
 def prefix(u: np.ndarray, similarity: float, common: np.ndarray, least: int = 0) -> np.ndarray:
@@ -229,19 +236,41 @@ def prefix(u: np.ndarray, similarity: float, common: np.ndarray, least: int = 0)
     return u[: max(len(u) - math.ceil(similarity * len(u) - 1e-9) + 1, least)]
 
 
-def _near_batches(words: int, similarity: float, common: np.ndarray):
+def sketch_column(text: Column) -> Column:
+    """128-bit SimHashes and the Golay codewords of their segments."""
+
+    @F.pandas_udf("fp long, fp2 long, top array<int>")
+    def found(t: pd.Series) -> pd.DataFrame:
+        parts = [pd.DataFrame({"fp": [], "fp2": [], "top": []})] if not len(t) else []
+        for at in range(0, len(t), 512):
+            sums = np.stack([bit_sums(x, SKETCH_WORDS) for x in t[at : at + 512]])
+            fps, top = sketches(sums), golay.soft_words(sums[:, :SOFT_BITS], NEAR)
+            parts.append(pd.DataFrame({"fp": fps[:, 0], "fp2": fps[:, 1], "top": list(top.reshape(len(sums), -1).astype(np.int32))}))
+        return pd.concat(parts, ignore_index=True)
+
+    return found(text)
+
+
+def _keyed(rows: np.ndarray, keys: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+    ids, fp, fp2 = (part.column(c).to_numpy()[rows] for c in ("_gl_row", "fp", "fp2"))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, ids, fp, fp2)], ["key", "node", "fp", "fp2"])
+
+
+def _golay_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 2048):
+            part = b.slice(at, 2048)
+            top = part.column("top").flatten().to_numpy().astype(np.int64).reshape(part.num_rows, SOFT_BITS // golay.N, NEAR)
+            yield _keyed(*golay.soft_keys(top), part)
+
+
+def _prefix_batches(words: int, similarity: float, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, texts = b.column("_gl_row").to_numpy(), b.column("_gl_text")
-            for at in range(0, len(rows), 512):
-                ids = rows[at : at + 512]
-                keys, fps = [], np.zeros((len(ids), 2), np.int64)
-                for k in range(len(ids)):
-                    t = texts[at + k].as_py()
-                    fps[k] = sketch(t, SKETCH_WORDS)
-                    keys.append(prefix(_digests(t, words), similarity, common, LEAST_KEYS))
-                r = np.repeat(np.arange(len(ids)), [len(x) for x in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids[r]), pa.array(fps[r, 0]), pa.array(fps[r, 1])], ["key", "node", "fp", "fp2"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                keys = [prefix(_digests(t.as_py(), words), similarity, common, LEAST_KEYS) for t in part.column("_gl_text")]
+                yield _keyed(np.repeat(np.arange(len(keys)), [len(x) for x in keys]), np.concatenate(keys), part)
 
     return run
 
@@ -376,7 +405,7 @@ def verified_links(texts: DataFrame, clusters: DataFrame, words: int, similarity
 
 
 def drop_similar(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 44
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 44, soft_bits: int = 28, exact: bool = True
 ) -> DataFrame:
     """One row of each group of near-duplicates (least id, then first row), with the columns of ``docs``.
 
@@ -385,20 +414,27 @@ def drop_similar(
     high; groups are the components of that relation. The first finds copies with scattered edits, each of which spoils
     ``words`` shingles and one word.
 
-    Candidates share a shingle of their prefixes (``prefix``), which every pair with that Jaccard similarity does; of other
-    pairs with shares s of their shingles in common, about exp(-s * LEAST_KEYS) do not. They must also agree in all but
-    ``bits`` of 128 SimHash bits over pairs of words, which keeps texts apart that share a passage only (of such
-    near-duplicates some 25 differ, of unrelated texts 64). That test has no proof; ``bits=128`` leaves it out. Candidate clusters are then verified on the texts (``verified_links``), so a
-    cluster of any size is spread over tasks.
+    Candidates share a Golay key of their 128-bit SimHashes over pairs of words (``golay.soft_words``: five segments, each
+    decoded to its three best codewords) and agree in all but ``soft_bits`` of the bits. For the pairs that this misses an
+    exact way follows: a shared shingle of their prefixes (``prefix``), which every pair with that Jaccard similarity has;
+    of other pairs with shares s of their shingles in common, about exp(-s * LEAST_KEYS) have none. These must agree in
+    all but ``bits`` bits, which keeps texts apart that share a passage only (of near-duplicates at the bound some 25 differ, of
+    unrelated texts 64). That test has no proof; ``bits=128`` leaves it out, and ``exact=False`` the whole second way. Candidate
+    clusters are then verified on the texts (``verified_links``), so a cluster of any size is spread over tasks.
 
     Null and empty texts, and all without a word, are alike. Null ids lose to any other; of rows that repeat an id and text one
     stays. Texts of any length are read whole. Columns of ``docs`` may have any name. An empty table gives an empty one.
     """
     columns = docs.columns
-    staged = written(docs.select(F.monotonically_increasing_id().alias("_gl_row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_gl_doc")), "staged")
-    texts = staged.select("_gl_row", F.coalesce(F.col("_gl_doc").getField(text_col).cast("string"), F.lit("")).alias("_gl_text"))
-    keys = texts.mapInArrow(_near_batches(words, similarity, common_shingles(texts, words)), "key long, node long, fp long, fp2 long")
-    clusters = written(components(link_candidates(keys, bits)), "clusters")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    staged = docs.select(F.monotonically_increasing_id().alias("_gl_row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_gl_doc"), sketch_column(text).alias("_gl_sketch"))
+    staged = written(staged, "staged")
+    texts = staged.select("_gl_row", F.coalesce(F.col("_gl_doc").getField(text_col).cast("string"), F.lit("")).alias("_gl_text"), "_gl_sketch.*")
+    links = link_candidates(texts.select("_gl_row", "fp", "fp2", "top").mapInArrow(_golay_batches, KEYS), soft_bits)
+    if exact:
+        rest = texts.select("_gl_row", "fp", "fp2", "_gl_text").mapInArrow(_prefix_batches(words, similarity, common_shingles(texts, words)), KEYS)
+        links = links.unionByName(link_candidates(rest, bits))
+    clusters = written(components(links), "clusters")
     groups = written(components(verified_links(texts, clusters, words, similarity)), "groups")
     ids = staged.select(F.col("_gl_row").alias("node"), F.col("_gl_doc").getField(id_col).alias("id")).join(small(groups), "node")
     best = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("node").alias("node")))["node"].alias("node"))

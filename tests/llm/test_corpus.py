@@ -654,6 +654,24 @@ def test_pairs_close_to_the_bound(spark):
     assert kept == set(range(1000)) - gone
 
 
+def test_golay_keys_bring_near_duplicates_together(spark):
+    """Without the exact way, the Golay keys alone find the copies with one word in twenty changed, and nothing else."""
+    r, rows = random.Random(14), []
+    for i in range(200):
+        t = [f"v{r.randrange(10**6)}" for _ in range(300)]
+        rows.append((2 * i, " ".join(t), "s"))
+        for p in r.sample(range(300), 15):
+            t[p] = f"x{r.randrange(10**6)}"
+        rows.append((2 * i + 1, " ".join(t), "s"))
+    kept = {x["doc_id"] for x in rows_of(simhash.drop_similar(table(spark, rows), exact=False))}
+    assert set(range(0, 400, 2)) <= kept and len(kept) <= 210
+    sums = np.stack([simhash.bit_sums(t, 2)[: simhash.SOFT_BITS] for _, t, _ in rows])
+    at, keys = golay.soft_keys(golay.soft_words(sums))
+    own = [set(keys[at == k].tolist()) for k in range(len(rows))]
+    assert all(len(x) == 90 for x in own) and sum(bool(own[k] & own[k + 1]) for k in range(0, 400, 2)) >= 190
+    assert golay.soft_keys(golay.soft_words(sums[:0]))[1].size == 0
+
+
 def test_near_pairs_of_a_block():
     r = random.Random(3)
     for _ in range(200):
