@@ -38,14 +38,18 @@ def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
     Pairs are replaced in batches, an approximation of replacing the most frequent one each time: a round counts all adjacent pairs and replaces, left to right, every pair at least a sixteenth as frequent as the
     most frequent one (later rounds go on from there), so a few rounds do what one pair at a time would; where
     chosen pairs overlap the left one wins. Rules refer to earlier codes only.
+
+    Once a round has replaced all pairs that occur ``least`` times, only pairs with a new code and those that it chose
+    and left in part can occur so often, so the next round looks at their places alone.
     """
     base, seq = _dense(ids)
     rules, n_codes = [], len(base)
-    bar = None
-    while len(seq) > 1:
+    bar = places = None  # places: where pairs that may be replaced begin; None: everywhere
+    while len(seq) > 1 and (places is None or len(places)):
         wide = n_codes > 1 << 16
         t = np.uint64 if wide else np.uint32
-        pair = (seq[:-1].astype(t) << t(32 if wide else 16)) | seq[1:].astype(t)
+        left, right = (seq[:-1], seq[1:]) if places is None else (seq[places], seq[places + 1])
+        pair = (left.astype(t) << t(32 if wide else 16)) | right.astype(t)
         s = np.sort(pair)
         first = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1, len(s)]
         counts = np.diff(first)
@@ -66,6 +70,8 @@ def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
         found = np.minimum(np.searchsorted(chosen, mine[other]), len(chosen) - 1)
         k[other], ok[other] = found, chosen[found] == mine[other]
         at, k = at[ok], k[ok]
+        at = at if places is None else places[at]
+        met = at
         starts = np.r_[True, np.diff(at) != 1]
         run = np.flatnonzero(starts)[np.cumsum(starts) - 1]
         take = (np.arange(len(at)) - run) % 2 == 0
@@ -84,6 +90,12 @@ def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
         seq[at] = code[k]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
+        if bar == least:
+            open_ = np.zeros(len(seq), bool)
+            open_[met] = True  # chosen, whether replaced or not
+            open_[at[at > 0] - 1] = True
+            places = np.flatnonzero(open_[stay])
+            places = places[: np.searchsorted(places, int(stay.sum()) - 1)]
         seq = seq[stay]
         n_codes += int(used.sum())
     rules = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)

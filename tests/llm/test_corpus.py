@@ -531,6 +531,21 @@ def test_best_fill():
     assert total == Counter({k: k % 5 for k in range(1, 200) if k % 5})
 
 
+def test_later_rounds_look_at_open_places_only(monkeypatch):
+    """Re-Pair's later rounds count few pairs, the grammar expands to the ids, and no pair is left that occurs LEAST times."""
+    r, sizes, sort = np.random.default_rng(5), [], np.sort
+    ids = np.minimum(r.zipf(1.3, 60_000), 3000).astype(np.uint32)
+    monkeypatch.setattr(repair.np, "sort", lambda x: (sizes.append(len(x)), sort(x))[1])
+    g = repair.compress(ids)
+    assert len(sizes) > 3 and max(sizes[3:]) < len(g.seq) // 2
+    assert (repair.expand(g) == ids).all()
+    last, n = {}, Counter()
+    for k, p in enumerate(zip(g.seq[:-1].tolist(), g.seq[1:].tolist(), strict=True)):
+        if last.get(p) != k - 1:  # of overlapping ones every other
+            n[p], last[p] = n[p] + 1, k
+    assert max(n.values()) < repair.LEAST
+
+
 # 10: SimHash
 
 
