@@ -19,6 +19,17 @@ def clip(x: Column, lo: Column, hi: Column) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c with one rounding: the product's and the sum's errors are found exactly and added to the rounded sum."""
+    big = lambda x: x * 134217729.0 - (x * 134217729.0 - x)  # upper half of the digits
+    p = a * b
+    a1, b1 = big(a), big(b)
+    a2, b2 = a - a1, b - b1
+    s = p + c
+    lost = (p - (s - (s - p))) + (c - (s - p)) + (((a1 * b1 - p) + a1 * b2 + a2 * b1) + a2 * b2)
+    return F.when(finite(s + lost), s + lost).otherwise(s)
+
+
 def quantile(x: Column, q: float) -> Column:
     """Linear-interpolation quantile, exact."""
     return F.percentile(x, F.lit(q))

@@ -60,11 +60,15 @@ def overview(df: DataFrame, key: str, ts: str, column: str) -> DataFrame:
 
 
 def interpolated(at: Callable[[Column], Column], n: Column, q: Column) -> Column:
-    """The linear-interpolation quantile of n values, the k-th smallest of which is ``at(k)``; null for none."""
+    """The linear-interpolation quantile of n values, the k-th smallest of which is ``at(k)``; null for none.
+
+    The sum is rounded once, like the SQL engine's: where values tie, the last bit decides which of them a bound holds.
+    """
     r = q * (n - 1)
     k = F.floor(r).cast("int")
     share = r - F.floor(r)
-    return F.when(n > 0, F.when(share == 0, at(k)).otherwise((1 - share) * at(k) + share * at(k + 1)))
+    between = F.transform(F.array(F.struct(at(k).alias("a"), at(k + 1).alias("b"), share.alias("s"))), lambda t: stats.fused(t["a"], 1 - t["s"], t["s"] * t["b"]))
+    return F.when(n > 0, F.when(share == 0, at(k)).otherwise(between[0]))
 
 
 def group_quantiles(
@@ -175,7 +179,9 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], bins: int =
                         spans[k] = (r["a"], r["b"], before, r["n"])
                         break
                     before += r["n"]
-    return [value[math.floor(r)] if r == math.floor(r) else (math.ceil(r) - r) * value[math.floor(r)] + (r - math.floor(r)) * value[math.ceil(r)] for r in at]
+    share = lambda r: r - math.floor(r)
+    mixed = lambda a, b, s: math.fma(a, 1 - s, s * b) if math.isfinite(a) and math.isfinite(b) else a * (1 - s) + s * b
+    return [value[math.floor(r)] if not share(r) else mixed(value[math.floor(r)], value[math.ceil(r)], share(r)) for r in at]
 
 
 def impact(df: DataFrame, delta: str = "delta", group: str = "location") -> DataFrame:

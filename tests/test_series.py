@@ -836,3 +836,23 @@ def test_settled_small(spark):
     assert "strategy=broadcast" in plan(settled_small(base)) and "strategy=merge" in plan(settled_small(base, rows=10))
     for none in (base.where("k < 0"), spark.createDataFrame([], "k long"), base.where("k < 0").groupBy("k").count()):
         assert settled_small(none).count() == 0
+
+
+def test_ties_at_interpolated_bounds(spark):
+    """Interpolation between equal values is rounded once, so a bound among ties holds the same rows as in SQL."""
+    v = [float(i) / 10 for i in range(10)] + [7.53] * 4 + [10.0 + i for i in range(40)]
+    df = spark.createDataFrame([("a", x) for x in v], "location string, score double")
+    s = 0.2 * 53 - 10
+    assert (1 - s) * 7.53 + s * 7.53 < 7.53 == math.fma(7.53, 1 - s, s * 7.53)
+    for keys in (["location"], []):
+        assert aggregate.score_pools(df, keys=keys).where("in_low").count() == 14
+    for hot in (1_000_000, 10):
+        assert aggregate.group_quantiles(df, ["location"], ["score"], (0.2,), hot=hot, bins=4, few=3).first()["q_score"] == [7.53]
+
+
+def test_one_rounding(spark):
+    r = np.random.default_rng(3)
+    rows = [tuple(map(float, x)) for x in np.c_[r.normal(size=500), np.round(r.random(500), 2), r.normal(size=500) ** 3]] + [(1e306, 0.5, 1.0), (math.inf, 0.5, 1.0)]
+    got = spark.createDataFrame(rows, "a double, b double, c double").select("a", "b", "c", stats.fused(F.col("a"), F.col("b"), F.col("c")).alias("f")).collect()
+    assert all(x["f"] == math.fma(x["a"], x["b"], x["c"]) for x in got)
+    assert any(x["f"] != x["a"] * x["b"] + x["c"] for x in got)
