@@ -856,3 +856,13 @@ def test_one_rounding(spark):
     got = spark.createDataFrame(rows, "a double, b double, c double").select("a", "b", "c", stats.fused(F.col("a"), F.col("b"), F.col("c")).alias("f")).collect()
     assert all(x["f"] == math.fma(x["a"], x["b"], x["c"]) for x in got)
     assert any(x["f"] != x["a"] * x["b"] + x["c"] for x in got)
+
+
+def test_trimmed_calibration_keeps_ties(spark):
+    """The 1st percentile falls between equal values of y: they are within it, as in SQL."""
+    rows = [("a", 7.53, float(i)) for i in range(8)] + [("a", 9.0 + i / 10, 0.0) for i in range(16)]
+    s = 0.01 * 23
+    assert (1 - s) * 7.53 + s * 7.53 > 7.53 == math.fma(7.53, 1 - s, s * 7.53)
+    got = one(capacity.calibration(spark.createDataFrame(rows, "location string, y double, x double"), "y", "x"))
+    _, y, x = zip(*rows[:-1], strict=True)  # the largest is above the 99th percentile
+    assert (got["slope"], got["intercept"]) == pytest.approx(tuple(np.polyfit(x, y, 1)))
