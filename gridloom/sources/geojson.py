@@ -16,7 +16,10 @@ from gridloom.tables import settled
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """One row per feature: pos (order in the file), properties (map), kind, coordinates (JSON text)."""
+    """One row per feature: pos (order in the file), properties (map), kind, coordinates (JSON text).
+
+    A file is one collection: Spark's reader stops at the end of a file's first one.
+    """
     schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
     d = spark.read.schema(schema).option("multiLine", True).json(path)
     return d.select(F.posexplode("features").alias("pos", "f")).select("pos", "f.properties", F.col("f.geometry.type").alias("kind"), "f.geometry.coordinates")

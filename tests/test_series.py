@@ -14,7 +14,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from gridloom import queries
+from gridloom import file_queries, queries
 from gridloom.functions import stats, text
 from gridloom.models import ArrayModel, DampedTrend, GroupScorer, LinearScorer, fit_boosting, importance_table, importances
 from gridloom.operators import aggregate, clean, joins, sampling, scenario, sets, timeseries
@@ -866,3 +866,14 @@ def test_trimmed_calibration_keeps_ties(spark):
     got = one(capacity.calibration(spark.createDataFrame(rows, "location string, y double, x double"), "y", "x"))
     _, y, x = zip(*rows[:-1], strict=True)  # the largest is above the 99th percentile
     assert (got["slope"], got["intercept"]) == pytest.approx(tuple(np.polyfit(x, y, 1)))
+
+
+def test_geojson_files_hold_one_collection(spark, tmp_path):
+    """With collections in several partitions, none lands behind another one in a file."""
+    spark.range(300).select(F.col("id").alias("s_suppkey"), F.format_string("S%03d", "id").alias("s_name"), (F.col("id") % 7).cast("int").alias("s_nationkey")).repartition(3).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = file_queries.geojson_centroids(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted((r["geo_name"], r["longitude"], r["latitude"]) for r in got) == [(f"S{i:03d}", i % 7 + 0.5, i % 50 + 1.0) for i in range(300)]
