@@ -41,16 +41,20 @@ def correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+#: A correlation this near zero counts as zero: whether it is above or below is the rounding of the sums, which changes with their order.
+NO_CORRELATION = 1e-12
+
+
 def orientation_all(x: Column, y: Column, min_rows: int = 10, fallback: int = 1) -> Column:
     """1 if the correlation is not negative, else -1; an undefined one is -1; few rows give ``fallback``."""
     both = F.count(F.when(x.isNotNull() & y.isNotNull(), 1))
-    return F.when(both < min_rows, F.lit(fallback)).otherwise(F.when(F.coalesce(correlation(x, y), F.lit(-1.0)) >= 0, 1).otherwise(-1))
+    return F.when(both < min_rows, F.lit(fallback)).otherwise(F.when(F.coalesce(correlation(x, y), F.lit(-1.0)) >= -NO_CORRELATION, 1).otherwise(-1))
 
 
 def orientation_negative(x: Column, y: Column, min_rows: int = 20, fallback: int = 1) -> Column:
     """-1 if the correlation is negative, else 1; an undefined one is 1; few rows give ``fallback``."""
     both = F.count(F.when(x.isNotNull() & y.isNotNull(), 1))
-    return F.when(both < min_rows, F.lit(fallback)).otherwise(F.when(F.coalesce(correlation(x, y), F.lit(1.0)) < 0, -1).otherwise(1))
+    return F.when(both < min_rows, F.lit(fallback)).otherwise(F.when(F.coalesce(correlation(x, y), F.lit(1.0)) < -NO_CORRELATION, -1).otherwise(1))
 
 
 def slope_intercept(y: Column, x: Column) -> tuple[Column, Column]:

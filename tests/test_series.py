@@ -868,6 +868,18 @@ def test_trimmed_calibration_keeps_ties(spark):
     assert (got["slope"], got["intercept"]) == pytest.approx(tuple(np.polyfit(x, y, 1)))
 
 
+def test_no_correlation_is_not_negative(spark):
+    """A covariance of zero, which sums of doubles miss by their rounding, in either direction."""
+    x = np.random.default_rng(2).integers(0, 97, 40) / 97
+    rows = [(float(k), float(a), float(b), s * float(c)) for k in range(40) for s in (1, -1) for a, b, c in zip(np.roll(x, k), [5.0] * 40, [0.1 * k] * 40, strict=True)]
+    rows = [(k, a + 0.1, c) for k, a, _, c in rows]
+    got = spark.createDataFrame(rows, "k double, x double, y double").where("k > 0").groupBy("k").agg(
+        stats.correlation(F.col("x"), F.col("y")).alias("r"), stats.orientation_negative(F.col("x"), F.col("y")).alias("n"), stats.orientation_all(F.col("x"), F.col("y")).alias("a")
+    ).collect()
+    assert len(got) == 39 and all(abs(r["r"]) < 1e-14 for r in got) and any(r["r"] < 0 for r in got)
+    assert all((r["n"], r["a"]) == (1, 1) for r in got)
+
+
 def test_geojson_files_hold_one_collection(spark, tmp_path):
     """With collections in several partitions, none lands behind another one in a file."""
     spark.range(300).select(F.col("id").alias("s_suppkey"), F.format_string("S%03d", "id").alias("s_name"), (F.col("id") % 7).cast("int").alias("s_nationkey")).repartition(3).write.parquet(str(tmp_path / "supplier.parquet"))
