@@ -23,10 +23,13 @@ def on_grid(x: Column, step: float = 0.25) -> Column:
     return F.round(x.cast("double") / step).cast("long")
 
 
+def _cells(d: DataFrame, step: float, lat: str, lon: str) -> DataFrame:
+    return d.withColumns({"_lat": on_grid(F.col(lat), step), "_lon": on_grid(F.col(lon), step)})
+
+
 def weather_to_sites(weather: DataFrame, mapping: DataFrame, step: float = 0.25, lat: str = "era5_lat", lon: str = "era5_lon") -> DataFrame:
     """Inner join of grid cells to the sites mapped to them, on coordinates in grid steps; the site's coordinates stay."""
-    key = lambda d: d.withColumns({"_lat": on_grid(F.col(lat), step), "_lon": on_grid(F.col(lon), step)})
-    return key(weather).drop(lat, lon).join(small(key(mapping)), ["_lat", "_lon"], "inner").drop("_lat", "_lon")
+    return _cells(weather, step, lat, lon).drop(lat, lon).join(small(_cells(mapping, step, lat, lon)), ["_lat", "_lon"], "inner").drop("_lat", "_lon")
 
 
 def power_to_weather(power: DataFrame, weather: DataFrame) -> DataFrame:
@@ -34,6 +37,18 @@ def power_to_weather(power: DataFrame, weather: DataFrame) -> DataFrame:
     return power.join(weather, ["location", "timestamp"], "inner")
 
 
+def power_to_cells(power: DataFrame, mapping: DataFrame, weather: DataFrame, step: float = 0.25, lat: str = "era5_lat", lon: str = "era5_lon") -> DataFrame:
+    """The rows of ``power_to_weather(power, weather_to_sites(weather, mapping))``, joined the other way round.
+
+    Power takes its site's cell first and then meets the weather of its cell and time. So a row of weather is not repeated for
+    every site of its cell, with a reading at that time or not: their product grows with the square of the table.
+    """
+    located = power.join(small(_cells(mapping, step, lat, lon)), "location", "inner")
+    d = located.join(_cells(weather, step, lat, lon).drop(lat, lon), ["_lat", "_lon", "timestamp"], "inner")
+    of = lambda df, *but: [c for c in df.columns if c not in ("location", "timestamp", *but)]
+    return d.select("location", "timestamp", *of(power), *of(weather, lat, lon), *of(mapping))
+
+
 def attach_coordinates(agg: DataFrame, matches: DataFrame, key: str = "location_name") -> DataFrame:
     """Left join of the distinct (key, longitude, latitude) rows."""
     return agg.join(matches.select(key, "longitude", "latitude").distinct(), key, "left")

@@ -9,8 +9,8 @@ from gridloom.sources import files
 
 
 def combine(power: DataFrame, mapping: DataFrame, weather: DataFrame, step: float = 0.25) -> DataFrame:
-    """Weather to the sites on its cells, then power to weather on (location, timestamp)."""
-    return joins.power_to_weather(power, joins.weather_to_sites(weather, mapping, step))
+    """Power beside the weather of its site's cell, on (location, timestamp)."""
+    return joins.power_to_cells(power, mapping, weather, step)
 
 
 def combine_files(spark, power_path: str, mapping_path: str, weather: DataFrame, out: str) -> None:

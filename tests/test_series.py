@@ -880,6 +880,19 @@ def test_no_correlation_is_not_negative(spark):
     assert all((r["n"], r["a"]) == (1, 1) for r in got)
 
 
+def test_merge_meets_cells_once(spark):
+    """Power takes its cell before it meets weather: the same rows, and no product of weather and sites."""
+    sites = [("a", 50.0), ("b", 50.0), ("b", 50.25), ("c", 50.25), ("d", None), (None, 50.0)]
+    m = spark.createDataFrame([(s, y, y and y - 51.0, f"{s}{y}") for s, y in sites], "location string, era5_lat double, era5_lon double, station string")
+    power = spark.createDataFrame([(s, T0 + HALF * k, float(k)) for s in ("a", "b", "c", "d", "e", None) for k in (0, 1, 1, 2, 9)], "location string, timestamp timestamp_ntz, kva double")
+    w = spark.createDataFrame([(T0 + HALF * k, y, y - 51.0, 10.0 * k + i) for k in (0, 1, 2, 3) for i, y in enumerate((50.0, 50.0, 50.25))], "timestamp timestamp_ntz, era5_lat float, era5_lon float, weather_t double")
+    want = joins.power_to_weather(power, joins.weather_to_sites(w, m))
+    got = merge.combine(power, m, w)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    keys = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(keys) == 2 and "timestamp" in keys[0] and "location" in keys[1]
+
+
 def test_geojson_files_hold_one_collection(spark, tmp_path):
     """With collections in several partitions, none lands behind another one in a file."""
     spark.range(300).select(F.col("id").alias("s_suppkey"), F.format_string("S%03d", "id").alias("s_name"), (F.col("id") % 7).cast("int").alias("s_nationkey")).repartition(3).write.parquet(str(tmp_path / "supplier.parquet"))
