@@ -902,3 +902,11 @@ def test_geojson_files_hold_one_collection(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert sorted((r["geo_name"], r["longitude"], r["latitude"]) for r in got) == [(f"S{i:03d}", i % 7 + 0.5, i % 50 + 1.0) for i in range(300)]
+
+
+def test_merged_table_joins_by_time_or_site(spark):
+    """No join of the query is by cell alone, which would repeat all weather for every site of a cell."""
+    d = "/root/testdata/sf0.001"
+    plan = queries.merged_table(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.splitlines() if "Join" in line]
+    assert joined and all("timestamp" in x or "location" in x for x in joined)
