@@ -93,6 +93,12 @@ def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
             forget(spark, p)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Spark deletes a shuffle's files when the driver's garbage collection finds it unused, which a large heap puts off while disks
+    fill. To be called between steps whose results are written."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def written_so_far(spark: SparkSession) -> list[str]:
     """Paths of the tables written and not released yet, oldest first."""
     return list(_WRITTEN.get(spark.sparkContext.applicationId, []))

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm import golay
-from gridloom.llm.common import attach, small, text_of, without, written
+from gridloom.llm.common import attach, drop_shuffles, forget, small, text_of, without, written, written_at
 from gridloom.llm.components import components
 
 OUT = ("fingerprint", "component_id", "kept")
@@ -105,7 +105,8 @@ def _scan(bits: int, limit: int, words: tuple[str, ...]):
             x, y = _forest(node[s : s + n], fp[s : s + n], bits)
             a += x
             b += y
-        return np.concatenate(a), np.concatenate(b)
+        a, b = np.concatenate(a), np.concatenate(b)
+        return a[a != b], b[a != b]
 
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         none = [pa.nulls(len(a), pa.int64())] * (1 + len(words))
@@ -147,24 +148,39 @@ def _scan(bits: int, limit: int, words: tuple[str, ...]):
 def link_candidates(keys: DataFrame, bits: int, limit: int = GROUP_LIMIT) -> DataFrame:
     """(key, node, fp and perhaps fp2) -> distinct links between nodes that share a key and differ in ``bits`` bits at most.
 
-    Links span the components of each key's rows rather than naming all pairs. A key with over ``limit`` rows is not
-    compared in one task: its rows come back and meet in blocks, every two blocks in a task of their own.
+    Links span the components of each key's rows rather than naming all pairs. A node may stand for several fingerprints. A
+    key with over ``limit`` rows is not compared in one task: its rows come back and meet in blocks, every two blocks in a
+    task of their own.
     """
+    return _linked(keys, bits, limit)[0]
+
+
+def _linked(keys: DataFrame, bits: int, limit: int = GROUP_LIMIT) -> tuple[DataFrame, str]:
+    """``link_candidates``, and the written table that it reads."""
     words = tuple(c for c in ("fp", "fp2") if c in keys.columns)
 
     def scan(rows: DataFrame, most: int) -> DataFrame:
         dealt = rows.select("key", "node", *words).repartition("key").sortWithinPartitions("key", "node")
         return dealt.mapInArrow(_scan(bits, most, words), ", ".join(f"{c} long" for c in ("a", "b", "key", *words)))
 
-    first = written(scan(keys, limit), "scan")
+    first, path = written_at(scan(keys, limit), "scan")
     links, over = first.where("key IS NULL").select("a", "b"), first.where("key IS NOT NULL").select("key", F.col("a").alias("node"), *words)
     if not over.isEmpty():
         blocks = over.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (limit // 4)).alias("n"))
-        cut = over.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")))
+        cut = over.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("node", *words), F.col("n")))
         cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         met = cut.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "node", *words)
         links = links.unionByName(scan(met, 1 << 40).select("a", "b"))
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), path
+
+
+def _candidates(keys: DataFrame, bits: int) -> DataFrame:
+    """The components (node, root) of the links of keys, written; what it takes to find them is deleted."""
+    links, path = _linked(keys, bits)
+    out = written(components(links), "clusters")
+    forget(keys.sparkSession, path)
+    drop_shuffles(keys.sparkSession)
+    return out
 
 
 def mark_similar(
@@ -430,12 +446,17 @@ def drop_similar(
     staged = docs.select(F.monotonically_increasing_id().alias("_gl_row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_gl_doc"), sketch_column(text).alias("_gl_sketch"))
     staged = written(staged, "staged")
     texts = staged.select("_gl_row", F.coalesce(F.col("_gl_doc").getField(text_col).cast("string"), F.lit("")).alias("_gl_text"), "_gl_sketch.*")
-    links = link_candidates(texts.select("_gl_row", "fp", "fp2", "top").mapInArrow(_golay_batches, KEYS), soft_bits)
+    clusters = _candidates(texts.select("_gl_row", "fp", "fp2", "top").mapInArrow(_golay_batches, KEYS), soft_bits)
     if exact:
-        rest = texts.select("_gl_row", "fp", "fp2", "_gl_text").mapInArrow(_prefix_batches(words, similarity, common_shingles(texts, words)), KEYS)
-        links = links.unionByName(link_candidates(rest, bits))
-    clusters = written(components(links), "clusters")
+        # What is joined already goes on as one node, so that its copies are not linked again under every key.
+        known = texts.drop("top").join(small(clusters.withColumnRenamed("node", "_gl_row")), "_gl_row", "left")
+        known = known.select(F.coalesce("root", "_gl_row").alias("_gl_row"), "fp", "fp2", "_gl_text")
+        more = _candidates(known.mapInArrow(_prefix_batches(words, similarity, common_shingles(texts, words)), KEYS), bits)
+        more = more.select(F.col("node").alias("_gl_node"), F.col("root").alias("_gl_root"))
+        joined = clusters.join(small(more), F.col("root") == F.col("_gl_node"), "full")
+        clusters = written(joined.select(F.coalesce("node", "_gl_node").alias("node"), F.coalesce("_gl_root", "root").alias("root")), "clusters")
     groups = written(components(verified_links(texts, clusters, words, similarity)), "groups")
+    drop_shuffles(docs.sparkSession)
     ids = staged.select(F.col("_gl_row").alias("node"), F.col("_gl_doc").getField(id_col).alias("id")).join(small(groups), "node")
     best = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("node").alias("node")))["node"].alias("node"))
     gone = written(groups.select("node").join(best, "node", "left_anti").withColumnRenamed("node", "_gl_row"), "gone")

@@ -608,6 +608,36 @@ def test_links_of_a_large_group(spark):
     assert len({x["root"] for x in rows_of(whole)}) == sum(n > 1 for n in Counter(g).values())
 
 
+def test_links_of_nodes_with_several_fingerprints(spark):
+    """Rows of one node are never linked to themselves, and reach what any of them is near to, in one task or in blocks."""
+    fps = {1: (0, 255, 1 << 20), 2: (254, 1 << 40), 3: (3 << 40, 1 << 50), 4: (7 << 55,)}
+    rows = [(key, node, fp) for key in (5, 6) for node, x in fps.items() for fp in x]
+    keys = spark.createDataFrame(rows, "key long, node long, fp long")
+    for limit in (1 << 15, 4):
+        links = rows_of(simhash.link_candidates(keys, 1, limit))
+        assert all(x["a"] != x["b"] for x in links)
+        assert {(x["node"], x["root"]) for x in rows_of(components.components(spark.createDataFrame(links, "a long, b long")))} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_copies_are_linked_once(spark, monkeypatch):
+    """What the first keys have joined is not linked again under each key of the second, and neither's links stay on disk."""
+    r = random.Random(4)
+    base = [f"w{r.randrange(5000)}" for _ in range(300)]
+    texts = [" ".join(f"x{k}" if r.random() < 0.02 else w for w in base) for k in range(40)]
+    found, linked = [], simhash._linked
+
+    def counted(*args):
+        links, path = linked(*args)
+        found.append(links.count())
+        return links, path
+
+    monkeypatch.setattr(simhash, "_linked", counted)
+    before = set(common.written_so_far(spark))
+    got = simhash.drop_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [x["doc_id"] for x in rows_of(got)] == [0] and len(found) == 2 and found[0] > 0 and found[1] < 39
+    assert not any(p.endswith("-scan") for p in set(common.written_so_far(spark)) - before)
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
